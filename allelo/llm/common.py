@@ -7,9 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: White space and words as the contracts define them.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,12 +66,16 @@ def map_slices(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with ``fn(batch, texts) -> pa.RecordBatch`` called on slices of bounded size."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         for batch, texts in slices(batches):
             yield fn(batch, texts)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` with this package's files at hand in the tasks."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def learn_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, max_bytes: int) -> list:
