@@ -78,20 +78,24 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def learn_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, max_bytes: int) -> list:
-    """At most ``rows`` labelled training texts, half of each class where there are enough, in an order that hashes fix.
+def learn_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, max_bytes: int) -> tuple[list, float]:
+    """At most ``rows`` labelled training texts as (label, text), half of each class where there are so many, chosen by a
+    hash of the id; and the share of label 1 among all labelled training rows.
 
-    Rows with crc32(doc_id as text) mod ``modulus`` = ``held``, with no text, with over ``max_bytes`` bytes or without a
-    0/1 label are not used. A document that has contradicting labels counts with each of them.
+    Rows with crc32(doc_id as text) mod ``modulus`` = ``held``, without a 0/1 label, without text or with over
+    ``max_bytes`` bytes of it are not used. A document with contradicting labels counts with each of them.
     """
-    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(
-        (F.crc32(F.col("doc_id").cast("string")) % modulus != held) & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)
-    )
-    y = labels.select(F.col("doc_id").alias("_lid"), F.col(label).cast("int").alias("_y")).where(F.col(label).isin(0, 1)).distinct()
-    joined = d.join(y, F.col("_id") == F.col("_lid")).select("_id", "_y", F.xxhash64("_id").alias("_h"), "_text")
-    parts = [joined.where(F.col("_y") == k).orderBy("_h", "_id", "_text").limit(rows // 2) for k in (0, 1)]
-    got = [(r["_y"], r["_text"]) for p in parts for r in p.select("_y", "_text").collect()]
-    return got
+    y = labels.select(F.col("doc_id").alias("_lid"), F.col(label).cast("int").alias("_y"))
+    y = y.where(F.col("_lid").isNotNull() & F.col("_y").isin(0, 1) & (F.crc32(F.col("_lid").cast("string")) % modulus != held)).distinct()
+    count = {r["_y"]: r["n"] for r in y.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if not count:
+        return [], 0.5
+    picked = [r for k in (0, 1) for r in y.where(F.col("_y") == k).orderBy(F.xxhash64("_lid"), "_lid").limit(rows // 2).collect()]
+    ids = docs.sparkSession.createDataFrame(picked, y.schema)  # of at most ``rows`` rows, so it is broadcast
+    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull() & (F.octet_length("_text") <= max_bytes))
+    got = d.join(F.broadcast(ids), F.col("_id") == F.col("_lid")).select("_y", "_text", "_id").limit(2 * rows).collect()
+    got.sort(key=lambda r: (r["_y"], r["_id"], r["_text"]))
+    return [(r["_y"], r["_text"]) for r in got], count.get(1, 0) / sum(count.values())
 
 
 def held_out(modulus: int, held: int) -> Column:
