@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibration.
 
-Examples are a bounded sample of labelled documents. Terms are words that tell the classes apart on it (seen in LEAST_DF
+Examples are a bounded sample of labelled documents. Terms are words that tell the classes apart on it (seen in enough
 examples, smoothed log odds of LEAST_ODDS or more); vectors are TF-IDF over them, of unit length. The index holds each
 term's postings by block of BLOCK examples with the greatest weight in the block; a query looks at blocks in the order of
 their bounds and stops when no bound reaches the K-th best cosine, so the K nearest are exact. They vote with their cosine
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import held_out, learn_sample, map_slices
 from .decontaminate import fold_words
 
-K, BLOCK, LEAST_DF, LEAST_ODDS = 15, 64, 4, 1.5
+K, BLOCK, LEAST_ODDS = 15, 64, 1.5
+#: Examples (different texts) in which a term must be seen: so many, and such a share of all.
+LEAST_DF, LEAST_SHARE = 4, 0.01
 #: Bounds of the sample of examples: labelled documents, and bytes of one.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 65536
 
@@ -33,14 +35,18 @@ class Neighbours:
         self.k, self.share = k, share
         self.y = np.array([y for y, _ in sample], np.float64)
         bags = [Counter(fold_words(t)) for _, t in sample]
-        n1 = self.y.sum()
-        n0 = len(self.y) - n1
         df = [Counter(), Counter()]
-        for bag, y in zip(bags, self.y, strict=True):
-            df[int(y)].update(bag.keys())
+        different = {(y, t): bag for (y, t), bag in zip(sample, bags, strict=True)}
+        for (y, _), bag in different.items():
+            df[y].update(bag.keys())
+        n1 = sum(y for y, _ in different)
+        n0 = len(different) - n1
+        least = max(LEAST_DF, LEAST_SHARE * len(different))
         odds = {w: np.log((df[1][w] + 0.5) / (n1 + 1)) - np.log((df[0][w] + 0.5) / (n0 + 1)) for w in df[0] | df[1]}
-        terms = sorted(w for w, o in odds.items() if abs(o) >= LEAST_ODDS and df[0][w] + df[1][w] >= LEAST_DF)
+        terms = sorted(w for w, o in odds.items() if abs(o) >= LEAST_ODDS and df[0][w] + df[1][w] >= least)
         self.terms = {w: i for i, w in enumerate(terms)}
+        n1 = self.y.sum()
+        n0 = len(self.y) - n1
         self.idf = np.array([np.log((1 + len(bags)) / (1 + df[0][w] + df[1][w])) + 1 for w in terms])
         self.weight = np.where(self.y == 1, share / max(n1 / len(self.y), 1e-9), (1 - share) / max(n0 / len(self.y), 1e-9))
         vectors = [self.vector(b) for b in bags]
@@ -60,7 +66,7 @@ class Neighbours:
         none = np.array([v is None for v in vectors])
         w = self.weight * none
         self.without = float((w @ self.y + share) / (w.sum() + 1))
-        votes = [(self.vote(v, leave=d), self.y[d], self.weight[d]) for d, v in enumerate(vectors) if v is not None]
+        votes = [(self.vote(*self.nearest(v, leave=d)), self.y[d], self.weight[d]) for d, v in enumerate(vectors) if v is not None]
         self.steps = _isotonic(votes, share)
 
     def vector(self, bag: Counter):
@@ -96,8 +102,7 @@ class Neighbours:
         o = np.lexsort((found, -cosines))
         return found[o], cosines[o]
 
-    def vote(self, v, leave: int = -1) -> float:
-        who, cos = self.nearest(v, leave)
+    def vote(self, who: np.ndarray, cos: np.ndarray) -> float:
         w = cos * self.weight[who]
         return float((w @ self.y[who] + 0.1 * self.share) / (w.sum() + 0.1))
 
@@ -107,8 +112,8 @@ class Neighbours:
         v = self.vector(Counter(w for w in fold_words(text) if w in terms))
         if v is None:
             return self.without, []
-        x, y = self.steps
-        return float(np.interp(self.vote(v), x, y)), self.nearest(v)[0].tolist()
+        who, cos = self.nearest(v)
+        return float(np.interp(self.vote(who, cos), *self.steps)), who.tolist()
 
 
 def _isotonic(votes: list[tuple[float, float, float]], share: float) -> tuple[np.ndarray, np.ndarray]:
