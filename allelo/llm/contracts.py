@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, quality, rules, simhash, suffix, tokens, toxicity
+from . import decontaminate, language, mixing, pii, quality, rules, simhash, suffix, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_table(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_simhash, op5_language, op6_token_counts, op7_quality, op9_suffix_dedup, op10_quality_rules)
+    for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_simhash, op5_language, op6_token_counts, op7_quality, op8_pii, op9_suffix_dedup, op10_quality_rules)
 }
