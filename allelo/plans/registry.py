@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import histories, posteriors, preparation
+
+MODULES = (preparation, histories, posteriors)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in sorted(m.QUERIES.items())}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
