@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import histories, posteriors, preparation
+from . import histories, posteriors, preparation, sampling
 
-MODULES = (preparation, histories, posteriors)
+MODULES = (preparation, histories, posteriors, sampling)
 
 
 def queries() -> dict:

@@ -1,0 +1,41 @@
+"""Sampling of genealogies and what follows from the samples: r01 to r03. They read no table: the data are generated."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.priors import Prior
+from ..operators import chains as ch
+from ..operators import posterior as po
+from ..sampler.chain import Plan, long_table, parameter_names, sample
+from ..store import stored
+from .common import rounded
+
+PLAN = Plan(pops=2, theta=Prior("uniform", 0.01, 20.0), migration=Prior("uniform", 0.0, 5.0), steps=400, every=10, burn_in=100, heats=(1.0, 0.5), seed=5)
+
+
+def _data(spark):
+    d = spark.range(3 * 8).select((F.col("id") % 3 + 1).cast("int").alias("locus"), F.floor(F.col("id") / 3).cast("int").alias("tip"))
+    value = 20 + F.col("locus") + F.pmod(F.xxhash64("locus", "tip"), F.lit(5)) + 4 * (F.col("tip") % 2)
+    return d.select("locus", "tip", (F.col("tip") % 2 + 1).alias("pop"), value.cast("string").alias("value"))
+
+
+def r01_sampler(spark, sf):
+    work = spark.range(6).select((F.col("id") % 3 + 1).cast("int").alias("locus"), F.floor(F.col("id") / 3 + 1).cast("int").alias("replicate"))
+    return long_table(sample(_data(spark), work, PLAN), parameter_names(2))
+
+
+def r02_sampler_diagnostics(spark, sf):
+    s = stored(r01_sampler(spark, sf))
+    e = ch.ess_summary(ch.autocorrelation(s, ["locus", "replicate", "param"], ["step"], "value"), ["param"])
+    return rounded(e.join(ch.gelman_rubin(s.withColumn("chain", F.concat_ws("/", "locus", "replicate")), ["param"], "chain", "value").select("param", "r_hat"), "param"))
+
+
+def r03_sampler_posterior(spark, sf):
+    s = stored(r01_sampler(spark, sf)).where(F.col("param").startswith("theta"))
+    h = po.smooth(po.histogram(s, ["param"], "value", 0.01, 20.0, 50), ["param"], "density", 50)
+    return rounded(po.summary(h, ["param"], "smoothed", (20.0 - 0.01) / 50))
+
+
+QUERIES = {"r01_sampler": r01_sampler, "r02_sampler_diagnostics": r02_sampler_diagnostics, "r03_sampler_posterior": r03_sampler_posterior}
+SQL: dict[str, str] = {}

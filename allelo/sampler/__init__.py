@@ -1,0 +1 @@
+"""Markov chain Monte Carlo over genealogies and parameters: one task for each locus and replicate."""

@@ -1,0 +1,205 @@
+"""Chains of one locus and replicate, and the Spark job that runs all of them."""
+
+from __future__ import annotations
+
+import zlib
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.priors import Prior
+from ..ship import ship
+from .genealogy import Genealogy, log_density
+from .likelihood import Brownian, Nothing, Sequences
+
+
+@dataclass
+class Plan:
+    """What a run does. ``theta`` and ``migration`` are priors of all population sizes and of all rates; ``heats`` are the
+    inverse temperatures, the cold chain first; ``tree_share`` is the share of moves that change the genealogy."""
+
+    pops: int = 1
+    theta: Prior = field(default_factory=lambda: Prior("uniform", 1e-4, 0.1))
+    migration: Prior = field(default_factory=lambda: Prior("uniform", 0.0, 1000.0))
+    steps: int = 2000
+    every: int = 20
+    burn_in: int = 500
+    heats: tuple[float, ...] = (1.0,)
+    swap_every: int = 10
+    tree_share: float = 0.5
+    slice_share: float = 0.5
+    target: float = 0.44
+    model: str = "brownian"
+    seed: int = 1
+
+
+def parameter_names(pops: int) -> list[str]:
+    return [f"theta_{i + 1}" for i in range(pops)] + [f"m_{j + 1}_{i + 1}" for i in range(pops) for j in range(pops) if i != j]
+
+
+class Chain:
+    def __init__(self, plan: Plan, likelihood, tip_pops, rng, heat: float):
+        self.plan, self.like, self.rng, self.heat = plan, likelihood, rng, heat
+        n = plan.pops
+        self.theta = np.atleast_1d(plan.theta.draw(rng, n)).astype(float)
+        self.mig = np.zeros((n, n))
+        self.off = [(j, i) for i in range(n) for j in range(n) if i != j]
+        for j, i in self.off:
+            self.mig[j, i] = max(float(plan.migration.draw(rng)), 1e-6)
+        self.tree = Genealogy.random(tip_pops, self.theta, self.mig, rng)
+        self.data = self.like(self.tree)
+        self.stats = self.tree.statistics(n)
+        count = n + len(self.off)
+        self.width = [(p.high - p.low) / 10 for p in self._priors()]
+        self.tried, self.taken = np.zeros(count + 1), np.zeros(count + 1)
+
+    def _priors(self) -> list[Prior]:
+        return [self.plan.theta] * self.plan.pops + [self.plan.migration] * len(self.off)
+
+    def get(self, k: int) -> float:
+        return float(self.theta[k] if k < self.plan.pops else self.mig[self.off[k - self.plan.pops]])
+
+    def put(self, k: int, x: float) -> None:
+        if k < self.plan.pops:
+            self.theta[k] = x
+        else:
+            self.mig[self.off[k - self.plan.pops]] = x
+
+    def _target(self, k: int, x: float) -> float:
+        """Log of what parameter ``k`` is sampled from, at ``x``."""
+        prior = self._priors()[k]
+        if not prior.low <= x <= prior.high or x <= 0:
+            return -np.inf
+        old = self.get(k)
+        self.put(k, x)
+        out = log_density(self.stats, self.theta, self.mig) * self.heat + float(prior.log_density(x))
+        self.put(k, old)
+        return out
+
+    def move_tree(self) -> None:
+        new = self.tree.regraft(self.theta, self.mig, self.rng)
+        # the proposal draws from the prior of genealogies: a heated chain pays for the part it does not weigh
+        data = self.like(new)
+        stats = new.statistics(self.plan.pops)
+        gain = self.heat * (data - self.data)
+        if self.heat != 1.0:
+            gain += (self.heat - 1.0) * (log_density(stats, self.theta, self.mig) - log_density(self.stats, self.theta, self.mig))
+        self.tried[-1] += 1
+        if np.log(self.rng.random()) < gain:
+            self.tree, self.data, self.stats = new, data, stats
+            self.taken[-1] += 1
+
+    def move_parameter(self, k: int, tune: bool) -> None:
+        if self.rng.random() < self.plan.slice_share:
+            self._slice(k)
+            return
+        x, prior = self.get(k), self._priors()[k]
+        y = x + (self.rng.random() - 0.5) * 2 * self.width[k]
+        while not prior.low <= y <= prior.high:  # reflected at the bounds
+            y = 2 * prior.low - y if y < prior.low else 2 * prior.high - y
+        ok = np.log(self.rng.random()) < self._target(k, y) - self._target(k, x)
+        self.tried[k] += 1
+        if ok:
+            self.put(k, y)
+            self.taken[k] += 1
+        if tune:
+            self.width[k] = min(max(self.width[k] * (1.1 if ok else 1.1 ** (-self.plan.target / (1 - self.plan.target))), 1e-9), prior.high - prior.low)
+
+    def _slice(self, k: int) -> None:
+        x, prior = self.get(k), self._priors()[k]
+        level = self._target(k, x) + np.log(self.rng.random())
+        low = x - self.rng.random() * self.width[k]
+        high = low + self.width[k]
+        while low > prior.low and self._target(k, low) > level:
+            low -= self.width[k]
+        while high < prior.high and self._target(k, high) > level:
+            high += self.width[k]
+        low, high = max(low, prior.low), min(high, prior.high)
+        while high - low > 1e-300:
+            y = low + self.rng.random() * (high - low)
+            if self._target(k, y) > level:
+                self.put(k, y)
+                return
+            low, high = (y, high) if y < x else (low, y)
+
+    def step(self, tune: bool = False) -> None:
+        if self.rng.random() < self.plan.tree_share:
+            self.move_tree()
+        else:
+            self.move_parameter(int(self.rng.integers(self.plan.pops + len(self.off))), tune)
+
+    def log_posterior(self) -> float:
+        """Without the heat."""
+        return self.data + log_density(self.stats, self.theta, self.mig)
+
+
+def swap(chains: list[Chain], rng) -> tuple[int, bool]:
+    """A random pair of neighbouring temperatures may exchange its states."""
+    i = int(rng.integers(len(chains) - 1))
+    a, b = chains[i], chains[i + 1]
+    ok = np.log(rng.random()) < (a.heat - b.heat) * (b.log_posterior() - a.log_posterior())
+    if ok:
+        for name in ("theta", "mig", "tree", "data", "stats"):
+            x, y = getattr(a, name), getattr(b, name)
+            setattr(a, name, y)
+            setattr(b, name, x)
+    return i, ok
+
+
+def run_chains(plan: Plan, locus: int, replicate: int, tip_pops: list[int], values: list) -> pd.DataFrame:
+    """Samples of the cold chain with the log likelihoods of all temperatures."""
+    rng = np.random.default_rng([plan.seed, locus, replicate, zlib.crc32(plan.model.encode())])
+    known = [v for v in values if v is not None]
+    if plan.model == "none" or not known:
+        like = Nothing()
+    elif plan.model == "brownian":
+        like = Brownian([np.nan if v is None else float(v) for v in values])
+    else:
+        like = Sequences([v or "?" * len(known[0]) for v in values], plan.model)
+    chains = [Chain(plan, like, tip_pops, rng, h) for h in plan.heats]
+    rows = []
+    for step in range(1, plan.burn_in + plan.steps + 1):
+        for c in chains:
+            c.step(step <= plan.burn_in)
+        if len(chains) > 1 and step % plan.swap_every == 0:
+            swap(chains, rng)
+        if step > plan.burn_in and (step - plan.burn_in) % plan.every == 0:
+            c = chains[0]
+            prior = sum(float(p.log_density(c.get(k))) for k, p in enumerate(c._priors()))
+            g = log_density(c.stats, c.theta, c.mig)
+            row = {"step": step - plan.burn_in, "ln_post": c.data + g + prior, "ln_data": c.data, "ln_prob_g": g, "ln_prior": prior, "tree_n": c.tree.n, "tree_len": c.tree.length()}
+            row["temperatures"] = [float(x.data) for x in chains]
+            row["params"] = [c.get(k) for k in range(len(c.width))]
+            row["accepted"] = (c.taken / np.maximum(c.tried, 1)).tolist()
+            rows.append(row)
+    return pd.DataFrame(rows)
+
+
+SCHEMA = "locus int, replicate int, step long, ln_post double, ln_data double, ln_prob_g double, ln_prior double, tree_n int, tree_len double, temperatures array<double>, params array<double>, accepted array<double>"
+
+
+def sample(data: DataFrame, work: DataFrame, plan: Plan) -> DataFrame:
+    """(locus, tip, pop, value) and a work list (locus, replicate) -> samples; ``params`` as ``parameter_names`` lists them.
+
+    One group is one locus' data with all its temperatures; chains of a replicate wait for each other, others do not.
+    """
+    ship(data.sparkSession)
+
+    def one(key, d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("tip")
+        values = [None if pd.isna(v) else v for v in d["value"]]
+        out = run_chains(plan, int(key[0]), int(key[1]), (d["pop"].astype(int) - 1).tolist(), values)
+        out.insert(0, "replicate", int(key[1]))
+        out.insert(0, "locus", int(key[0]))
+        return out
+
+    return data.join(work, "locus").groupBy("locus", "replicate").applyInPandas(one, SCHEMA)
+
+
+def long_table(samples: DataFrame, names: list[str]) -> DataFrame:
+    """(locus, replicate, step, param, value)."""
+    p = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("param"), F.col("params").alias("value")))
+    return samples.select("locus", "replicate", "step", p.alias("x")).select("locus", "replicate", "step", "x.param", "x.value")

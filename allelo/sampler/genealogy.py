@@ -1,0 +1,206 @@
+"""A genealogy with migrations, the move that cuts a lineage and lets it find its way again, and the coalescent density.
+
+Times count back from the tips in units of mutations. In population i each pair of lineages coalesces at rate 2 / theta[i],
+and each lineage there comes from population j at rate mig[j, i].
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+class Genealogy:
+    """Nodes 0..n-1 are tips. ``path[v]``: migrations on the branch above v as (time, population from there on)."""
+
+    def __init__(self, tip_pops: list[int], tip_times: list[float] | None = None):
+        n = len(tip_pops)
+        self.n = n
+        self.time = np.concatenate([np.zeros(n) if tip_times is None else np.asarray(tip_times, float), np.zeros(n - 1)])
+        self.pop = np.concatenate([np.asarray(tip_pops), np.zeros(n - 1, int)]).astype(int)
+        self.parent = np.full(2 * n - 1, -1)
+        self.child = np.full((2 * n - 1, 2), -1)
+        self.path: list[list[tuple[float, int]]] = [[] for _ in range(2 * n - 1)]
+        self.root = -1
+
+    def copy(self) -> Genealogy:
+        g = object.__new__(Genealogy)
+        g.n, g.root = self.n, self.root
+        g.time, g.pop, g.parent, g.child = self.time.copy(), self.pop.copy(), self.parent.copy(), self.child.copy()
+        g.path = [list(p) for p in self.path]
+        return g
+
+    @classmethod
+    def random(cls, tip_pops, theta, mig, rng, tip_times=None) -> Genealogy:
+        """Drawn from the coalescent."""
+        g = cls(tip_pops, tip_times)
+        order = np.argsort(g.time[: g.n], kind="stable").tolist()
+        active, where = [], {}
+        t, new = float(g.time[order[0]]), g.n
+        while order or len(active) > 1:
+            while order and g.time[order[0]] <= t:
+                v = order.pop(0)
+                active.append(v)
+                where[v] = int(g.pop[v])
+            upto = float(g.time[order[0]]) if order else np.inf
+            k = np.bincount([where[v] for v in active], minlength=len(theta))
+            coal, move = k * (k - 1) / theta, k * mig.sum(0)
+            total = coal.sum() + move.sum()
+            dt = rng.exponential(1 / total) if total > 0 else np.inf
+            if t + dt >= upto:
+                t = upto
+                continue
+            t += dt
+            x = rng.random() * total
+            if x < coal.sum():
+                i = int(np.searchsorted(np.cumsum(coal), x, side="right"))
+                here = [v for v in active if where[v] == i]
+                a, b = rng.choice(len(here), 2, replace=False)
+                g._join(here[a], here[b], new, t, i)
+                active = [v for v in active if v not in (here[a], here[b])] + [new]
+                where[new] = i
+                new += 1
+            else:
+                i = int(np.searchsorted(np.cumsum(move), x - coal.sum(), side="right"))
+                here = [v for v in active if where[v] == i]
+                v = here[rng.integers(len(here))]
+                j = int(rng.choice(len(theta), p=mig[:, i] / mig[:, i].sum()))
+                g.path[v].append((t, j))
+                where[v] = j
+        g.root = active[0]
+        g.path[g.root] = []
+        return g
+
+    def _join(self, a: int, b: int, p: int, t: float, pop: int) -> None:
+        self.child[p] = (a, b)
+        self.parent[a] = self.parent[b] = p
+        self.time[p], self.pop[p] = t, pop
+
+    def length(self) -> float:
+        up = self.parent >= 0
+        return float(np.sum(self.time[self.parent[up]] - self.time[up]))
+
+    def events(self) -> list[tuple[float, int, int, int]]:
+        """(time, population left or -1, population entered or -1, kind): tips 0, coalescences 1, migrations 2; by time."""
+        out = [(float(self.time[v]), -1, int(self.pop[v]), 0) for v in range(self.n)]
+        out += [(float(self.time[v]), int(self.pop[v]), int(self.pop[v]), 1) for v in range(self.n, len(self.time))]
+        for v, p in enumerate(self.path):
+            at = int(self.pop[v])
+            for t, to in p:
+                out.append((t, at, to, 2))
+                at = to
+        return sorted(out, key=lambda e: (e[0], e[3]))
+
+    def statistics(self, pops: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per population: sum of k (k - 1) t, coalescences, sum of k t; and migrations [to j, from i], backwards."""
+        kk, co, kt, mi = np.zeros(pops), np.zeros(pops), np.zeros(pops), np.zeros((pops, pops))
+        k = np.zeros(pops)
+        last = 0.0
+        for t, a, b, kind in self.events():
+            kk += k * (k - 1) * (t - last)
+            kt += k * (t - last)
+            last = t
+            if kind == 0:
+                k[b] += 1
+            elif kind == 1:
+                co[a] += 1
+                k[a] -= 1
+            else:
+                mi[b, a] += 1
+                k[a] -= 1
+                k[b] += 1
+        return kk, co, kt, mi
+
+    def regraft(self, theta: np.ndarray, mig: np.ndarray, rng) -> Genealogy:
+        """A random lineage is cut and drawn anew from the coalescent given the rest of the tree, so that what is proposed
+        has to be accepted by likelihood alone."""
+        g = self.copy()
+        v = int(rng.integers(len(g.time) - 1))
+        v = v if v < g.root else v + 1
+        p = int(g.parent[v])
+        s = int(g.child[p, 0] if g.child[p, 1] == v else g.child[p, 1])
+        up = int(g.parent[p])
+        g.path[v] = []
+        if up >= 0:
+            g.path[s] = g.path[s] + g.path[p]
+            g.child[up][g.child[up] == p] = s
+            g.parent[s] = up
+        else:
+            g.path[s] = []
+            g.parent[s] = -1
+            g.root = s
+        g.path[p] = []
+        rest = [x for x in range(len(g.time)) if x not in (v, p) and not g._below(x, v)]
+        # what the climbing lineage meets: (time, branch, its population from there on), None where a branch ends
+        steps = []
+        for x in rest:
+            steps.append((float(g.time[x]), x, int(g.pop[x])))
+            steps += [(t, x, to) for t, to in g.path[x]]
+            if g.parent[x] >= 0:
+                steps.append((float(g.time[g.parent[x]]), x, -1))
+        steps.sort(key=lambda e: (e[0], e[2] >= 0))
+        at: dict[int, int] = {}
+        t, here, i = float(g.time[v]), int(g.pop[v]), 0
+        path: list[tuple[float, int]] = []
+        top: list[tuple[float, int]] = []
+        leave = mig.sum(0)
+        while True:
+            while i < len(steps) and steps[i][0] <= t:
+                if steps[i][2] < 0:
+                    at.pop(steps[i][1], None)
+                else:
+                    at[steps[i][1]] = steps[i][2]
+                i += 1
+            upto = steps[i][0] if i < len(steps) else np.inf
+            mates = [x for x, q in at.items() if q == here]
+            alone = i >= len(steps)  # beyond the root of the rest its lineage moves too
+            r_co, r_mi = 2 * len(mates) / theta[here], leave[here]
+            r_top = leave[at[g.root]] if alone and g.root in at else 0.0
+            total = r_co + r_mi + r_top
+            dt = rng.exponential(1 / total) if total > 0 else np.inf
+            if t + dt >= upto:
+                t = upto
+                continue
+            t += dt
+            x = rng.random() * total
+            if x < r_co:
+                b = mates[rng.integers(len(mates))]
+                break
+            if x < r_co + r_mi:
+                here = int(rng.choice(len(theta), p=mig[:, here] / leave[here]))
+                path.append((t, here))
+            else:
+                q = at[g.root]
+                at[g.root] = int(rng.choice(len(theta), p=mig[:, q] / leave[q]))
+                top.append((t, at[g.root]))
+        g.path[v] = path
+        if b == g.root:
+            g.path[b] = g.path[b] + top
+        over = int(g.parent[b])
+        below = [m for m in g.path[b] if m[0] <= t]
+        g.path[p] = [m for m in g.path[b] if m[0] > t]
+        g.path[b] = below
+        g._join(v, b, p, t, here)
+        g.parent[p] = over
+        if over >= 0:
+            g.child[over][g.child[over] == b] = p
+        else:
+            g.root = p
+            g.path[p] = []
+        return g
+
+    def _below(self, x: int, v: int) -> bool:
+        while x >= 0:
+            if x == v:
+                return True
+            x = int(self.parent[x])
+        return False
+
+
+def log_density(stats, theta: np.ndarray, mig: np.ndarray) -> float:
+    """Log density of a genealogy with these statistics."""
+    kk, co, kt, mi = stats
+    out = float(np.sum(co * np.log(2 / theta) - kk / theta))
+    off = ~np.eye(len(theta), dtype=bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moves = np.where(mi[off] > 0, mi[off] * np.log(mig[off]), 0.0)
+    return out + float(np.sum(moves) - np.sum(kt * mig.sum(0)))

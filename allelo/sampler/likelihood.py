@@ -1,0 +1,108 @@
+"""Likelihood of data at the tips of a genealogy, by pruning."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+# The bases that a symbol may stand for, as bits of A, C, G, T.
+_BITS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "M": 3, "K": 12, "S": 6, "W": 9, "B": 14, "D": 13, "H": 11, "V": 7}
+
+
+class Brownian:
+    """Repeat numbers that drift: a branch adds its length to the variance of the difference."""
+
+    def __init__(self, values):
+        self.values = np.asarray(values, float)
+
+    def __call__(self, g) -> float:
+        mean, extra = np.zeros(len(g.time)), np.zeros(len(g.time))
+        mean[: g.n] = np.nan_to_num(self.values, nan=np.nanmean(self.values) if np.isfinite(self.values).any() else 0.0)
+        extra[: g.n] = np.where(np.isnan(self.values), 1e6, 0.0)
+        total = 0.0
+        for p in _inner(g):
+            a, b = g.child[p]
+            va, vb = g.time[p] - g.time[a] + extra[a], g.time[p] - g.time[b] + extra[b]
+            v = va + vb
+            if v <= 0:
+                return -np.inf
+            total += -0.5 * (math.log(2 * math.pi * v) + (mean[a] - mean[b]) ** 2 / v)
+            mean[p] = (mean[a] * vb + mean[b] * va) / v
+            extra[p] = va * vb / v
+        return total
+
+
+class Sequences:
+    """Sites under a time-reversible model of the Tamura-Nei family; equal columns are computed once.
+
+    model: JC69, K2P, F81, F84, HKY or TN; ``kappa`` transition ratios (purines, pyrimidines) where the model has them.
+    """
+
+    def __init__(self, rows: list[str], model: str = "JC69", kappa=(2.0, 2.0), freqs=None, rates=(1.0,), shares=(1.0,)):
+        codes = np.array([[_BITS.get(c.upper(), 15) for c in r] for r in rows], np.uint8)
+        patterns, self.weight = np.unique(codes, axis=1, return_counts=True)
+        self.tips = ((patterns[..., None] >> np.arange(4)) & 1).astype(float)
+        pi = np.full(4, 0.25) if model in ("JC69", "K2P") else np.asarray(base_frequencies(codes) if freqs is None else freqs, float)
+        self.pi = pi
+        r, y = (kappa if model == "TN" else (kappa[0], kappa[0])) if model not in ("JC69", "F81") else (1.0, 1.0)
+        if model == "F84":  # kappa adds to transitions in proportion to the class of the base
+            r, y = 1 + r / (pi[0] + pi[2]), 1 + y / (pi[1] + pi[3])
+        q = np.tile(pi, (4, 1))
+        q[0, 2] *= r
+        q[2, 0] *= r
+        q[1, 3] *= y
+        q[3, 1] *= y
+        np.fill_diagonal(q, 0)
+        np.fill_diagonal(q, -q.sum(1))
+        q /= -np.sum(pi * np.diag(q))
+        root = np.sqrt(pi)
+        self.lam, u = np.linalg.eigh((q * root[:, None]) / root)
+        self.left, self.right = u / root[:, None], u.T * root
+        self.rates, self.shares = np.asarray(rates, float), np.asarray(shares, float)
+
+    def transition(self, t) -> np.ndarray:
+        return np.clip(np.einsum("ij,...j,jk->...ik", self.left, np.exp(np.multiply.outer(t, self.lam)), self.right), 0, 1)
+
+    def __call__(self, g) -> float:
+        out = None
+        for rate, share in zip(self.rates, self.shares, strict=True):
+            one = math.log(share) + self._site_logs(g, rate)
+            out = one if out is None else np.logaddexp(out, one)
+        return float(np.sum(self.weight * out))
+
+    def _site_logs(self, g, rate: float) -> np.ndarray:
+        part: list = [*self.tips] + [None] * (g.n - 1)
+        up = np.where(g.parent >= 0, g.time[g.parent] - g.time, 0.0)
+        p = self.transition(up * rate)
+        scale = np.zeros(self.tips.shape[1])
+        for v in _inner(g):
+            a, b = g.child[v]
+            x = (part[a] @ p[a].T) * (part[b] @ p[b].T)
+            m = x.max(1)
+            m[m <= 0] = 1e-300
+            part[v] = x / m[:, None]
+            scale += np.log(m)
+        with np.errstate(divide="ignore"):
+            return np.log(part[g.root] @ self.pi) + scale
+
+
+class Nothing:
+    """No data: the posterior is the prior."""
+
+    def __call__(self, g) -> float:
+        return 0.0
+
+
+def base_frequencies(codes: np.ndarray, least: float = 1e-6) -> np.ndarray:
+    """Bases counted with an equal part of each ambiguous symbol; symbols for any base do not count."""
+    bits = ((codes[..., None] >> np.arange(4)) & 1).astype(float)
+    known = codes != 15
+    f = (bits / bits.sum(-1, keepdims=True))[known].sum(0) + 1e-12
+    f = np.maximum(f / f.sum(), least)
+    return f / f.sum()
+
+
+def _inner(g) -> list[int]:
+    """Inner nodes, children first."""
+    return (g.n + np.argsort(g.time[g.n :], kind="stable")).tolist()

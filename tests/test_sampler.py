@@ -1,0 +1,74 @@
+import numpy as np
+import pytest
+
+from allelo.functions.priors import Prior
+from allelo.sampler.chain import Plan, run_chains
+from allelo.sampler.genealogy import Genealogy, log_density
+from allelo.sampler.likelihood import Brownian, Sequences
+
+
+def test_tree_length_of_the_coalescent():
+    rng = np.random.default_rng(3)
+    theta, none = np.array([1.0]), np.zeros((1, 1))
+    mean = np.mean([Genealogy.random([0] * 5, theta, none, rng).length() for _ in range(3000)])
+    assert mean == pytest.approx(sum(1 / (k - 1) for k in range(2, 6)), rel=0.06)
+
+
+def test_regraft_keeps_the_coalescent():
+    rng = np.random.default_rng(4)
+    theta, mig = np.array([1.0, 0.5]), np.array([[0, 1.0], [2.0, 0]])
+    drawn = np.mean([np.concatenate([x.ravel() for x in Genealogy.random([0, 0, 0, 1, 1], theta, mig, rng).statistics(2)]) for _ in range(3000)], 0)
+    g, moved = Genealogy.random([0, 0, 0, 1, 1], theta, mig, rng), []
+    for _ in range(12000):
+        g = g.regraft(theta, mig, rng)
+        moved.append(np.concatenate([x.ravel() for x in g.statistics(2)]))
+    assert np.allclose(drawn, np.mean(moved, 0), rtol=0.15, atol=0.05)
+
+
+def test_prior_only_run_gives_the_prior():
+    plan = Plan(pops=1, theta=Prior("uniform", 0.01, 2.0), steps=8000, every=10, burn_in=500, model="none", heats=(1.0, 0.5))
+    d = run_chains(plan, 1, 1, [0] * 4, [None] * 4)
+    x = np.stack(d["params"])[:, 0]
+    assert np.mean(x) == pytest.approx(1.005, abs=0.12) and np.std(x) == pytest.approx(0.574, abs=0.1)
+
+
+def test_log_density_of_two_lineages():
+    g = Genealogy([0, 0])
+    g._join(0, 1, 2, 0.3, 0)
+    g.root = 2
+    assert log_density(g.statistics(1), np.array([0.5]), np.zeros((1, 1))) == pytest.approx(np.log(4) - 0.3 * 2 / 0.5)
+
+
+def _two(t):
+    g = Genealogy([0, 0])
+    g._join(0, 1, 2, t, 0)
+    g.root = 2
+    return g
+
+
+def test_sequence_likelihood_in_closed_form():
+    p = 0.25 + 0.75 * np.exp(-4 / 3 * 0.2)
+    got = Sequences(["AACG", "AACT"], "JC69")(_two(0.1))
+    assert got == pytest.approx(3 * np.log(0.25 * p) + np.log(0.25 * (1 - p) / 3))
+
+
+@pytest.mark.parametrize("model", ["JC69", "K2P", "F81", "F84", "HKY", "TN"])
+def test_transitions_are_reversible(model):
+    s = Sequences(["AACGTTAC", "AACTTTGC"], model, (3.0, 5.0))
+    p = s.transition(np.array([0.3]))[0]
+    assert np.allclose(p.sum(1), 1) and np.allclose(s.pi[:, None] * p, (s.pi[:, None] * p).T)
+    assert np.allclose(p @ p, s.transition(np.array([0.6]))[0])
+
+
+def test_missing_sites_say_nothing():
+    assert Sequences(["AN?-", "NNNN"])(_two(0.1)) == pytest.approx(np.log(0.25))
+
+
+def test_brownian_likelihood():
+    assert Brownian([10, 12])(_two(0.5)) == pytest.approx(-0.5 * (np.log(2 * np.pi) + 4))
+
+
+def test_data_move_theta():
+    plan = Plan(pops=1, theta=Prior("uniform", 0.01, 60.0), steps=3000, every=10, burn_in=500)
+    low, high = (np.mean(np.stack(run_chains(plan, 1, 1, [0] * 6, v)["params"])) for v in ([10, 10, 10, 11, 10, 11], [10, 18, 3, 25, 12, 30]))
+    assert low < high
