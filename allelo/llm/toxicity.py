@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibration.
 
 Examples are a bounded sample of labelled documents. Terms are words that tell the classes apart on it (seen in enough
-examples, smoothed log odds of LEAST_ODDS or more); vectors are TF-IDF over them, of unit length. The index holds each
+examples, smoothed log odds of LEAST_ODDS and chi-squared of LEAST_CHI2 or more); vectors are TF-IDF over them, of unit length. The index holds each
 term's postings by block of BLOCK examples with the greatest weight in the block; a query looks at blocks in the order of
 their bounds and stops when no bound reaches the K-th best cosine, so the K nearest are exact. They vote with their cosine
 times their class's share among all labelled rows over its share of the sample; votes are calibrated by isotonic regression
@@ -24,8 +24,8 @@ from .common import held_out, learn_sample, map_slices
 from .decontaminate import fold_words
 
 K, BLOCK, LEAST_ODDS = 15, 64, 1.5
-#: Examples (different texts) in which a term must be seen: so many, and such a share of all.
-LEAST_DF, LEAST_SHARE = 4, 0.01
+#: Examples (different texts) in which a term must be seen: so many, and such a share of all; and its chi-squared statistic.
+LEAST_DF, LEAST_SHARE, LEAST_CHI2 = 4, 0.01, 15.0
 #: Bounds of the sample of examples: labelled documents, and bytes of one.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 65536
 
@@ -43,7 +43,13 @@ class Neighbours:
         n0 = len(different) - n1
         least = max(LEAST_DF, LEAST_SHARE * len(different))
         odds = {w: np.log((df[1][w] + 0.5) / (n1 + 1)) - np.log((df[0][w] + 0.5) / (n0 + 1)) for w in df[0] | df[1]}
-        terms = sorted(w for w, o in odds.items() if abs(o) >= LEAST_ODDS and df[0][w] + df[1][w] >= least)
+
+        def chi2(w: bytes) -> float:
+            a, b = df[1][w], df[0][w]
+            c, d = n1 - a, n0 - b
+            return (n1 + n0) * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1)
+
+        terms = sorted(w for w, o in odds.items() if abs(o) >= LEAST_ODDS and df[0][w] + df[1][w] >= least and chi2(w) >= LEAST_CHI2)
         self.terms = {w: i for i, w in enumerate(terms)}
         n1 = self.y.sum()
         n0 = len(self.y) - n1
