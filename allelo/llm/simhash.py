@@ -97,7 +97,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _close_pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal group (sorted) within the distance, as a spanning forest; groups are small."""
+    """Index pairs of equal group (sorted) within the distance, as a spanning forest; ``fps`` has a row or a number each."""
     left, right = [], []
     at = np.arange(len(fps) - 1)
     for shift in range(1, len(fps)):
@@ -105,7 +105,8 @@ def _close_pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.
         at = at[group[at] == group[at + shift]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= distance]
+        differ = np.bitwise_count(fps[at] ^ fps[at + shift])
+        near = at[(differ if differ.ndim == 1 else differ.sum(1, dtype=np.int64)) <= distance]
         left.append(near)
         right.append(near + shift)
         if sum(map(len, left)) > 1 << 20:
@@ -200,3 +201,147 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_nr")).alias("m")
     )
     return rows.join(first.select(F.col("m._nr").alias("_nr")), "_nr", "left_semi").select("_row.*")
+
+
+# --- documents that are similar as sets of shingles: wide fingerprints -------------------------------------------------
+
+#: Words of a wide fingerprint; share of the pairs at the similarity asked for that some table should bring together.
+WIDE, RECALL = 16, 0.98
+_SPREAD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(WIDE)], np.uint64)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
+    """WIDE words of bits, each set in over half of the hashes of the different shingles."""
+    import xxhash
+
+    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    if not ws:
+        return np.zeros(WIDE, np.uint64)
+    joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
+    lengths = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
+    ends = np.cumsum(lengths) - 1
+    n = max(len(ws) - shingle + 1, 1)
+    starts = (ends - lengths + 1)[:n].tolist()
+    stops = ends[min(shingle, len(ws)) - 1 :].tolist()
+    h = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), 248):  # sums of so many bits fit in a byte
+        x = h[i : i + 248, None] * _SPREAD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which fingerprints of two sets of equal size and this Jaccard similarity differ on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _limit(similarity: float, bits: int, deviations: float) -> int:
+    p = differing_share(similarity)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def table_plan(n: int, similarity: float, recall: float = RECALL) -> list[list[int]]:
+    """Bits that each table's key is made of: so many that ``n`` random fingerprints leave few pairs in a bucket, in so many
+    tables that pairs of the similarity share a key in one of them with the probability ``recall``."""
+    bits = min(max(16, int(np.ceil(np.log2(max(n, 2)))) - 4), 40)
+    share = (1 - differing_share(similarity)) ** bits
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - share)))
+    rng = np.random.default_rng(bits)
+    rest: list[int] = []
+    out = []
+    for _ in range(tables):
+        if len(rest) < bits:
+            rest = rng.permutation(64 * WIDE).tolist()
+        out.append([rest.pop() for _ in range(bits)])
+    return out
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from .common import slices
+
+    for batch, texts in slices(batches):
+        fps = [wide_fingerprint(t).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "_wide"])
+
+
+def _wide_links(similarity: float):
+    """Rows (t, key, id, a, b) sorted by t and key -> spanning links of each bucket between ids whose two words are close."""
+    limit = _limit(similarity, 128, 3.0)
+
+    def links(t, key, ids, a, b):
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]) if len(t) else np.zeros(0, bool)
+        x, y = _close_pairs(np.cumsum(new), np.stack([a, b], 1).view(np.uint64), limit)
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+            t, key = held[:2]
+            last = np.flatnonzero((t != t[-1]) | (key != key[-1])) if len(t) else []
+            done = int(last[-1]) + 1 if len(last) else 0
+            if done:
+                yield links(*[h[:done] for h in held])
+                held = [h[done:] for h in held]
+        yield links(*held)
+
+    return run
+
+
+def similar_components(fps: DataFrame, similarity: float) -> DataFrame:
+    """Materialised table of different fingerprints (id, wide) -> (id, root) of those that are linked to another.
+
+    Tables bring candidates together, two words sort out the strangers, and the whole fingerprints decide: a link differs in
+    at most as many bits as nine in ten pairs of the similarity do.
+    """
+    plan = table_plan(fps.count(), similarity)
+    weights = (np.int64(1) << np.arange(max(map(len, plan)))).astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            words = raw.view(np.int64)
+            keys = np.stack([bits[:, b].astype(np.int64) @ weights[: len(b)] for b in plan], 1) if n else np.zeros((0, len(plan)), np.int64)
+            rep = lambda x: pa.array(np.repeat(x, len(plan)))
+            t = np.tile(np.arange(len(plan), dtype=np.int16), n)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys.ravel()), rep(batch.column(0).to_numpy()), rep(words[:, 0]), rep(words[:, 1])], names=["t", "key", "id", "a", "b"])
+
+    dealt = map_batches(fps.select("id", "wide"), deal, "t smallint, key bigint, id bigint, a bigint, b bigint")
+    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "id")
+    pairs = map_batches(dealt, _wide_links(similarity), "u bigint, v bigint").distinct()
+    u, v = fps.select(F.col("id").alias("u"), F.col("wide").alias("wu")), fps.select(F.col("id").alias("v"), F.col("wide").alias("wv"))
+    limit = _limit(similarity, 64 * WIDE, 1.3)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, WIDE) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= limit))
+
+    checked = map_batches(pairs.join(u, "u").join(v, "v").select("u", "v", "wu", "wv"), verify, "u bigint, v bigint")
+    return connected_components(checked).select(F.col("node").alias("id"), "root")
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One document, the one with the smallest doc_id (of repeated rows any), of each group of documents whose sets of
+    5-word shingles have a Jaccard similarity of ``similarity`` or more, linked over each other; with its columns.
+
+    Fingerprints estimate the similarity: see ``RECALL`` and the README for what they find. A text under five words is one
+    shingle; empty and null texts are copies of each other.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
+    schema = packed.withColumn("_wide", F.lit(b"")).schema
+    rows = stored(map_batches(packed, _wide_rows, schema).drop("text").withColumn("_id", F.xxhash64("_wide")))
+    fps = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.first("_wide").alias("wide")))
+    roots = similar_components(fps, similarity)
+    # a table of its own, so that Spark can split a fingerprint that very many documents have when it is joined to them
+    named = stored(fps.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    slim = rows.select("doc_id", "_nr", "_id")
+    first = slim.join(named, slim["_id"] == named["id"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_nr")).alias("m"))
+    return rows.join(first.select(F.col("m._nr").alias("_nr")), "_nr", "left_semi").select("_row.*")

@@ -426,3 +426,43 @@ def test_op5_gradients():
 def test_queries_have_names_and_sql():
     assert [n.split("_")[0] for n in contracts.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(oracles.ORACLES) <= set(contracts.QUERIES)
+
+
+def test_similar_documents(docs, empty, spark):
+    rng = np.random.default_rng(4)
+    base = [[f"v{k}" for k in rng.integers(0, 5000, 200)] for _ in range(12)]
+    rows, group = [], []
+    for g, w in enumerate(base):
+        rows.append(" ".join(w))
+        group.append(g)
+        near = list(w)
+        near[50], near[140] = "changed", "too"  # 10 of 196 shingles: similarity 0.9
+        rows.append(" ".join(near))
+        group.append(g)
+        far = list(w)
+        for k in range(5, 200, 12):
+            far[k] = "other"  # similarity about 0.4
+        rows.append(" ".join(far))
+        group.append(100 + g)
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    want = sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
+    assert sorted(r["doc_id"] for r in simhash.keep_one_similar(d).collect()) == want
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns
+    texts = {" ".join(blank_words(lower(r["text"]))) for r in kept.collect()}
+    assert kept.count() == len(texts) and {" ".join(blank_words(lower(r[1]))) for r in ROWS} - texts <= {" ".join(blank_words(lower(r[1]))) for r in ROWS}
+    assert simhash.keep_one_similar(empty).count() == 0
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as p
+
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [n for n, _ in p.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "personal data", "mixing"]
+    d, n = raw, raw.count()
+    for _, stage in p.STAGES[:-1]:
+        d = p.stored(stage(spark, d, sf))
+        assert d.columns == raw.columns and d.count() <= n
+        n = d.count()
+    out = p.STAGES[-1][1](spark, d, sf)
+    assert 0 < d.join(out, "doc_id", "left_semi").count() <= n and out.agg(F.sum("mix_words")).first()[0] == pytest.approx(1.5 * d.select(F.sum(mixing.n_words(F.col("text")))).first()[0], rel=0.01)
