@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.priors import Prior
 from ..ship import ship
 from .genealogy import Genealogy, log_density
-from .likelihood import Brownian, Nothing, Sequences
+from .likelihood import Brownian, Nothing, Sequences, States
 
 
 @dataclass
 class Plan:
     """What a run does. ``theta`` and ``migration`` are priors of all population sizes and of all rates; ``heats`` are the
-    inverse temperatures, the cold chain first; ``tree_share`` is the share of moves that change the genealogy."""
+    inverse temperatures, the cold chain first, adapted every so many steps of the burn-in (0: not at all); ``tree_share`` is
+    the share of moves that change the genealogy."""
 
     pops: int = 1
     theta: Prior = field(default_factory=lambda: Prior("uniform", 1e-4, 0.1))
@@ -32,6 +33,7 @@ class Plan:
     tree_share: float = 0.5
     slice_share: float = 0.5
     target: float = 0.44
+    adapt_every: int = 0
     model: str = "brownian"
     seed: int = 1
 
@@ -44,6 +46,8 @@ class Chain:
     def __init__(self, plan: Plan, likelihood, tip_pops, rng, heat: float):
         self.plan, self.like, self.rng, self.heat = plan, likelihood, rng, heat
         n = plan.pops
+        self.unassigned = [t for t, p in enumerate(tip_pops) if p < 0]
+        tip_pops = [int(rng.integers(n)) if p < 0 else p for p in tip_pops]
         self.theta = np.atleast_1d(plan.theta.draw(rng, n)).astype(float)
         self.mig = np.zeros((n, n))
         self.off = [(j, i) for i in range(n) for j in range(n) if i != j]
@@ -80,7 +84,11 @@ class Chain:
         return out
 
     def move_tree(self) -> None:
-        new = self.tree.regraft(self.theta, self.mig, self.rng)
+        if self.unassigned and self.rng.random() < 0.2:  # an individual of unknown origin moves with its lineage
+            tip = self.unassigned[int(self.rng.integers(len(self.unassigned)))]
+            new = self.tree.regraft(self.theta, self.mig, self.rng, tip, int(self.rng.integers(self.plan.pops)))
+        else:
+            new = self.tree.regraft(self.theta, self.mig, self.rng)
         # the proposal draws from the prior of genealogies: a heated chain pays for the part it does not weigh
         data = self.like(new)
         stats = new.statistics(self.plan.pops)
@@ -149,6 +157,17 @@ def swap(chains: list[Chain], rng) -> tuple[int, bool]:
     return i, ok
 
 
+def adapt_heats(heats: list[float], tried: np.ndarray, taken: np.ndarray, by: float = 0.1) -> list[float]:
+    """Inverse temperatures moved by a tenth: together where swaps are too rare, apart where nearly all are taken."""
+    out = list(heats)
+    for i in range(1, len(heats)):
+        rate = taken[i - 1] / max(tried[i - 1], 1)
+        step = (out[i - 1] - heats[i]) * by
+        out[i] = heats[i] + step if rate < 0.1 else heats[i] - step if rate > 0.9 else heats[i]
+        out[i] = min(max(out[i], 0.0), out[i - 1])
+    return out
+
+
 def run_chains(plan: Plan, locus: int, replicate: int, tip_pops: list[int], values: list) -> pd.DataFrame:
     """Samples of the cold chain with the log likelihoods of all temperatures."""
     rng = np.random.default_rng([plan.seed, locus, replicate, zlib.crc32(plan.model.encode())])
@@ -157,15 +176,26 @@ def run_chains(plan: Plan, locus: int, replicate: int, tip_pops: list[int], valu
         like = Nothing()
     elif plan.model == "brownian":
         like = Brownian([np.nan if v is None else float(v) for v in values])
+    elif plan.model == "stepwise":
+        like = States.stepwise(values)
+    elif plan.model == "infinite allele":
+        like = States.infinite_alleles(values)
     else:
         like = Sequences([v or "?" * len(known[0]) for v in values], plan.model)
     chains = [Chain(plan, like, tip_pops, rng, h) for h in plan.heats]
     rows = []
+    tried, taken = np.zeros(len(chains)), np.zeros(len(chains))
     for step in range(1, plan.burn_in + plan.steps + 1):
         for c in chains:
             c.step(step <= plan.burn_in)
         if len(chains) > 1 and step % plan.swap_every == 0:
-            swap(chains, rng)
+            i, ok = swap(chains, rng)
+            tried[i] += 1
+            taken[i] += ok
+        if plan.adapt_every and step % plan.adapt_every == 0 and step <= plan.burn_in:
+            for c, h in zip(chains, adapt_heats([c.heat for c in chains], tried, taken), strict=True):
+                c.heat = h
+            tried[:], taken[:] = 0, 0
         if step > plan.burn_in and (step - plan.burn_in) % plan.every == 0:
             c = chains[0]
             prior = sum(float(p.log_density(c.get(k))) for k, p in enumerate(c._priors()))
@@ -173,16 +203,18 @@ def run_chains(plan: Plan, locus: int, replicate: int, tip_pops: list[int], valu
             row = {"step": step - plan.burn_in, "ln_post": c.data + g + prior, "ln_data": c.data, "ln_prob_g": g, "ln_prior": prior, "tree_n": c.tree.n, "tree_len": c.tree.length()}
             row["temperatures"] = [float(x.data) for x in chains]
             row["params"] = [c.get(k) for k in range(len(c.width))]
+            row["assigned"] = [int(c.tree.pop[t]) + 1 for t in c.unassigned]
             row["accepted"] = (c.taken / np.maximum(c.tried, 1)).tolist()
             rows.append(row)
     return pd.DataFrame(rows)
 
 
-SCHEMA = "locus int, replicate int, step long, ln_post double, ln_data double, ln_prob_g double, ln_prior double, tree_n int, tree_len double, temperatures array<double>, params array<double>, accepted array<double>"
+SCHEMA = "locus int, replicate int, step long, ln_post double, ln_data double, ln_prob_g double, ln_prior double, tree_n int, tree_len double, temperatures array<double>, params array<double>, assigned array<int>, accepted array<double>"
 
 
 def sample(data: DataFrame, work: DataFrame, plan: Plan) -> DataFrame:
     """(locus, tip, pop, value) and a work list (locus, replicate) -> samples; ``params`` as ``parameter_names`` lists them.
+    Tips with null ``pop`` are assigned while sampling; ``assigned`` has their populations in the order of the tips.
 
     One group is one locus' data with all its temperatures; chains of a replicate wait for each other, others do not.
     """
@@ -191,7 +223,7 @@ def sample(data: DataFrame, work: DataFrame, plan: Plan) -> DataFrame:
     def one(key, d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("tip")
         values = [None if pd.isna(v) else v for v in d["value"]]
-        out = run_chains(plan, int(key[0]), int(key[1]), (d["pop"].astype(int) - 1).tolist(), values)
+        out = run_chains(plan, int(key[0]), int(key[1]), [-1 if pd.isna(p) else int(p) - 1 for p in d["pop"]], values)
         out.insert(0, "replicate", int(key[1]))
         out.insert(0, "locus", int(key[0]))
         return out

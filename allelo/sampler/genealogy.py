@@ -110,12 +110,15 @@ class Genealogy:
                 k[b] += 1
         return kk, co, kt, mi
 
-    def regraft(self, theta: np.ndarray, mig: np.ndarray, rng) -> Genealogy:
-        """A random lineage is cut and drawn anew from the coalescent given the rest of the tree, so that what is proposed
-        has to be accepted by likelihood alone."""
+    def regraft(self, theta: np.ndarray, mig: np.ndarray, rng, tip: int | None = None, tip_pop: int | None = None) -> Genealogy:
+        """A random lineage (or that of ``tip``, from then on of population ``tip_pop``) is cut and drawn anew from the
+        coalescent given the rest of the tree, so that what is proposed has to be accepted by likelihood alone."""
         g = self.copy()
         v = int(rng.integers(len(g.time) - 1))
         v = v if v < g.root else v + 1
+        if tip is not None:
+            v = tip
+            g.pop[v] = tip_pop
         p = int(g.parent[v])
         s = int(g.child[p, 0] if g.child[p, 1] == v else g.child[p, 1])
         up = int(g.parent[p])

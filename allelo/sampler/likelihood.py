@@ -39,9 +39,14 @@ class Sequences:
     model: JC69, K2P, F81, F84, HKY or TN; ``kappa`` transition ratios (purines, pyrimidines) where the model has them.
     """
 
-    def __init__(self, rows: list[str], model: str = "JC69", kappa=(2.0, 2.0), freqs=None, rates=(1.0,), shares=(1.0,)):
+    def __init__(self, rows: list[str], model: str = "JC69", kappa=(2.0, 2.0), freqs=None, rates=(1.0,), shares=(1.0,), variable_only: bool = False):
+        """``rates`` with ``shares`` mix rates of sites; ``variable_only``: only sites that vary were looked for, so each
+        counts given that it varies."""
         codes = np.array([[_BITS.get(c.upper(), 15) for c in r] for r in rows], np.uint8)
         patterns, self.weight = np.unique(codes, axis=1, return_counts=True)
+        self.variable_only = variable_only
+        if variable_only:  # four more columns, one base each
+            patterns = np.hstack([patterns, np.tile(np.array([1, 2, 4, 8], np.uint8), (len(rows), 1))])
         self.tips = ((patterns[..., None] >> np.arange(4)) & 1).astype(float)
         pi = np.full(4, 0.25) if model in ("JC69", "K2P") else np.asarray(base_frequencies(codes) if freqs is None else freqs, float)
         self.pi = pi
@@ -69,6 +74,9 @@ class Sequences:
         for rate, share in zip(self.rates, self.shares, strict=True):
             one = math.log(share) + self._site_logs(g, rate)
             out = one if out is None else np.logaddexp(out, one)
+        if self.variable_only:
+            same = min(float(np.exp(out[-4:]).sum()), 1 - 1e-15)
+            return float(np.sum(self.weight * (out[:-4] - np.log1p(-same))))
         return float(np.sum(self.weight * out))
 
     def _site_logs(self, g, rate: float) -> np.ndarray:
@@ -87,6 +95,50 @@ class Sequences:
             return np.log(part[g.root] @ self.pi) + scale
 
 
+class States:
+    """Alleles as states that change into each other at the rates ``q`` (symmetric, one change a unit of time at most)."""
+
+    def __init__(self, tips: list[int | None], q: np.ndarray):
+        n = len(q)
+        self.tips = np.array([np.ones(n) if t is None else np.eye(n)[t] for t in tips])
+        self.lam, self.u = np.linalg.eigh(q)
+
+    @classmethod
+    def infinite_alleles(cls, values: list) -> States:
+        """Every change makes an allele; the ones not seen are one more state."""
+        seen = sorted({v for v in values if v is not None})
+        n = len(seen) + 1
+        q = np.full((n, n), 1 / (n - 1))
+        np.fill_diagonal(q, -1.0)
+        return cls([None if v is None else seen.index(v) for v in values], q)
+
+    @classmethod
+    def stepwise(cls, values: list, margin: int = 10, up: float = 0.5, further: float = 0.0) -> States:
+        """Repeat numbers that change by one at a time, or with the probability ``further`` by yet another each; lengths go
+        ``margin`` beyond those seen. Only symmetric changes are offered (``up`` = 0.5)."""
+        if up != 0.5:
+            raise ValueError("changes up and down must be equally likely")
+        known = [int(v) for v in values if v is not None]
+        low, n = min(known) - margin, max(known) - min(known) + 2 * margin + 1
+        d = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+        q = np.where(d > 0, 0.5 * (1 - further) * further ** np.maximum(d - 1, 0), 0.0)
+        np.fill_diagonal(q, -q.sum(1))
+        return cls([None if v is None else int(v) - low for v in values], q)
+
+    def __call__(self, g) -> float:
+        part: list = [*self.tips] + [None] * (g.n - 1)
+        total = 0.0
+        for v in _inner(g):
+            x = 1.0
+            for c in g.child[v]:
+                x = x * np.maximum(self.u @ (np.exp(self.lam * (g.time[v] - g.time[c])) * (self.u.T @ part[c])), 0)
+            m = x.max()
+            if m <= 0:
+                return -np.inf
+            part[v], total = x / m, total + math.log(m)
+        return total + math.log(part[g.root].mean())
+
+
 class Nothing:
     """No data: the posterior is the prior."""
 

@@ -162,6 +162,19 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
     return d.select(*keys, "_c.locus", "_c.sublocus", F.lit(1).alias("copy"), F.lit(None).cast("int").alias("site"), "_c.value", "_c.datatype")
 
 
+def join_interleaved(lines: DataFrame, individuals: int, name_width: int = 10) -> DataFrame:
+    """Interleaved sequences of one population: blocks of a line each individual, names only in the first block.
+    ``lines`` (nr from 0, line) -> (ind, ind_name, seq)."""
+    d = lines.select((F.col("nr") % individuals + 1).cast("int").alias("ind"), F.floor(F.col("nr") / individuals).alias("block"), "line")
+    first = F.col("block") == 0
+    part = F.when(first, F.substring(F.col("line"), F.lit(name_width + 1), F.length("line"))).otherwise(F.col("line"))
+    d = d.groupBy("ind").agg(
+        F.max(F.when(first, stripped(F.substring("line", 1, name_width)))).alias("ind_name"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.translate(part, " \t", "").alias("s")))), lambda x: x["s"]), "").alias("seq"),
+    )
+    return d.select("ind", "ind_name", "seq")
+
+
 def explode_sites(d: DataFrame) -> DataFrame:
     """Sequences site by site; symbols without information (``N X ? O -``) are null."""
     chars = F.filter(F.split("value", ""), lambda c: c != "")

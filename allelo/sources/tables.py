@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lines import numbered, stripped
@@ -37,8 +38,6 @@ def read_site_values(spark: SparkSession, path: str) -> DataFrame:
     """Weights or categories of sites as digits and letters (A is 10) -> (site, value); blanks are ignored."""
     d = numbered(spark, path).select("nr", F.posexplode(F.filter(F.split("line", ""), lambda c: c.rlike("[0-9A-Za-z]"))).alias("_p", "c"))
     lengths = d.groupBy("nr").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
     before = F.coalesce(F.sum("n").over(W.orderBy("nr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     d = d.join(lengths.select("nr", before.alias("b")), "nr")
     v = F.when(F.col("c").rlike("[0-9]"), F.col("c").cast("int")).otherwise(F.ascii(F.upper("c")) - 55)
@@ -82,3 +81,22 @@ def merge_samples(a: DataFrame, b: DataFrame) -> DataFrame:
     last = a.agg(F.max("Locus").alias("_last"))
     b = b.crossJoin(F.broadcast(last)).withColumn("Locus", F.col("Locus") + F.coalesce("_last", F.lit(0))).drop("_last")  # one row
     return a.unionByName(b, allowMissingColumns=True)
+
+
+#: Text tables of a run: their columns in order.
+FILES = {
+    "histogram": ["locus", "param", "in50", "in95", "value", "count", "freq", "cumfreq", "prior"],
+    "events": ["locus", "param", "bin", "age", "n_all", "n_mrca"],
+    "skyline": ["locus", "param", "bin", "age", "mean", "sd", "weight"],
+}
+
+
+def write_table(d: DataFrame, path: str, kind: str) -> None:
+    """A histogram, event or skyline table as tab-separated text with a header."""
+    d.select(*FILES[kind]).write.option("sep", "\t").option("header", True).csv(path)
+
+
+def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    whole = {"locus", "param", "bin", "count", "n_all", "n_mrca"}
+    schema = ", ".join(f"{c} {'boolean' if c.startswith('in') else 'long' if c in whole else 'double'}" for c in FILES[kind])
+    return spark.read.option("sep", "\t").option("header", True).schema(schema).csv(path)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from allelo.functions import model
 from allelo.functions import special as sp
 from allelo.functions.priors import Prior, bin_prior, log_density_col
 from allelo.operators import chains, events, frequencies, marginal, posterior
@@ -100,3 +101,22 @@ def test_stream(spark, tmp_path, sf):
     q.processAllAvailable()
     q.stop()
     assert spark.table("bins").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_migration_matrix(spark):
+    rows = model.parse_matrix("{xs0 sxm 0mc}", 3)
+    at = {(r["from_pop"], r["to_pop"]): r for r in rows}
+    assert at[2, 1]["rep_idx"] == at[1, 2]["rep_idx"] and at[3, 2]["rep_idx"] == at[2, 3]["rep_idx"]
+    assert [r["estimated"] for r in rows[:3]] == [True, True, False] and not at[3, 1]["estimated"]
+    dim = spark.createDataFrame([tuple(r.values()) for r in rows], "param_idx int, kind string, from_pop int, to_pop int, setting string, rep_idx int, estimated boolean")
+    assert sorted(r["param_idx"] for r in model.representatives(spark.range(9).select(F.col("id").cast("int").alias("param_idx")), dim).collect()) == [0, 1, 3, 6]
+    with pytest.raises(ValueError):
+        model.parse_matrix("xx", 3)
+
+
+def test_tables_round_trip(spark, tmp_path):
+    from allelo.sources import tables
+
+    d = spark.createDataFrame([(1, 2, 3, 0.5, 4, 1)], "locus long, param long, bin long, age double, n_all long, n_mrca long")
+    tables.write_table(d, str(tmp_path / "e"), "events")
+    assert tables.read_table(spark, str(tmp_path / "e"), "events").collect() == d.collect()

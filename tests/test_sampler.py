@@ -1,10 +1,12 @@
+import math
+
 import numpy as np
 import pytest
 
 from allelo.functions.priors import Prior
-from allelo.sampler.chain import Plan, run_chains
+from allelo.sampler.chain import Plan, adapt_heats, run_chains
 from allelo.sampler.genealogy import Genealogy, log_density
-from allelo.sampler.likelihood import Brownian, Sequences
+from allelo.sampler.likelihood import Brownian, Sequences, States
 
 
 def test_tree_length_of_the_coalescent():
@@ -72,3 +74,42 @@ def test_data_move_theta():
     plan = Plan(pops=1, theta=Prior("uniform", 0.01, 60.0), steps=3000, every=10, burn_in=500)
     low, high = (np.mean(np.stack(run_chains(plan, 1, 1, [0] * 6, v)["params"])) for v in ([10, 10, 10, 11, 10, 11], [10, 18, 3, 25, 12, 30]))
     assert low < high
+
+
+def test_allele_states_in_closed_form():
+    # two alleles and the rest: P(same after t) = 1/3 + 2/3 exp(-1.5 t) with rate 1/2 to each other state
+    p = 1 / 3 + 2 / 3 * np.exp(-1.5 * 0.2)
+    two = States.infinite_alleles(["a", "b"])
+    assert two(_two(0.1)) == pytest.approx(np.log((1 - p) / 2 / 3))
+
+
+def test_steps_follow_a_random_walk():
+    t = 0.2
+    walk = sum(np.exp(-t) * (t / 2) ** (2 * j + 1) / (math.factorial(j) * math.factorial(j + 1)) for j in range(20))
+    n = 1 + 2 * 30 + 1
+    assert States.stepwise([10, 11], margin=30)(_two(t / 2)) == pytest.approx(np.log(walk / n), rel=1e-6)
+
+
+def test_variable_sites_count_given_that_they_vary():
+    t = _two(0.1)
+    every, given = Sequences(["A", "C"])(t), Sequences(["A", "C"], variable_only=True)(t)
+    p = 0.25 + 0.75 * np.exp(-4 / 3 * 0.2)
+    assert given == pytest.approx(every - np.log(1 - p))
+
+
+@pytest.mark.parametrize("model,values", [("stepwise", ["5", "6", "9", None]), ("infinite allele", ["a", "b", "a", None]), ("HKY", ["ACGT", "ACGA", "AC?T", None])])
+def test_models_run(model, values):
+    d = run_chains(Plan(pops=1, theta=Prior("uniform", 0.01, 5.0), steps=200, every=10, burn_in=50, model=model), 1, 1, [0] * 4, values)
+    assert len(d) == 20 and np.isfinite(d["ln_data"]).all()
+
+
+def test_unassigned_individuals_find_their_population():
+    plan = Plan(pops=2, theta=Prior("uniform", 0.01, 2.0), migration=Prior("uniform", 0.0, 0.2), steps=6000, every=10, burn_in=1000)
+    d = run_chains(plan, 1, 1, [0, 0, 0, 1, 1, 1, -1], ["10", "10", "11", "30", "31", "30", "30"])
+    assert np.mean([a[0] == 2 for a in d["assigned"]]) > 0.8
+
+
+def test_heats_adapt():
+    assert adapt_heats([1.0, 0.5, 0.2], np.array([10, 10, 0]), np.array([0, 10, 0])) == pytest.approx([1.0, 0.55, 0.2 - 0.1 * 0.35])
+    plan = Plan(pops=1, theta=Prior("uniform", 0.01, 2.0), steps=100, burn_in=200, heats=(1.0, 0.9, 0.2), adapt_every=50, model="none")
+    assert len(run_chains(plan, 1, 1, [0] * 4, [None] * 4)) == 5
