@@ -181,7 +181,8 @@ def components(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     r, k = reps.alias("r"), linked.alias("k")
     component = F.coalesce(F.col("k.component_id"), F.col("r.rep")).alias("component_id")
-    return r.join(k, F.col("r.fp") == F.col("k.fp"), "left").select(F.col("r.fp").alias("fp"), component)
+    # a table of its own, so that Spark can split a fingerprint that very many documents have when it is joined to them
+    return stored(r.join(k, F.col("r.fp") == F.col("k.fp"), "left").select(F.col("r.fp").alias("fp"), component))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
