@@ -41,9 +41,17 @@ PATTERNS = {
     "card": r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: First characters of the patterns that not every word can start; with these most places fail at once.
+_FIRST = {"secret": "[tTpPsSaA]", "key": "A", "iban": "[A-Z]", "ip": "[0-9]", "phone": "[0-9+(]", "ssn": "[0-9]", "card": "[0-9]"}
+_TITLE_FIRST = "[" + "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL})) + "]"
+#: All but persons start where no ASCII letter or digit stands before, so that is asked once for all of them.
+ANY = (
+    "(?<![A-Za-z0-9])(?:"
+    + "|".join(f"(?={_FIRST[k]})(?:{p})" if k in _FIRST else f"(?:{p})" for k, p in PATTERNS.items() if k != "person")
+    + f")|(?={_TITLE_FIRST})(?:{PATTERNS['person']})"
+)
 #: Texts without this have no entity.
-HINT = rf"[0-9@]|[=:]|{_TITLES}"
+HINT = rf"[0-9@=:{_TITLE_FIRST[1:]}"
 _VALUE = r"^(.*?[=:] ?[\"']?)(.*?)([\"']?)$"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Syllables of invented names, and endings by gender.
@@ -59,6 +67,11 @@ def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often and in whatever lambdas ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _digest(kind: Column, norm: Column, turn: Column) -> Column:
     """128 hex digits of a keyed hash."""
     seed = F.concat_ws("|", F.lit(KEY), kind, turn.cast("string"), norm)
@@ -108,10 +121,14 @@ def _normal(kind: Column, text: Column) -> Column:
 
 def _surrogate(kind: Column, norm: Column, turn: Column) -> Column:
     """The surrogate of a normal form."""
-    d = _digest(kind, norm, turn)
+    return _bound(_digest(kind, norm, turn), lambda d: _from_digest(kind, norm, turn, d))
+
+
+def _from_digest(kind: Column, norm: Column, turn: Column, d: Column) -> Column:
     domain = F.regexp_extract(norm, "@(.*)$", 1)
     # the domain depends on the domain alone, its last label stays
-    mapped = F.concat(_remap(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), _digest(F.lit("domain"), domain, F.lit(0))), F.lit("."), F.regexp_extract(domain, r"([^.]*)$", 1))
+    changed = _bound(_digest(F.lit("domain"), domain, F.lit(0)), lambda x: _remap(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), x))
+    mapped = F.concat(changed, F.lit("."), F.regexp_extract(domain, r"([^.]*)$", 1))
     email = F.concat(_remap(F.regexp_extract(norm, "^([^@]*)@", 1), d), F.lit("@"), mapped)
 
     def octet(o, i):
@@ -244,7 +261,7 @@ def replace_entities(docs: DataFrame) -> DataFrame:
     """``docs`` as struct ``_row`` with ``_new``, its text with surrogates, and ``_n``, how many entities were replaced."""
     d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
     d = d.withColumn("_t1", F.xxhash64("_text")).withColumn("_t2", F.xxhash64(F.lit("second"), F.col("_text")))
-    found = stored(_with_parts(d.where(F.col("_text").rlike(HINT))).where(F.size("_m") > 0).select("_t1", "_t2", F.array_distinct(F.transform(F.flatten("_m"), lambda e: F.struct(e["kind"].alias("kind"), e["norm"].alias("norm")))).alias("e")))
+    found = stored(_with_parts(d.where(F.col("_text").rlike(HINT) & F.col("_text").rlike(ANY))).select("_t1", "_t2", F.array_distinct(F.transform(F.flatten("_m"), lambda e: F.struct(e["kind"].alias("kind"), e["norm"].alias("norm")))).alias("e")))
     moved = collisions(stored(found.select(F.explode("e").alias("e")).select("e.kind", "e.norm").distinct()))
     # which texts hold entities of a later turn
     hold = found.select("_t1", "_t2", F.explode("e").alias("e")).select("_t1", "_t2", "e.kind", "e.norm").distinct().join(moved, ["kind", "norm"])
@@ -253,7 +270,7 @@ def replace_entities(docs: DataFrame) -> DataFrame:
 
     def one(e):
         turn = F.coalesce(F.col("_turns")[F.concat_ws("|", e["kind"], e["norm"])], F.lit(0))
-        return _render(e["kind"], e["text"], _surrogate(e["kind"], e["norm"], turn))
+        return _bound(_surrogate(e["kind"], e["norm"], turn), lambda s: _render(e["kind"], e["text"], s))
 
     def match(parts, m):
         names = F.concat(F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1), F.array_join(F.transform(parts, one), " "))
@@ -261,7 +278,8 @@ def replace_entities(docs: DataFrame) -> DataFrame:
 
     new = F.transform(F.arrays_zip(F.col("_m").alias("p"), _matches(F.col("_text")).alias("t")), lambda x: match(x["p"], x["t"]))
     gaps = F.split("_text", ANY, -1)
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
+    # both arrays are computed once a text here; inside a lambda over the gaps, ``new`` would be computed for every gap
+    text = F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     return d.select("_row", F.when(F.size("_m") > 0, text).otherwise(F.col("_text")).alias("_new"), F.size("_m").alias("_n"))
 
 
