@@ -11,8 +11,8 @@
    column; where it reaches LENGTH, the window that starts there occurs elsewhere.
 4. Marks go back to the documents by the hashes of their texts; bytes that marked windows cover are removed.
 
-Grams with over SHARD contexts are dealt to several indexes; the windows that their own index does not match are compared
-over all of them by hashed counts, so no group has to fit in one task. Contexts and texts are told apart by 64 and 128 bits
+Grams with over SHARD contexts are dealt to several indexes. Each tells the hashes of all its windows, those it matched
+once; a window that it did not match is repeated if another index tells its hash too, so no group has to fit in one task. Contexts and texts are told apart by 64 and 128 bits
 of hash. Documents with equal text are one text here and get equal marks.
 
 Defined cases: null is an empty text; texts under LENGTH bytes lose nothing; repeated rows lose every byte from LENGTH
@@ -173,29 +173,40 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-_MARKS = "t1 bigint, t2 bigint, marks array<struct<a:int,b:int>>, open array<struct<at:int,w:bigint>>"
+_MARKS = "t1 bigint, t2 bigint, marks array<struct<a:int,b:int>>, open array<struct<at:int,w:bigint>>, met array<bigint>"
 
 
 def _indexer(shard: int):
-    """Contexts sorted by gram and part -> marks: runs of matched windows, by distance from the gram. ``open``: windows of
-    a divided gram that its own index does not match, with their hashes."""
+    """Contexts sorted by gram and part -> marks: runs of matched windows, by distance from the gram. Of divided grams also
+    ``open``: windows that their own index does not match, with their hashes; ``met``: hashes of those it does, each once."""
     mark_kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    open_kind = pa.list_(pa.struct([("at", pa.int32()), ("w", pa.int64())]))
 
     def index(rows: list[dict]) -> pa.RecordBatch:
         import xxhash
 
-        signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-        marks, left = [], []
+        digest = xxhash.xxh64_intdigest
+        marks, at, hashes, met, n_open, n_met = [], [], [], [], [0], [0]
         got = matched_windows([r["data"] for r in rows], [r["back"] for r in rows]) if rows else []
         for r, flags in zip(rows, got, strict=True):
-            start = r["pos"] - r["back"]
+            start, data = r["pos"] - r["back"], r["data"]
             marks.append([{"a": a + start, "b": b + start} for a, b in _runs(flags)] if r["n"] < 2 else [])
-            rest = np.flatnonzero(~flags).tolist() if r["d"] > shard else ()
-            left.append([{"at": i + start, "w": signed(xxhash.xxh64_intdigest(r["data"][i : i + LENGTH], 1))} for i in rest])
+            divided = r["d"] > shard
+            rest = np.flatnonzero(~flags) if divided else np.zeros(0, np.int64)
+            at.append(rest + start)
+            hashes.append(np.array([digest(data[i : i + LENGTH], 1) for i in rest.tolist()], np.uint64))
+            twins = np.flatnonzero(flags).tolist() if divided else []
+            met.append(np.array([digest(data[i : i + LENGTH], 1) for i in twins], np.uint64))
+            n_open.append(n_open[-1] + len(rest))
+            n_met.append(n_met[-1] + len(twins))
+        joined = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+        windows = pa.StructArray.from_arrays([pa.array(joined(at, np.int64).astype(np.int32)), pa.array(joined(hashes, np.uint64).view(np.int64))], names=["at", "w"])
+        left = pa.ListArray.from_arrays(pa.array(n_open, pa.int32()), windows)
+        told = joined(met, np.uint64)
+        once = np.sort(np.unique(told, return_index=True)[1])
+        told = pa.ListArray.from_arrays(pa.array(np.searchsorted(once, n_met), pa.int32()), pa.array(told[once].view(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], pa.int64()) for k in ("t1", "t2")] + [pa.array(marks, mark_kind), pa.array(left, open_kind)],
-            names=["t1", "t2", "marks", "open"],
+            [pa.array([r[k] for r in rows], pa.int64()) for k in ("t1", "t2")] + [pa.array(marks, mark_kind), left, told],
+            names=["t1", "t2", "marks", "open", "met"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +272,8 @@ def repeated_windows(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     indexed = stored(map_batches(cut, _indexer(shard), _MARKS))
     found = indexed.select("t1", "t2", F.explode("marks").alias("m"))
     rest = indexed.select("t1", "t2", F.explode("open").alias("o")).select("t1", "t2", "o.at", "o.w")
-    twice = rest.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("w")
+    told = rest.select("w").union(indexed.select(F.explode("met").alias("w")))
+    twice = told.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("w")
     rest = rest.join(twice, "w").select("t1", "t2", F.struct(F.col("at").alias("a"), F.col("at").alias("b")).alias("m"))
     return full.union(found).union(rest).groupBy("t1", "t2").agg(F.collect_set("m").alias("_starts"))
 

@@ -301,6 +301,26 @@ def test_op9_passages(spark):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
 
 
+@pytest.mark.parametrize("copies", [3, 4])
+def test_op9_parts_of_a_divided_gram(spark, monkeypatch, copies):
+    """Passages around one line in 3 or 4 documents, in indexes of their own: splits of 2-1 and 3-1 leave no copy."""
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join("abcdefgh ij"[i] for i in rng.integers(0, 11, n))
+    lines = [text(32) for _ in range(400)]
+    line = min(lines, key=lambda x: int(suffix._grams(np.frombuffer(x.encode(), np.uint8))[0]))  # owns its windows
+    passages = [text(100) + line + text(100) for _ in range(8)]
+    texts = [text(250) + p + text(250) for p in passages for _ in range(copies)]
+    monkeypatch.setattr(suffix, "TOGETHER", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # so that an index ends with its part
+    try:
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix.remove_repeats(d, len(texts) // 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
+
+
 def test_op9_index_alone():
     rng = np.random.default_rng(6)
     rows = ["".join("ab"[i] for i in rng.integers(0, 2, 30)).encode() for _ in range(80)]
