@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_slices, stored
+from .common import map_batches, map_slices, slices, stored
 from .components import connected_components
 
 SHINGLE = 3
@@ -204,145 +204,188 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.join(first.select(F.col("m._nr").alias("_nr")), "_nr", "left_semi").select("_row.*")
 
 
-# --- documents that are similar as sets of shingles: wide fingerprints -------------------------------------------------
+# --- documents that are similar as sets of shingles: prefix filtering, exact similarity --------------------------------
 
-#: Words of a wide fingerprint; share of the pairs at the similarity asked for that some table should bring together.
-WIDE, RECALL = 16, 0.98
-_SPREAD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(WIDE)], np.uint64)
+#: Documents that tell which shingles are common; from so many of them a shingle counts as common.
+SAMPLE, COMMON = 10000, 3
+#: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
+BLOCK = 512
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """WIDE words of bits, each set in over half of the hashes of the different shingles."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the different shingles; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not ws:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
     lengths = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
     ends = np.cumsum(lengths) - 1
-    n = max(len(ws) - shingle + 1, 1)
-    starts = (ends - lengths + 1)[:n].tolist()
+    starts = (ends - lengths + 1)[: max(len(ws) - shingle + 1, 1)].tolist()
     stops = ends[min(shingle, len(ws)) - 1 :].tolist()
-    h = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
-    counts = np.zeros(64 * WIDE, np.int64)
-    for i in range(0, len(h), 248):  # sums of so many bits fit in a byte
-        x = h[i : i + 248, None] * _SPREAD
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
 
-def differing_share(similarity: float) -> float:
-    """Share of bits in which fingerprints of two sets of equal size and this Jaccard similarity differ on average."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity or more; two empty ones have."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if len(small) < similarity * len(large) - 1e-9:
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def _limit(similarity: float, bits: int, deviations: float) -> int:
-    p = differing_share(similarity)
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+def _prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's shingles, rare ones first: two sets of the similarity share one of them."""
+    words, seen = common
+    rank = np.zeros(len(h), np.int64)
+    if len(words) and len(h):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        rank = np.where(words[at] == h, seen[at], 0)
+    n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+    return h[np.argsort(rank, kind="stable")][:n]
 
 
-def table_plan(n: int, similarity: float, recall: float = RECALL) -> list[list[int]]:
-    """Bits that each table's key is made of: so many that ``n`` random fingerprints leave few pairs in a bucket, in so many
-    tables that pairs of the similarity share a key in one of them with the probability ``recall``."""
-    bits = min(max(16, int(np.ceil(np.log2(max(n, 2)))) - 4), 40)
-    share = (1 - differing_share(similarity)) ** bits
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - share)))
-    rng = np.random.default_rng(bits)
-    rest: list[int] = []
-    out = []
-    for _ in range(tables):
-        if len(rest) < bits:
-            rest = rng.permutation(64 * WIDE).tolist()
-        out.append([rest.pop() for _ in range(bits)])
-    return out
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded sample of texts hold, with their counts. They give the order of the shingles, on
+    which the amount of work depends and the result does not."""
+    n = docs.count()
+    grid = 1 << 30
+    some = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("shingles")), F.lit(grid)) < min(grid, SAMPLE * grid // max(n, 1))).distinct()
 
-
-def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .common import slices
-
-    for batch, texts in slices(batches):
-        fps = [wide_fingerprint(t).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "_wide"])
-
-
-def _wide_links(similarity: float):
-    """Rows (t, key, id, a, b) sorted by t and key -> spanning links of each bucket between ids whose two words are close."""
-    limit = _limit(similarity, 128, 3.0)
-
-    def links(t, key, ids, a, b):
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]) if len(t) else np.zeros(0, bool)
-        x, y = _close_pairs(np.cumsum(new), np.stack([a, b], 1).view(np.uint64), limit)
-        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches):
+            h = np.concatenate([np.zeros(0, np.uint64), *map(shingle_set, texts)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["w"])
+
+    got = map_batches(some, run, "w bigint").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    words, seen = got.column("w").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    o = np.argsort(words)
+    return words[o], seen[o]
+
+
+def _pairs(similarity: float):
+    """Rows (w, i, j, block, id, root, n, pos) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and not yet
+    connected, that can have the similarity by their sizes and the shingle's place in both sets."""
+
+    def pairs(w, i, j, block, ids, root, n, pos) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(w) else np.zeros(0, bool)
+        group = np.cumsum(new)
+        at = np.arange(len(w))
+        for shift in range(1, len(w)):
+            at = at[at + shift < len(w)]
+            at = at[group[at] == group[at + shift]]
+            if not len(at):
+                break
+            to = at + shift
+            ok = (root[at] != root[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
+            ok &= np.minimum(n[at] - pos[at], n[to] - pos[to]) >= similarity / (1 + similarity) * (n[at] + n[to]) - 1e-6
+            ok &= np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-6
+            if ok.any():
+                x, y = ids[at[ok]], ids[to[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 8
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            t, key = held[:2]
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1])) if len(t) else []
+            w, i, j = held[:3]
+            last = np.flatnonzero((w != w[-1]) | (i != i[-1]) | (j != j[-1])) if len(w) else []
             done = int(last[-1]) + 1 if len(last) else 0
             if done:
-                yield links(*[h[:done] for h in held])
+                yield from pairs(*[h[:done] for h in held])
                 held = [h[done:] for h in held]
-        yield links(*held)
+        yield from pairs(*held)
 
     return run
 
 
-def similar_components(fps: DataFrame, similarity: float) -> DataFrame:
-    """Materialised table of different fingerprints (id, wide) -> (id, root) of those that are linked to another.
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            keep = []
+            for u, v, tu, tv in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for k, t in ((u, tu), (v, tv)):
+                    if k not in sets:
+                        sets[k] = shingle_set(t)
+                keep.append(similar(sets[u], sets[v], similarity))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    u, v = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "uv")
+    return map_batches(pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv"), run, "u bigint, v bigint")
+
+
+def similar_components(prefixes: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Different sets as (id, n, prefix) and their texts (id, text) -> (id, root) of those that are linked to another.
 
-    Tables bring candidates together, two words sort out the strangers, and the whole fingerprints decide: a link differs in
-    at most as many bits as nine in ten pairs of the similarity do.
+    Sets of the similarity share a shingle of their prefixes. At first every set is compared with the one of the smallest id
+    at each of these, which connects most of a large group by few comparisons; then all pairs at a shingle that are not
+    connected yet are compared. Only exact similarities make links, so this gives the components of all pairs.
     """
-    plan = table_plan(fps.count(), similarity)
-    weights = (np.int64(1) << np.arange(max(map(len, plan)))).astype(np.int64)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")
-            words = raw.view(np.int64)
-            keys = np.stack([bits[:, b].astype(np.int64) @ weights[: len(b)] for b in plan], 1) if n else np.zeros((0, len(plan)), np.int64)
-            rep = lambda x: pa.array(np.repeat(x, len(plan)))
-            t = np.tile(np.arange(len(plan), dtype=np.int16), n)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys.ravel()), rep(batch.column(0).to_numpy()), rep(words[:, 0]), rep(words[:, 1])], names=["t", "key", "id", "a", "b"])
-
-    dealt = map_batches(fps.select("id", "wide"), deal, "t smallint, key bigint, id bigint, a bigint, b bigint")
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "id")
-    pairs = map_batches(dealt, _wide_links(similarity), "u bigint, v bigint").distinct()
-    u, v = fps.select(F.col("id").alias("u"), F.col("wide").alias("wu")), fps.select(F.col("id").alias("v"), F.col("wide").alias("wv"))
-    limit = _limit(similarity, 64 * WIDE, 1.3)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, WIDE) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= limit))
+            lists = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            size = np.array([len(x) for x in lists], np.int64)
+            ids, n = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), pa.array(ids), pa.array(n), pa.array(pos.astype(np.int32))], names=["w", "id", "n", "pos"])
+
+    posts = map_batches(prefixes.select("id", "n", "prefix"), post, "w bigint, id bigint, n int, pos int")
+    several = posts.groupBy("w").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
+    posts = stored(posts.join(several, "w"))
+    star = stored(posts.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct())
+    links = stored(_verified(star, texts, similarity))
+    roots = connected_components(links).select(F.col("node").alias("id"), "root")
+    rest = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = stored(rest.drop("first", "c"))
+    mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
+    rest = rest.join(mixed.select("w", "c"), "w").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "pos")
+    rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
+    more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
+    return connected_components(links.union(_verified(stored(more), texts, similarity))).select(F.col("node").alias("id"), "root")
+
+
+def _set_rows(similarity: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch, texts in slices(batches):
+            ids, n, prefix = [], [], []
+            for t in texts:
+                h = shingle_set(t)
+                ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                n.append(len(h))
+                prefix.append(_prefix(h, similarity, common.value).tobytes())
+            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_id", "_n", "_prefix"])
 
-    checked = map_batches(pairs.join(u, "u").join(v, "v").select("u", "v", "wu", "wv"), verify, "u bigint, v bigint")
-    return connected_components(checked).select(F.col("node").alias("id"), "root")
+    return run
 
 
-def keep_one_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """One document, the one with the smallest doc_id (of repeated rows any), of each group of documents whose sets of
     5-word shingles have a Jaccard similarity of ``similarity`` or more, linked over each other; with its columns.
 
-    Fingerprints estimate the similarity: see ``RECALL`` and the README for what they find. A text under five words is one
-    shingle; empty and null texts are copies of each other.
+    Every such pair is found and decided by the sets themselves (of 64-bit hashes). A text under five words is one shingle;
+    empty and null texts are copies of each other.
     """
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))  # bounded by the sample
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
-    schema = packed.withColumn("_wide", F.lit(b"")).schema
-    rows = stored(map_batches(packed, _wide_rows, schema).drop("text").withColumn("_id", F.xxhash64("_wide")))
-    fps = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.first("_wide").alias("wide")))
-    roots = similar_components(fps, similarity)
-    # a table of its own, so that Spark can split a fingerprint that very many documents have when it is joined to them
-    named = stored(fps.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_prefix", F.lit(b"")).schema
+    rows = stored(map_batches(packed, _set_rows(similarity, common), schema).drop("text"))
+    ids = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.min("_nr").alias("_nr")))
+    one = rows.join(ids.select("_nr"), "_nr", "left_semi")
+    roots = similar_components(one.select(F.col("_id").alias("id"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix")), one.select(F.col("_id").alias("id"), F.col("_row.text").alias("text")), similarity, block)
+    # a table of its own, so that Spark can split a set that very many documents have when it is joined to them
+    named = stored(ids.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     slim = rows.select("doc_id", "_nr", "_id")
     first = slim.join(named, slim["_id"] == named["id"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_nr")).alias("m"))
     return rows.join(first.select(F.col("m._nr").alias("_nr")), "_nr", "left_semi").select("_row.*")

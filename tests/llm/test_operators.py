@@ -474,6 +474,48 @@ def test_similar_documents(docs, empty, spark):
     assert simhash.keep_one_similar(empty).count() == 0
 
 
+def shingles(t):
+    w = blank_words(lower(t))
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute_similar(texts, similarity=0.8):
+    """Smallest number of each group of linked texts."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def edited(words, places):
+    return " ".join(f"e{k}x{words[0]}" if k in places else w for k, w in enumerate(words))
+
+
+@pytest.mark.parametrize("block", [2, simhash.BLOCK])
+def test_similar_documents_by_brute_force(spark, block):
+    """Copies around the limit, groups whose first member is a stranger to the rest, short texts, chains, a common line."""
+    rng = np.random.default_rng(14)
+    line = " ".join(f"common{k}" for k in range(12))
+    texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d", "A  b c d", "a b c", None, "", "odd even"]
+    for g in range(12):
+        w = [f"g{g}v{k}" for k in rng.integers(0, 5000, 204)]
+        texts.append(" ".join(w) + (f" {line}" if g % 2 else ""))
+        for _ in range(7):  # 200 shingles, about five less and five more for each edit: 3 to 6 edits are about the limit
+            texts.append(edited(w, set(rng.integers(0, 204, rng.integers(2, 8)).tolist())) + (f" {line}" if g % 2 else ""))
+    for g in range(6):  # a chain: every step takes more edits
+        w = [f"c{g}v{k}" for k in range(150)]
+        texts += [edited(w, set(range(2, 2 + 6 * k, 6))) for k in range(8)]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one_similar(d, 0.8, **({"block": block} if block == 2 else {})).collect()) == brute_similar(texts)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
