@@ -210,6 +210,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 SAMPLE, COMMON = 10000, 3
 #: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
 BLOCK = 512
+#: Words of a set's bits of parity.
+PARITY = 8
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -227,6 +229,13 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set fall on each of 64 PARITY places: where two sets differ here, they do so in at least
+    one hash of the place, so they have at least as many hashes apart as bits."""
+    count = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((count & 1).astype(bool), bitorder="little").view(np.uint64)
+
+
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have this Jaccard similarity or more; two empty ones have."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -267,10 +276,10 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(similarity: float):
-    """Rows (w, i, j, block, id, root, n, pos) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and not yet
-    connected, that can have the similarity by their sizes and the shingle's place in both sets."""
+    """Rows (w, i, j, block, id, root, n, pos, bits) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and not
+    yet connected, that can have the similarity by their sizes, the shingle's place in both sets and their bits of parity."""
 
-    def pairs(w, i, j, block, ids, root, n, pos) -> Iterator[pa.RecordBatch]:
+    def pairs(w, i, j, block, ids, root, n, pos, bits) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(w) else np.zeros(0, bool)
         group = np.cumsum(new)
         at = np.arange(len(w))
@@ -283,14 +292,19 @@ def _pairs(similarity: float):
             ok = (root[at] != root[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
             ok &= np.minimum(n[at] - pos[at], n[to] - pos[to]) >= similarity / (1 + similarity) * (n[at] + n[to]) - 1e-6
             ok &= np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-6
+            left, right = at[ok], to[ok]
+            apart = np.bitwise_count(bits[left] ^ bits[right]).sum(1, dtype=np.int64)
+            ok = apart <= (1 - similarity) / (1 + similarity) * (n[left] + n[right]) + 1e-6
             if ok.any():
-                x, y = ids[at[ok]], ids[to[ok]]
+                x, y = ids[left[ok]], ids[right[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 8
+        held = [np.zeros(0, np.int64)] * 8 + [np.zeros((0, PARITY), np.uint64)]
         for batch in batches:
-            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]]
+            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, PARITY))
+            held = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             w, i, j = held[:3]
             last = np.flatnonzero((w != w[-1]) | (i != i[-1]) | (j != j[-1])) if len(w) else []
             done = int(last[-1]) + 1 if len(last) else 0
@@ -321,7 +335,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def similar_components(prefixes: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Different sets as (id, n, prefix) and their texts (id, text) -> (id, root) of those that are linked to another.
+    """Different sets as (id, n, prefix, bits) and their texts (id, text) -> (id, root) of those that are linked to another.
 
     Sets of the similarity share a shingle of their prefixes. At first every set is compared with the one of the smallest id
     at each of these, which connects most of a large group by few comparisons; then all pairs at a shingle that are not
@@ -345,9 +359,9 @@ def similar_components(prefixes: DataFrame, texts: DataFrame, similarity: float,
     rest = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rest = stored(rest.drop("first", "c"))
     mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
-    rest = rest.join(mixed.select("w", "c"), "w").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
+    rest = rest.join(mixed.select("w", "c"), "w").join(prefixes.select("id", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "pos")
+    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "pos", "bits")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
     more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
     return connected_components(links.union(_verified(stored(more), texts, similarity))).select(F.col("node").alias("id"), "root")
@@ -358,14 +372,15 @@ def _set_rows(similarity: float, common):
         import xxhash
 
         for batch, texts in slices(batches):
-            ids, n, prefix = [], [], []
+            ids, n, prefix, bits = [], [], [], []
             for t in texts:
                 h = shingle_set(t)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 n.append(len(h))
                 prefix.append(_prefix(h, similarity, common.value).tobytes())
-            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_id", "_n", "_prefix"])
+                bits.append(parity(h).tobytes())
+            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_id", "_n", "_prefix", "_bits"])
 
     return run
 
@@ -379,11 +394,12 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, block: int = BLOC
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))  # bounded by the sample
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
-    schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_prefix", F.lit(b"")).schema
+    schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_prefix", F.lit(b"")).withColumn("_bits", F.lit(b"")).schema
     rows = stored(map_batches(packed, _set_rows(similarity, common), schema).drop("text"))
     ids = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.min("_nr").alias("_nr")))
     one = rows.join(ids.select("_nr"), "_nr", "left_semi")
-    roots = similar_components(one.select(F.col("_id").alias("id"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix")), one.select(F.col("_id").alias("id"), F.col("_row.text").alias("text")), similarity, block)
+    sets = one.select(*[F.col(f"_{c}").alias(c) for c in ("id", "n", "prefix", "bits")])
+    roots = similar_components(sets, one.select(F.col("_id").alias("id"), F.col("_row.text").alias("text")), similarity, block)
     # a table of its own, so that Spark can split a set that very many documents have when it is joined to them
     named = stored(ids.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     slim = rows.select("doc_id", "_nr", "_id")
