@@ -4,7 +4,8 @@ Each position of a text is labelled: a forward and a backward recurrence read a
 states at a byte give its language probabilities. A document's probabilities are the mean over all its positions. The
 network learns by backpropagation through time on segments of a bounded sample of documents with a known language.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; null languages are not learned; without any
+Defined cases: a text that is null or has no letter is ``und`` with score 0; null languages are not learned, nor such as
+only held-out documents have; without any
 known language everything is ``und``; repeated rows are labelled alike; an empty table gives an empty result.
 """
 
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, map_slices
 
 SEGMENT, HIDDEN = 64, 8
-#: Bounds of the training sample: documents of a language, bytes of one, languages (the most frequent ones).
+#: Bounds of the training sample: documents of a language, bytes of one, and languages that have so many documents each;
+#: of more languages all are learned, each from fewer documents.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_LANGUAGES = 300, 16384, 64
 STEPS, BATCH, RATE, TRAIN_SEGMENT = 300, 128, 0.02, 48
 _LANES = 4096
@@ -158,21 +160,32 @@ def train(sample: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) ->
 
 
 def _sample(docs: DataFrame, modulus: int, held: int, rows: int, max_bytes: int, languages: int) -> list[tuple[str, str]]:
-    """About ``rows`` documents of each of the most frequent languages, chosen by a hash of the id, in one scan."""
+    """At most ``rows`` documents of each language, the first by a hash of the id, in one scan; of a language without texts of
+    up to ``max_bytes`` bytes pieces of longer ones. Of over ``languages`` languages each has fewer documents."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % modulus != held))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    known = known.where(F.octet_length("text") > 0).withColumn("_long", F.octet_length("text") > max_bytes)
+    counts = known.groupBy("lang").agg(F.sum((~F.col("_long")).cast("long")).alias("short"), F.count("*").alias("n")).collect()
     if not counts:
         return []
+    each = max(1, min(rows, rows * languages // len(counts)))
     grid = 1 << 30
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(grid, rows * grid // r["n"]))) for r in counts], F.lit(0))
-    fine = known.where((F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(grid)) < share) & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    got = fine.select("lang", "text", "doc_id").limit(2 * rows * len(counts)).collect()
+    # of many usable documents a share is ranked, far more than are needed
+    shares = [(r["lang"], r["short"] == 0, min(grid, (2 * each + 50) * grid // (r["short"] or r["n"]))) for r in counts]
+    wanted = docs.sparkSession.createDataFrame(shares, "lang string, _long boolean, _share long")  # a row a language
+    nr = F.xxhash64("doc_id", F.lit("language"))
+    fine = known.join(F.broadcast(wanted), ["lang", "_long"]).where(F.pmod(nr, F.lit(grid)) < F.col("_share"))
+    width = max(1, max_bytes // 4)  # characters
+    place = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - width, F.lit(0)) + 1).cast("int") + 1
+    piece = F.when(F.col("_long"), F.substring(F.col("text"), place, F.lit(width))).otherwise(F.col("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(nr, "doc_id", F.xxhash64("text")))
+    got = fine.select("lang", piece.alias("text"), "doc_id", rank.alias("_k")).where(F.col("_k") <= each).collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return [(r["lang"], r["text"]) for r in got]
 
 
 def fit(docs: DataFrame, modulus: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, languages: int = SAMPLE_LANGUAGES):
-    return train(_sample(docs, modulus, held, rows, max_bytes, languages))
+    sample = _sample(docs, modulus, held, rows, max_bytes, languages)
+    return train(sample, STEPS * max(1, -(-len({lang for lang, _ in sample}) // languages)))
 
 
 def label_texts(model: Labeller | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

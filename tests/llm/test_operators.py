@@ -419,6 +419,21 @@ def test_op5(learned, empty, spark):
     assert {r["lang_pred"] for r in language.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_op5_learns_every_language(spark):
+    """More languages than have a full share, and one with long texts only."""
+    rows = [(i, f"word{i % 70} " * 9, f"l{i % 70:02d}", "s", 1, "", "", "") for i in range(1400)]
+    rows += [(2000 + i, "õä üö " * 5000, "long", "s", 1, "", "", "") for i in range(8)]
+    rows += [(3000 + i, "plain words " * 6, "l00", "s", 1, "", "", "") for i in range(400)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    sample = language._sample(d, 4, 2, language.SAMPLE_ROWS, language.SAMPLE_BYTES, language.SAMPLE_LANGUAGES)
+    assert {lang for lang, _ in sample} == {f"l{i:02d}" for i in range(70)} | {"long"}
+    count = Counter(lang for lang, _ in sample)
+    assert max(count.values()) <= 300 and max(len(t.encode()) for _, t in sample) <= 16384
+    two = d.where("lang in ('l00', 'long')")
+    got = two.select("doc_id", "lang").join(language.languages(two), "doc_id").where("lang = 'long'").collect()
+    assert len(got) == 8 and all(r["lang_pred"] == "long" for r in got)
+
+
 def test_op5_gradients():
     net = language.Labeller(["a", "b"], 5)
     for part in (net.ahead, net.back):
