@@ -10,7 +10,7 @@ Luhn check pass it again; the parts of a person's name become invented names of
 
 Collision checks keep different entities different: all entities of the corpus are compared by surrogate, and all but one
 of those that share it, or whose surrogate is itself an entity of the corpus, are hashed anew with the next number, until
-none collides. Texts only need to be joined with those few numbers; everything else is computed in place.
+none collides; e-mail addresses, IP octets and secrets get longer after some turns, and collisions that are left are an error. Texts only need to be joined with those few numbers; everything else is computed in place.
 
 Defined cases: null and empty texts stay; repeated rows get equal texts; text around entities is not changed; an empty
 table gives an empty result. Other columns pass through.
@@ -60,7 +60,8 @@ _SYLLABLES = {
     "cyrillic": ("ба", "ве", "ди", "го", "за", "ке", "ли", "мо", "ну", "пе", "ри", "со", "та", "фе", "ви", "жу"),
 }
 _ENDINGS = {"latin": {"m": "n", "f": "la", "n": "s"}, "cyrillic": {"m": "н", "f": "ла", "n": "с"}}
-_ROUNDS = 20
+#: Rounds of the collision checks; from turn _LONGER on surrogates that a short form has too few of get longer.
+_ROUNDS, _LONGER = 20, 8
 
 
 def _chars(s: Column) -> Column:
@@ -129,11 +130,13 @@ def _from_digest(kind: Column, norm: Column, turn: Column, d: Column) -> Column:
     # the domain depends on the domain alone, its last label stays
     changed = _bound(_digest(F.lit("domain"), domain, F.lit(0)), lambda x: _remap(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), x))
     mapped = F.concat(changed, F.lit("."), F.regexp_extract(domain, r"([^.]*)$", 1))
-    email = F.concat(_remap(F.regexp_extract(norm, "^([^@]*)@", 1), d), F.lit("@"), mapped)
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(turn - _LONGER + 1, F.lit(1))), lambda i: F.substring(F.lit(_LOWER), _byte(d, i + 40) % 26 + 1, F.lit(1)))
+    more = F.when(turn >= _LONGER, F.array_join(letters, "")).otherwise(F.lit(""))
+    email = F.concat(_remap(F.regexp_extract(norm, "^([^@]*)@", 1), d), more, F.lit("@"), mapped)
 
     def octet(o, i):
         b = _byte(d, i * 2) * 256 + _byte(d, i * 2 + 1)
-        return F.when(F.length(o) == 3, b % 156 + 100).when(F.length(o) == 2, b % 90 + 10).otherwise(b % 9 + 1).cast("string")
+        return F.when((F.length(o) == 3) | (turn >= _LONGER), b % 156 + 100).when(F.length(o) == 2, b % 90 + 10).otherwise(b % 9 + 1).cast("string")
 
     ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     body = F.concat(F.substring(norm, 1, 1), _remap(F.substring(norm, F.lit(2), F.length(norm) - 2), d))
@@ -154,7 +157,7 @@ def _from_digest(kind: Column, norm: Column, turn: Column, d: Column) -> Column:
         .when(kind == "phone", F.concat(head, rest))
         .when(kind == "key", key)
         .when(kind == "iban", iban)
-        .when(kind == "secret", secret)
+        .when(kind == "secret", F.concat(secret, more))
         .when(kind.startswith("name"), _invented_name(kind, d, turn))
         .otherwise(_remap(norm, d))
     )
@@ -239,7 +242,7 @@ def collisions(found: DataFrame) -> DataFrame:
     group = F.split("kind", "/")[0]
     now = stored(found.withColumn("turn", F.lit(0)).withColumn("s", _surrogate(F.col("kind"), F.col("norm"), F.col("turn"))))
     known = found.select(group.alias("g"), F.col("norm").alias("real")).distinct()
-    for _ in range(_ROUNDS):
+    for turn in range(_ROUNDS + 1):
         first = now.groupBy(group.alias("g"), F.lower("s").alias("ls")).agg(F.count("*").alias("n"), F.min(F.struct("kind", "norm")).alias("one"))
         shared = first.where(F.col("n") > 1).select("g", "ls", "one")
         real = first.join(known, (first["g"] == known["g"]) & (first["ls"] == F.lower(known["real"])), "left_semi").select("g", "ls", F.lit(True).alias("taken"))
@@ -247,6 +250,8 @@ def collisions(found: DataFrame) -> DataFrame:
         bad = stored(bad)
         if bad.isEmpty():
             break
+        if turn == _ROUNDS:
+            raise RuntimeError(f"surrogates of different entities still collide after {_ROUNDS} rounds")
         b, n = bad.alias("b"), now.alias("n")
         again = F.col("b.ls").isNotNull() & (F.col("b.taken") | (F.struct("n.kind", "n.norm") != F.col("b.one")))
         moved = n.join(b, (F.split("n.kind", "/")[0] == F.col("b.g")) & (F.lower("n.s") == F.col("b.ls")), "left").select(

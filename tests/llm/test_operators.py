@@ -270,6 +270,17 @@ def test_op8_collisions_are_resolved(spark):
     assert len(set(s)) == len(s) == 8 and not set(s) & {r[0] for r in rows}
 
 
+def test_op8_short_forms_at_one_domain_get_longer_surrogates(spark):
+    from allelo.store import stored
+
+    rows = [(f"{a}@x.com",) for a in "abcdefghijklmnopqrstuvwxyz"]  # as many as there are surrogates of one letter
+    found = stored(pii.entities(spark.createDataFrame(rows, "text string").withColumn("_text", F.col("text"))))
+    moved = {r["norm"]: r["turn"] for r in pii.collisions(found).collect()}
+    turn = F.coalesce(*[F.when(F.col("norm") == n, F.lit(t)) for n, t in moved.items()], F.lit(0))
+    s = [r[0] for r in found.select(pii._surrogate(F.col("kind"), F.col("norm"), turn)).collect()]
+    assert len(set(s)) == len(s) == 26
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
