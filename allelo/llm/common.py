@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names (dots included)."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def source_key(source: Column) -> Column:
     """A never-null key whose order is the order of sources by code point, null last."""
     return F.when(source.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), source))
@@ -64,8 +69,8 @@ def learn_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, h
     """At most ``rows`` labelled training texts as (label, text), half of each class where there are so many, chosen by a
     hash of the id; and the share of label 1 among all labelled training rows.
 
-    Rows with crc32(doc_id as text) mod ``modulus`` = ``held``, without a 0/1 label, without text or with over
-    ``max_bytes`` bytes of it are not used. A document with contradicting labels counts with each of them.
+    Rows with crc32(doc_id as text) mod ``modulus`` = ``held``, without a 0/1 label or without text are not used. A text of
+    over ``max_bytes`` bytes gives a piece of it. A document with contradicting labels counts with each of them.
     """
     y = labels.select(F.col("doc_id").alias("_lid"), F.col(label).cast("int").alias("_y"))
     y = y.where(F.col("_lid").isNotNull() & F.col("_y").isin(0, 1) & (F.crc32(F.col("_lid").cast("string")) % modulus != held)).distinct()
@@ -74,8 +79,13 @@ def learn_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, h
         return [], 0.5
     picked = [r for k in (0, 1) for r in y.where(F.col("_y") == k).orderBy(F.xxhash64("_lid"), "_lid").limit(rows // 2).collect()]
     ids = docs.sparkSession.createDataFrame(picked, y.schema)  # of at most ``rows`` rows, so it is broadcast
-    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull() & (F.octet_length("_text") <= max_bytes))
-    got = d.join(F.broadcast(ids), F.col("_id") == F.col("_lid")).select("_y", "_text", "_id").limit(2 * rows).collect()
+    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
+    width = max(1, max_bytes // 4)  # characters, of four bytes at most
+    place = F.pmod(F.xxhash64("_id", F.lit("piece")), F.greatest(F.length("_text") - width, F.lit(0)) + 1).cast("int") + 1
+    piece = F.when(F.octet_length("_text") > max_bytes, F.substring(F.col("_text"), place, F.lit(width))).otherwise(F.col("_text"))
+    # repeated ids are rare but could be many: the first rows by hash, id, text and label, always the same ones
+    found = d.join(F.broadcast(ids), F.col("_id") == F.col("_lid")).select("_y", piece.alias("_text"), "_id")
+    got = found.orderBy(F.xxhash64("_id"), "_id", "_text", "_y").limit(2 * rows).collect()
     got.sort(key=lambda r: (r["_y"], r["_id"], r["_text"]))
     return [(r["_y"], r["_text"]) for r in got], count.get(1, 0) / sum(count.values())
 

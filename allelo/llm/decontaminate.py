@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import map_batches, slices, whole_row
 
 WINDOW = 10
 #: Bytes of benchmark text in a block that is sent to the tasks at once.
@@ -181,7 +181,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     """The rows of ``docs`` as struct ``_row``, with ``_n_words`` and ``_matches``: (start, length in words, item_id,
     item_start) of the maximal matches."""
     spark = docs.sparkSession
-    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    d = docs.select(whole_row(docs).alias("_row"), F.col("text").alias("_text"))
     d = d.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_matches", F.expr(f"CAST(array() AS {_HITS})"))
     for block in _blocks(benchmark, block_bytes):
         d = _find_block(d, spark.sparkContext.broadcast(Index(block, window)), d.schema)

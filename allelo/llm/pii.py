@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_row
 
 KEY = "allelo surrogate key 1"
 # Titles by gender.
@@ -264,7 +264,7 @@ def collisions(found: DataFrame) -> DataFrame:
 
 def replace_entities(docs: DataFrame) -> DataFrame:
     """``docs`` as struct ``_row`` with ``_new``, its text with surrogates, and ``_n``, how many entities were replaced."""
-    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    d = docs.select(whole_row(docs).alias("_row"), F.col("text").alias("_text"))
     d = d.withColumn("_t1", F.xxhash64("_text")).withColumn("_t2", F.xxhash64(F.lit("second"), F.col("_text")))
     found = stored(_with_parts(d.where(F.col("_text").rlike(HINT) & F.col("_text").rlike(ANY))).select("_t1", "_t2", F.array_distinct(F.transform(F.flatten("_m"), lambda e: F.struct(e["kind"].alias("kind"), e["norm"].alias("norm")))).alias("e")))
     moved = collisions(stored(found.select(F.explode("e").alias("e")).select("e.kind", "e.norm").distinct()))

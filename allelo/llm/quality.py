@@ -6,7 +6,8 @@ every filter go into one logistic output. The network learns by gradient descent
 rows; its output is shifted to the share of good documents among all labelled rows.
 
 Defined cases: null and empty texts are scored as an empty document; without labels of both kinds every score is the share
-of label 1 (0.5 without labels); repeated rows are scored alike; an empty table gives an empty result.
+of label 1 (0.5 without labels); a score depends on the document's text alone, whatever rows are beside it; very long texts
+are scored whole; an empty table gives an empty result; columns of any name pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -16,21 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learn_sample, map_slices
+from .common import held_out, learn_sample, map_slices, whole_row
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 256, 8, 2, 6, 16
-#: Bounds of the training sample: labelled documents, and bytes of one.
+#: Bounds of the training sample: labelled documents, and bytes of one (of longer ones a piece at a hashed place).
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8192
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 
 
 def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one byte array, each padded with zeros to whole chunks (one at least); chunks of each."""
-    chunks = np.array([max(1, -(-len(t) // CHUNK)) for t in texts], np.int64)
+    """All texts in one byte array, each padded with zeros to whole chunks; chunks of each. WIDTH zeros begin a text, so the
+    last windows of the text before it read zeros and no window reads bytes of two texts."""
+    chunks = np.array([-(-(len(t) + WIDTH) // CHUNK) for t in texts], np.int64)
     out = bytearray()
     for t, n in zip(texts, chunks.tolist(), strict=True):
+        out += bytes(WIDTH)
         out += t
-        out += bytes(n * CHUNK - len(t))
+        out += bytes(n * CHUNK - WIDTH - len(t))
     out += bytes(WIDTH)
     return np.frombuffer(bytes(out), np.uint8), chunks
 
@@ -154,5 +157,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    d = docs.select(whole_row(docs).alias("_row"), F.col("text"))
     return with_scores(d, fit(docs, labels)).where(F.col("_score") >= threshold).select("_row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_slices, slices, stored
+from .common import map_batches, map_slices, slices, stored, whole_row
 from .components import connected_components
 
 SHINGLE = 3
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (of repeated rows any), with its columns."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
+    packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
     rows = stored(with_fingerprints(packed).drop("text"))
     c = components(rows.select("doc_id", "_fp"), distance)
     slim = rows.select("doc_id", "_nr", "_fp")
@@ -393,7 +393,7 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, block: int = BLOC
     empty and null texts are copies of each other.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))  # bounded by the sample
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
+    packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
     schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_prefix", F.lit(b"")).withColumn("_bits", F.lit(b"")).schema
     rows = stored(map_batches(packed, _set_rows(similarity, common), schema).drop("text"))
     ids = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.min("_nr").alias("_nr")))

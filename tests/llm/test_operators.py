@@ -402,6 +402,37 @@ def test_op2_nearest_is_exact(learned):
         assert np.allclose(c, cos[best][: len(c)]) and len(c) == min(5, (cos > 0).sum())
 
 
+def plain_scores(net, texts):
+    """The network by a plain loop over windows."""
+    p, out = net.p, []
+    for t in texts:
+        padded = np.frombuffer(bytes(quality.WIDTH) + t + bytes(2 * quality.CHUNK), np.uint8)
+        tops = []
+        for c in range(0, -(-(len(t) + quality.WIDTH) // quality.CHUNK) * quality.CHUNK, quality.CHUNK):
+            ys = [p["embed"][padded[i : i + quality.WIDTH]].ravel() @ p["filters"] for i in range(c, c + quality.CHUNK, quality.STRIDE)]
+            tops.append(np.maximum(np.max(ys, 0) + p["bias"], 0))
+        z = np.concatenate([np.max(tops, 0), np.mean(tops, 0)]) @ p["out"] + p["out_bias"][0] + net.offset
+        out.append(1 / (1 + np.exp(-float(z))))
+    return out
+
+
+def test_op7_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(21)
+    net = quality.Network(4, 0.3)
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (0, 1, 7, 245, 248, 249, 255, 256, 257, 1000, 70000, 300)]
+    alone = [float(net.scores([t])[0]) for t in texts]
+    for order in (np.arange(len(texts)), rng.permutation(len(texts)), np.arange(len(texts))[::-1]):
+        assert np.allclose(net.scores([texts[i] for i in order]), [alone[i] for i in order], atol=1e-6)
+    assert np.allclose(alone, plain_scores(net, texts), atol=1e-5)
+
+
+def test_op7_repartitioning_changes_no_score(learned):
+    docs, labels = learned
+    m = quality.fit(docs, labels)
+    a, b = ({(r["doc_id"], r["text"]): r["_score"] for r in quality.with_scores(d.select("doc_id", "text"), m).collect()} for d in (docs, docs.repartition(7)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
 def test_op7_gradients():
     net = quality.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
