@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests) a local one is made."""
+    """The folder that driver and executors share, of ``spark.checkpoint.dir``. Without that setting only a local master,
+    whose tasks run on the driver's machine, gets a temporary one; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="allelo-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
