@@ -1,14 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibration.
 
-Examples are a bounded sample of labelled documents. Terms are words that tell the classes apart on it (seen in enough
-examples, smoothed log odds of LEAST_ODDS and chi-squared of LEAST_CHI2 or more); vectors are TF-IDF over them, of unit length. The index holds each
-term's postings by block of BLOCK examples with the greatest weight in the block; a query looks at blocks in the order of
-their bounds and stops when no bound reaches the K-th best cosine, so the K nearest are exact. They vote with their cosine
-times their class's share among all labelled rows over its share of the sample; votes are calibrated by isotonic regression
-of the examples' own leave-one-out votes. A document without terms gets the share of label 1 among examples without terms.
-
-Defined cases: null and empty texts have no terms; without labels of both kinds every score is the share of label 1;
-repeated rows are scored alike; an empty table gives an empty result.
+Examples are the different texts of a bounded sample of labelled documents; every word of every example is a term. Vectors
+are TF-IDF of unit length: 1 + log of the count, times the inverse document frequency, times the word's relevance, which is
+near 1 for words that clearly prefer one class and near LEAST_RELEVANCE, never zero, for all others. The index holds each term's
+postings by block of BLOCK examples with the greatest weight in the block; words of many examples, which every block has, are
+dense rows instead, and give part of each cosine. A query reads the postings of those blocks only whose bound (the best
+part in the block and the greatest weights of the query's other words there) reaches the K-th best part, so the K nearest are
+exact. They vote with a power of their
+cosine (the distance weight) times their class's share among all labelled rows over its share of the sample; votes are
+calibrated by isotonic regression of the examples' own leave-one-out votes, in which equal texts are one example. A document
+without a word of any example gets the share of label 1.
+
+Defined cases: null and empty texts have no words; without labels of both kinds every score is the share of label 1;
+repeated rows are scored alike; very long texts are scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,106 +27,133 @@ from pyspark.sql import functions as F
 from .common import held_out, learn_sample, map_slices
 from .decontaminate import fold_words
 
-K, BLOCK, LEAST_ODDS = 15, 64, 1.5
-#: Examples (different texts) in which a term must be seen: so many, and such a share of all; and its chi-squared statistic.
-LEAST_DF, LEAST_SHARE, LEAST_CHI2 = 4, 0.01, 15.0
-#: Bounds of the sample of examples: labelled documents, and bytes of one.
+K, BLOCK = 15, 32
+#: Share of the examples from which on a word's postings are a dense row; queries at once.
+DENSE, TOGETHER = 1 / 16, 256
+#: Chi-squared statistic of a word at which its relevance is a half; the least relevance; the power of the cosine.
+HALF_RELEVANCE, LEAST_RELEVANCE, POWER = 30.0, 0.1, 2.0
+#: Bounds of the sample of examples: labelled documents, and bytes of one (of longer ones a piece at a hashed place).
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 65536
 
 
+def _spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [start, stop) one after the other, and the range of each."""
+    n = stop - start
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + start[which], which
+
+
 class Neighbours:
     def __init__(self, sample: list[tuple[int, str]], share: float, k: int = K):
         self.k, self.share = k, share
-        self.y = np.array([y for y, _ in sample], np.float64)
-        bags = [Counter(fold_words(t)) for _, t in sample]
+        labels: dict[str, list[int]] = {}
+        for y, t in sample:
+            labels.setdefault(t, []).append(y)
+        y = np.array([np.mean(v) for v in labels.values()])
+        bags = [Counter(fold_words(t)) for t in labels]
         df = [Counter(), Counter()]
-        different = {(y, t): bag for (y, t), bag in zip(sample, bags, strict=True)}
-        for (y, _), bag in different.items():
-            df[y].update(bag.keys())
-        n1 = sum(y for y, _ in different)
-        n0 = len(different) - n1
-        least = max(LEAST_DF, LEAST_SHARE * len(different))
-        odds = {w: np.log((df[1][w] + 0.5) / (n1 + 1)) - np.log((df[0][w] + 0.5) / (n0 + 1)) for w in df[0] | df[1]}
-
-        def chi2(w: bytes) -> float:
-            a, b = df[1][w], df[0][w]
-            c, d = n1 - a, n0 - b
-            return (n1 + n0) * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1)
-
-        terms = sorted(w for w, o in odds.items() if abs(o) >= LEAST_ODDS and df[0][w] + df[1][w] >= least and chi2(w) >= LEAST_CHI2)
+        for bag, label in zip(bags, y, strict=True):
+            df[int(label >= 0.5)].update(bag.keys())
+        n1 = int((y >= 0.5).sum())
+        n0 = len(y) - n1
+        terms = sorted(df[0] | df[1])
         self.terms = {w: i for i, w in enumerate(terms)}
-        n1 = self.y.sum()
-        n0 = len(self.y) - n1
-        self.idf = np.array([np.log((1 + len(bags)) / (1 + df[0][w] + df[1][w])) + 1 for w in terms])
-        self.weight = np.where(self.y == 1, share / max(n1 / len(self.y), 1e-9), (1 - share) / max(n0 / len(self.y), 1e-9))
+        d0, d1 = (np.array([d[w] for w in terms], np.float64) for d in df)
+        # chi-squared of the word and the class
+        chi2 = (n1 + n0) * (d1 * (n0 - d0) - d0 * (n1 - d1)) ** 2 / np.maximum((d1 + d0) * (n1 + n0 - d1 - d0) * n1 * n0, 1)
+        relevance = LEAST_RELEVANCE + (1 - LEAST_RELEVANCE) * chi2**2 / (chi2**2 + HALF_RELEVANCE**2)
+        self.idf = (np.log((1 + n0 + n1) / (1 + d0 + d1)) + 0.1) * relevance
         vectors = [self.vector(b) for b in bags]
-        # the inverted index: postings of (term, block), and the greatest weight of each term in each block
-        blocks = -(-len(bags) // BLOCK)
-        self.top = np.zeros((len(terms), blocks))
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for d, v in enumerate(vectors):
-            if v is not None:
-                for t, w in zip(*v, strict=True):
-                    b = d // BLOCK
-                    docs, weights = lists.setdefault((int(t), b), ([], []))
-                    docs.append(d - b * BLOCK)
-                    weights.append(w)
-                    self.top[t, b] = max(self.top[t, b], w)
-        self.postings = {key: (np.array(a), np.array(w)) for key, (a, w) in lists.items()}
-        none = np.array([v is None for v in vectors])
-        w = self.weight * none
-        self.without = float((w @ self.y + share) / (w.sum() + 1))
-        votes = [(self.vote(*self.nearest(v, leave=d)), self.y[d], self.weight[d]) for d, v in enumerate(vectors) if v is not None]
-        self.steps = _isotonic(votes, share)
+        # similar examples side by side make tight bounds: by class, then by their heaviest term
+        lead = [int(v[0][v[1].argmax()]) if v is not None else -1 for v in vectors]
+        order = np.lexsort((lead, y))
+        self.y = y[order]
+        vectors = [vectors[i] for i in order]
+        share1, share0 = max(self.y.mean(), 1e-9), max(1 - self.y.mean(), 1e-9)
+        self.weight = np.where(self.y >= 0.5, share / share1, (1 - share) / share0)
+        self._index(vectors, d0 + d1)
+        near = self.nearest(vectors, leave=np.arange(len(vectors)))
+        self.steps = _isotonic([(self.vote(*near[d]), self.y[d], self.weight[d]) for d, v in enumerate(vectors) if v is not None])
+
+    def _index(self, vectors: list, df: np.ndarray) -> None:
+        """Dense rows of frequent terms. Postings of the others by term, block and example; of every (term, block) its
+        postings and its greatest weight."""
+        frequent = np.flatnonzero(df >= max(DENSE * len(vectors), 2))
+        self.row = np.full(len(df), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(vectors)))
+        some = [(v[0], v[1], np.full(len(v[0]), d)) for d, v in enumerate(vectors) if v is not None]
+        term, weight, doc = (np.concatenate(c) for c in zip(*some, strict=True))
+        often = self.row[term] >= 0
+        self.dense[self.row[term[often]], doc[often]] = weight[often]
+        o = np.lexsort((doc, term))
+        o = o[~often[o]]
+        term, self.doc, self.w = term[o], doc[o].astype(np.int32), weight[o]
+        self.blocks = -(-len(vectors) // BLOCK)
+        key = term * self.blocks + self.doc // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.cell = np.append(first, len(key))  # postings of a (term, block)
+        self.cell_block = (key[first] % self.blocks).astype(np.int32)
+        self.cell_top = np.maximum.reduceat(self.w, first) if len(first) else np.zeros(0)
+        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(len(df) + 1))
 
     def vector(self, bag: Counter):
         """(terms, weights) of unit length, or None without any term."""
-        found = [(self.terms[w], n) for w, n in bag.items() if w in self.terms]
+        get = self.terms.get
+        found = [(i, n) for w, n in bag.items() if (i := get(w)) is not None]
         if not found:
             return None
-        t = np.array([i for i, _ in found])
-        w = (1 + np.log([n for _, n in found])) * self.idf[t]
+        t, n = np.array(found).T
+        o = np.argsort(t)
+        t, n = t[o], n[o]
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / np.sqrt(w @ w)
 
-    def nearest(self, v, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K examples of greatest cosine (ties by number) among those that share a term, with their cosines."""
+    def nearest(self, vectors: list, leave=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the K examples of greatest cosine (ties by number) among those that share a term, with their
+        cosines, without the example ``leave``."""
+        out: list = []
+        for i in range(0, len(vectors), TOGETHER):
+            some = vectors[i : i + TOGETHER]
+            q = np.zeros((len(some), len(self.dense)))
+            for j, v in enumerate(some):
+                if v is not None:
+                    r = self.row[v[0]]
+                    q[j, r[r >= 0]] = v[1][r >= 0]
+            part = q @ self.dense
+            if leave is not None:
+                part[np.arange(len(some)), leave[i : i + TOGETHER]] = -2.0  # less than any sum
+            out += [self._nearest(v, p) if v is not None else (np.zeros(0, np.int64), np.zeros(0)) for v, p in zip(some, part, strict=True)]
+        return out
+
+    def _nearest(self, v, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = min(self.k, len(part))
         terms, weights = v
-        bounds = weights @ self.top[terms]
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(found) >= self.k and bounds[b] < least - 1e-12:
-                break
-            s = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights, strict=True):
-                if (p := self.postings.get((t, b))) is not None:
-                    s[p[0]] += w * p[1]
-            if 0 <= leave - b * BLOCK < BLOCK:
-                s[leave - b * BLOCK] = 0
-            hit = np.flatnonzero(s > 0)
-            found, cosines = np.append(found, hit + b * BLOCK), np.append(cosines, s[hit])
-            if len(found) > self.k:
-                o = np.lexsort((found, -cosines))[: self.k]
-                found, cosines = found[o], cosines[o]
-            if len(found) >= self.k:
-                least = cosines.min()
-        o = np.lexsort((found, -cosines))
-        return found[o], cosines[o]
+        cell, which = _spans(self.of_term[terms], self.of_term[terms + 1])
+        if len(cell):
+            w, block = weights[which], self.cell_block[cell]
+            bounds = np.bincount(block, w * self.cell_top[cell], self.blocks) + np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
+            open_ = bounds >= np.partition(part, len(part) - k)[len(part) - k] - 1e-9
+            now = open_[block]
+            at, of = _spans(self.cell[cell[now]], self.cell[cell[now] + 1])
+            part = part + np.bincount(self.doc[at], self.w[at] * w[now][of], len(part))
+        near = np.flatnonzero(part >= max(np.partition(part, len(part) - k)[len(part) - k] - 1e-9, 1e-9))
+        cos = np.round(part[near], 9)  # sums in another order may differ by less
+        o = np.lexsort((near, -cos))[: self.k]
+        return near[o], cos[o]
 
     def vote(self, who: np.ndarray, cos: np.ndarray) -> float:
-        w = cos * self.weight[who]
-        return float((w @ self.y[who] + 0.1 * self.share) / (w.sum() + 0.1))
+        w = cos**POWER * self.weight[who]
+        return float((w @ self.y[who] + 1e-3 * self.share) / (w.sum() + 1e-3))
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """Calibrated score, and the nearest examples as evidence."""
-        terms = self.terms
-        v = self.vector(Counter(w for w in fold_words(text) if w in terms))
-        if v is None:
-            return self.without, []
-        who, cos = self.nearest(v)
-        return float(np.interp(self.vote(who, cos), *self.steps)), who.tolist()
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Calibrated score of each text, and its nearest examples as evidence."""
+        vectors = [self.vector(Counter(fold_words(t))) for t in texts]
+        found = self.nearest(vectors)
+        return [(self.share, []) if v is None else (float(np.interp(self.vote(*n), *self.steps)), n[0].tolist()) for v, n in zip(vectors, found, strict=True)]
 
 
-def _isotonic(votes: list[tuple[float, float, float]], share: float) -> tuple[np.ndarray, np.ndarray]:
+def _isotonic(votes: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators on (vote, label, weight); one prior row at either end keeps it within 0 and 1."""
     rows = sorted([(0.0, 0.0, 0.5), *votes, (1.0, 1.0, 0.5)])
     pools: list[list[float]] = []
@@ -147,7 +178,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model=None) -> DataFrame:
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         model = sent.value
-        got = [model.score(t) if isinstance(model, Neighbours) else (float(model), []) for t in texts]
+        got = model.score(texts) if isinstance(model, Neighbours) else [(float(model), [])] * len(texts)
         score = np.array([s for s, _ in got])
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array([len(e) for _, e in got], pa.int32())],

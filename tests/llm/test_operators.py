@@ -388,18 +388,23 @@ def test_op2_nearest_is_exact(learned):
     docs, labels = learned
     sample = [(r["toxic"], r["text"]) for r in docs.join(labels, "doc_id").where("text is not null and toxic is not null").orderBy("doc_id").collect()]
     m = toxicity.Neighbours(sample, 0.3, k=5)
-    vectors = np.zeros((len(sample), len(m.terms)))
     bags = [m.vector(Counter(decontaminate.fold_words(t))) for _, t in sample]
+    lead = [int(v[0][v[1].argmax()]) for v in bags]  # the order of the examples in the index
+    bags = [bags[i] for i in np.lexsort((lead, [y for y, _ in sample]))]
+    vectors = np.zeros((len(sample), len(m.terms)))
     for row, v in zip(vectors, bags, strict=True):
         if v is not None:
             row[v[0]] = v[1]
-    for v in [b for b in bags if b is not None][:60]:
+    some = [b for b in bags if b is not None][:60]
+    for v, (got, c) in zip(some, m.nearest(some), strict=True):
         q = np.zeros(len(m.terms))
         q[v[0]] = v[1]
         cos = vectors @ q
         best = np.lexsort((np.arange(len(cos)), -np.round(cos, 12)))[:5]
-        got, c = m.nearest(v)
         assert np.allclose(c, cos[best][: len(c)]) and len(c) == min(5, (cos > 0).sum())
+    alone = [m.score([t])[0] for _, t in sample[:50]]
+    assert m.score([t for _, t in sample])[:50] == alone  # whatever texts are beside it
+    assert m.score([None, "", "wordless " * 9]) == [(0.3, [])] * 3
 
 
 def plain_scores(net, texts):
