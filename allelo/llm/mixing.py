@@ -5,8 +5,8 @@ integral of the schedule is the source's cumulative word demand; a document that
 is trained on at the time when that demand is reached. The mix is the documents sorted by range on that time.
 
 Defined cases: a null text has 0 words; rows with null source form a source of their own, the last; repeated rows are
-rows of their own; a source without words has target 0; an empty table gives an empty mix. Extra columns pass through
-``curriculum_mix``; columns named like its own (``mix_copy``, ``mix_position``, ``mix_words``) are replaced.
+rows of their own; a source without words has target 0; an empty table gives an empty mix; a very long text is one
+document, of which the last copy may give a part. Extra columns of any name pass through ``curriculum_mix``; columns named like its own (``mix_copy``, ``mix_position``, ``mix_words``) are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, source_key, stored
+from .common import WORD, source_key, stored, whole_row
 
 #: Relative weights, dealt to the sources in turn.
 WEIGHTS = (3, 1, 2)
@@ -82,18 +82,18 @@ def _inverse_demand(u: Column, rank: Column, schedules) -> Column:
     return F.least(s["t"] + F.when(r <= 0, F.lit(0.0)).otherwise(r * F.lit(2.0) / root), F.lit(1.0))
 
 
-def assign(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2, schedules=SCHEDULES) -> DataFrame:
-    """Every row of ``docs`` (doc_id, source and _size needed) with _k, _source_size, _target and _copies: for each copy
-    that the mix takes its number, training time and words. A source's copies follow each other in the order of a hash;
-    the copy at which the target is reached gives only the words still owed.
+def assign(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2, schedules=SCHEDULES) -> DataFrame:
+    """The rows of ``docs`` (doc_id and source needed) as struct ``_row`` with _size, _source_size, _target and _copies: for
+    each copy that the mix takes its number, training time and words. A source's copies follow each other in the order of a
+    hash; the copy at which the target is reached gives only the words still owed.
     """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = docs.withColumn("_k", source_key(F.col("source"))).withColumn("_h", h).withColumn("_b", F.substring("_h", 1, _DIGITS))
-    cells = d.groupBy(F.col("_k").alias("k"), F.col("_b").alias("b")).agg(F.sum("_size").alias("n"))
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    sizes = source_targets(cells.groupBy("k").agg(F.sum("n").alias("source_size")), weights, share, max_repeat)
-    cells = cells.join(sizes, "k")
-    d = d.join(cells, (d["_k"] == cells["k"]) & (d["_b"] == cells["b"]))
+    d = docs.select(whole_row(docs).alias("_row"), size.alias("_size"), source_key(F.col("source")).alias("_k"), h.alias("_h"))
+    d = d.withColumn("_b", F.substring("_h", 1, _DIGITS))
+    cells = d.groupBy("_k", "_b").agg(F.sum("_size").alias("n"))
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sizes = source_targets(cells.groupBy(F.col("_k").alias("k")).agg(F.sum("n").alias("source_size")), weights, share, max_repeat)
+    d = d.join(cells.join(sizes, cells["_k"] == sizes["k"]).drop("k"), ["_k", "_b"])
     upto = F.sum("_size").over(W.partitionBy("_k", "_b").orderBy("_h", "_size").rowsBetween(W.unboundedPreceding, 0))
     d = d.withColumn("_start", F.col("before") + upto - F.col("_size"))
     owed = F.floor(F.col("target") + 0.5)
@@ -103,30 +103,27 @@ def assign(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeat: int
         take = F.greatest(F.least(F.col("_size"), owed - begin), F.lit(0)).cast("long")
         time = _inverse_demand((begin + take / F.lit(2.0)) / F.col("target"), F.col("rank"), schedules)
         copies.append(F.when(take > 0, F.struct(F.lit(e).alias("copy"), time.alias("time"), take.alias("words"))))
-    return d.withColumn("_copies", F.filter(F.array(*copies), lambda c: c.isNotNull())).select(
-        *[F.col(c) for c in docs.columns], F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_copies"
-    )
+    taken = F.filter(F.array(*copies), lambda c: c.isNotNull()).alias("_copies")
+    return d.select("_row", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), taken)
 
 
 def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: a row for each copy of a document that the mix takes, with ``mix_copy``, ``mix_position`` (time
     from 0 to 1) and ``mix_words`` (words to take from it), sorted by range on the position."""
     keep = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_position", "mix_words")]
-    d = assign(docs.select(*keep).withColumn("_size", n_words(F.col("text"))), **options)
-    d = d.select(*keep, F.explode("_copies").alias("_c"))
-    return d.select(*keep, F.col("_c.copy").alias("mix_copy"), F.col("_c.time").alias("mix_position"), F.col("_c.words").alias("mix_words")).orderBy(
-        "mix_position", "doc_id", "mix_copy"
-    )
+    d = assign(docs, n_words(F.col("text")), **options).select("_row", F.explode("_copies").alias("_c"))
+    mine = [F.col("_c.copy").alias("mix_copy"), F.col("_c.time").alias("mix_position"), F.col("_c.words").alias("mix_words")]
+    return d.select(*[F.col("_row")[c].alias(c) for c in keep], *mine).orderBy("mix_position", "doc_id", "mix_copy")
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:
     """A row for each document with the words that the mix takes of it, in training order; text does not leave the scan."""
     slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size")))
-    d = assign(slim, **options)
+    d = assign(slim, F.col("_size"), **options)
     taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
     first = F.floor(F.element_at(F.transform("_copies", lambda c: c["time"]), 1) * 1000000)
     d = d.select(
-        "doc_id",
+        "_row.doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),

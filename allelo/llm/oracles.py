@@ -84,22 +84,12 @@ WITH d AS (
   FROM f WHERE NOT base_failed
 ), h AS (
   SELECT lk, sk, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bin, count(*) AS n FROM m GROUP BY ALL
-), cells AS (
-  SELECT lk, sk, metric, bin, n FROM h
-  UNION ALL SELECT lk, NULL, metric, bin, sum(n) FROM h GROUP BY ALL
-  UNION ALL SELECT NULL, NULL, metric, bin, sum(n) FROM h GROUP BY ALL
 ), cum AS (
-  SELECT *, sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lk, sk, metric) AS total FROM cells
-), q AS (
-  SELECT lk, sk, metric, min(bin) FILTER (upto * 100 >= total * 25) AS q25, min(bin) FILTER (upto * 100 >= total * 75) AS q75, max(total) AS n
-  FROM cum GROUP BY ALL
+  SELECT *, sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lk, sk, metric) AS total FROM h
 ), pick AS (
-  SELECT c.lk, c.sk, c.metric,
-         CASE WHEN c.n >= 50 THEN c.q25 WHEN l.n >= 50 THEN l.q25 ELSE e.q25 END AS q25,
-         CASE WHEN c.n >= 50 THEN c.q75 WHEN l.n >= 50 THEN l.q75 ELSE e.q75 END AS q75,
-         CASE c.metric WHEN 'word_length' THEN 500 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 10 ELSE 50 END AS least
-  FROM q c JOIN q l ON l.lk = c.lk AND l.sk IS NULL AND l.metric = c.metric
-  JOIN q e ON e.lk IS NULL AND e.metric = c.metric WHERE c.sk IS NOT NULL
+  SELECT lk, sk, metric, min(bin) FILTER (upto * 100 >= total * 25) AS q25, min(bin) FILTER (upto * 100 >= total * 75) AS q75,
+         CASE metric WHEN 'word_length' THEN 500 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 10 ELSE 50 END AS least
+  FROM cum GROUP BY ALL
 ), bad AS (
   SELECT r, count(*) AS failed FROM m JOIN pick USING (lk, sk, metric)
   WHERE v > q75 + 3 * greatest(q75 - q25, least) OR (metric = 'word_length' AND v < q25 - 3 * greatest(q75 - q25, least)) GROUP BY r

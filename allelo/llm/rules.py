@@ -1,13 +1,14 @@
 """Quality rules with thresholds learned from mergeable quantile sketches (native DataFrame operations only).
 
 Every metric of every (language, source) is summarised by a histogram with bins of bounded relative width (32 bins to a
-power of two over fixed-point values). Histograms merge by adding counts, so a small group's sketch is merged with those
-of its language, and failing that of the corpus. A document fails a rule if it lies beyond the outer fence of its group,
+power of two over fixed-point values). Histograms merge by adding counts: those of the tasks are added up to the group's.
+Every group, however small, is judged by its own. A document fails a rule if it lies beyond the outer fence of its group,
 q75 + FENCE * max(q75 - q25, least spread); for the word length also below the lower fence. Fences replace fixed cutoffs;
 they move with the group and do not cut a fixed share of a clean one.
 
 Defined cases: a null text has no words and fails the base; null lang or source form groups of their own; equal rows get
-equal verdicts; windows of words are compared by 64-bit hashes within one text; an empty table gives an empty result.
+equal verdicts; windows of words are compared by 64-bit hashes within one text; very long texts are read whole (their words
+are one array); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .common import source_key, stored, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: A group with fewer documents than this uses the sketch merged over its language, or else over everything.
-LEAST_GROUP = 50
+#: Groups up to which their fences, some 200 bytes each, are broadcast; more are joined by Spark's own choice.
+MOST_BROADCAST = 100_000
 FENCE = 3
 #: Per metric: numerator, denominator (fixed point: thousandths), least spread, whether low values fail too.
 METRICS = {
@@ -89,29 +90,23 @@ def sketches(features: DataFrame) -> DataFrame:
 
 
 def thresholds(hist: DataFrame) -> DataFrame:
-    """Lower and upper fence of each (language key, source key, metric) from its sketch, or the merged one it falls back to."""
-    def quartiles(h, keys, name):
-        by = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-        total = W.partitionBy(*keys)
-        q = h.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(by)).withColumn("total", F.sum("n").over(total))
-        first = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bin")))
-        return q.groupBy(*keys).agg(F.struct(first(25).alias("q25"), first(75).alias("q75"), F.max("total").alias("n")).alias(name))
-
-    cell = quartiles(hist, ["lk", "sk", "metric"], "c")
-    language = quartiles(hist, ["lk", "metric"], "l")
-    every = quartiles(hist, ["metric"], "e")
-    t = cell.join(language, ["lk", "metric"]).join(every, ["metric"])
-    q = F.when(F.col("c.n") >= LEAST_GROUP, F.col("c")).when(F.col("l.n") >= LEAST_GROUP, F.col("l")).otherwise(F.col("e"))
+    """Lower and upper fence of each (language key, source key, metric) from its sketch."""
+    keys = ["lk", "sk", "metric"]
+    upto = F.sum("n").over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    q = hist.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
+    first = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bin")))
+    t = q.groupBy(*keys).agg(first(25).alias("q25"), first(75).alias("q75"))
     least = F.create_map(*[F.lit(x) for m, (_, _, s, _) in METRICS.items() for x in (m, s)])
-    t = t.select("lk", "sk", "metric", q.alias("q")).withColumn("spread", F.greatest(F.col("q.q75") - F.col("q.q25"), least[F.col("metric")]))
-    return t.select("lk", "sk", "metric", (F.col("q.q25") - FENCE * F.col("spread")).alias("low"), (F.col("q.q75") + FENCE * F.col("spread")).alias("high"))
+    t = t.withColumn("spread", F.greatest(F.col("q75") - F.col("q25"), least[F.col("metric")]))
+    return t.select(*keys, (F.col("q25") - FENCE * F.col("spread")).alias("low"), (F.col("q75") + FENCE * F.col("spread")).alias("high"))
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, ``base_failed``, ``kept`` and ``failed_rules`` (how many fences a document lies beyond)."""
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     d = stored(text_features(docs).withColumn("base_failed", base))
-    t = thresholds(sketches(d)).groupBy("lk", "sk").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("t"))
+    t = stored(thresholds(sketches(d)).groupBy("lk", "sk").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("t")))
+    t = F.broadcast(t) if t.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else t
     d = d.withColumn("_lk", source_key(F.col("lang"))).withColumn("_sk", source_key(F.col("source")))
     d = d.join(t, (d["_lk"] == t["lk"]) & (d["_sk"] == t["sk"]), "left")
     failed = F.lit(0)

@@ -76,6 +76,10 @@ def test_op1(docs, empty):
     positions = [r["mix_position"] for r in stream.collect()]
     assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] <= 1
     assert mixing.curriculum_mix(empty).count() == 0
+    own = ("target", "rank", "n", "k", "before", "source_size", "_size", "_k", "_copies", "mix_words", "a.b")
+    odd = docs.select("*", *[F.lit(7).alias(c) for c in own])
+    mixed = mixing.curriculum_mix(odd)
+    assert mixed.columns == [c for c in odd.columns if c != "mix_words"] + ["mix_copy", "mix_position", "mix_words"] and mixed.count() == len(positions)
 
 
 def test_op1_demand_follows_the_schedule(spark):
@@ -505,6 +509,26 @@ def test_op5_gradients():
         assert g[k][at] == pytest.approx(slope, rel=0.05, abs=2e-4)
 
 
+LONG = "".join(f"Long line {i % 700} of a very long text, number {i % 13}.\n" for i in range(20000))  # about 1 MB
+
+
+def test_very_long_texts(spark):
+    """A text of 1 MB, beside short ones, in the operators whose results are told by brute force or by SQL."""
+    rows = [(1, LONG, "en", "s", 1, "", "", ""), (2, "short text " * 30, "en", "s", 1, "", "", ""), (3, LONG[:5000], None, None, 1, "", "", "")]
+    d = spark.createDataFrame(rows, SCHEMA)
+    same_as_sql(mixing.mix_table(d), oracles.ORACLES["op1_mixing"], rows)
+    cut = [(r[0], r[1][:100000], *r[2:]) for r in rows]  # all windows of words are rows in the SQL
+    same_as_sql(rules.apply_rules(spark.createDataFrame(cut, SCHEMA)), oracles.ORACLES["op10_quality_rules"], cut)
+    assert {r["doc_id"]: r["n_words"] for r in rules.apply_rules(d).collect()}[1] == 200000
+    fps = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(d).collect()}
+    assert fps[2] == f"{fingerprint(rows[1][1]):016x}" and fps[3] == f"{fingerprint(rows[2][1]):016x}" and fps[1] != fps[2]
+    found = {r["doc_id"]: r for r in decontaminate.report(d, spark.createDataFrame([("x", "of a very long text number 5 long line 18 of a very")], "item_id string, text string")).collect()}
+    assert found[1]["n_hit"] > 0 and found[2]["n_hit"] == 0 and found[1]["n_words"] == 200000
+    gone = {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(d).collect()}
+    assert gone[1] == len(LONG) and gone[3] == 5000 and gone[2] == 330
+    assert {r["doc_id"] for r in pii.surrogates(d).where("text is not null").collect()} == {1, 2, 3}
+
+
 def test_queries_have_names_and_sql():
     assert [n.split("_")[0] for n in contracts.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(oracles.ORACLES) <= set(contracts.QUERIES)
