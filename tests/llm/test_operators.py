@@ -261,28 +261,61 @@ def test_op8(docs, empty, spark):
     assert one == two == three.capitalize() and re.search(r"г-жа [А-я]+ла [А-я]+", got[3])
 
 
-def test_op8_collisions_are_resolved(spark):
-    # 60 addresses of one letter have at most 26 surrogates of one letter and one domain: turns must tell what can be told
-    rows = [(f"{a}{i}@x.com",) for a in "ab" for i in range(4)]
-    d = spark.createDataFrame(rows, "text string").withColumn("_text", F.col("text"))
-    from allelo.store import stored
-
-    found = stored(pii.entities(d))
-    moved = {(r["kind"], r["norm"]): r["turn"] for r in pii.collisions(found).collect()}
-    turn = F.coalesce(*[F.when(F.col("norm") == n, F.lit(t)) for (_, n), t in moved.items()], F.lit(0)) if moved else F.lit(0)
-    s = [r[0] for r in found.select(pii._surrogate(F.col("kind"), F.col("norm"), turn)).collect()]
-    assert len(set(s)) == len(s) == 8 and not set(s) & {r[0] for r in rows}
-
-
-def test_op8_short_forms_at_one_domain_get_longer_surrogates(spark):
-    from allelo.store import stored
-
-    rows = [(f"{a}@x.com",) for a in "abcdefghijklmnopqrstuvwxyz"]  # as many as there are surrogates of one letter
-    found = stored(pii.entities(spark.createDataFrame(rows, "text string").withColumn("_text", F.col("text"))))
-    moved = {r["norm"]: r["turn"] for r in pii.collisions(found).collect()}
-    turn = F.coalesce(*[F.when(F.col("norm") == n, F.lit(t)) for n, t in moved.items()], F.lit(0))
-    s = [r[0] for r in found.select(pii._surrogate(F.col("kind"), F.col("norm"), turn)).collect()]
-    assert len(set(s)) == len(s) == 26
+def surrogate_of(spark, texts):
+    """Original text -> text with its surrogate."""
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(d).collect()}
+    return {t: got[i] for i, t in enumerate(texts)}
+
+
+def test_op8_short_forms_stay_distinct(spark):
+    """6,000 of the 6,561 one-digit IPs, and all one-letter addresses at a domain: as many surrogates, none of them real."""
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)][:6000]
+    mails = [f"{a}@x.com" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{i}@x.com" for a in "ab" for i in range(4)]
+    got = surrogate_of(spark, ips + mails)
+    assert len(set(got.values())) == len(got) and not set(got.values()) & set(got)
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", got[x]) for x in ips) and all(re.fullmatch(r"[a-z0-9]+@[a-z]\.com", got[x]) for x in mails)
+
+
+def test_op8_names(spark):
+    """One surrogate for one name: over titles, in possessives, longer names and bare mentions; no original is left."""
+    texts = [
+        "Mr John Smith met Dr John Smith",
+        "Mr John Michael Smith spoke; later Smith and John left. SMITH's hat, Smith’s coat.",
+        "Mr. Smith's dog. Mrs Ada Lovelace-King; Ada, Lovelace-King's work; lovelace stays, Adamant too",
+        "Prof Ada wrote. Herr O'Neil's son; O'Neil",
+        "г-жа Анна Иванова и Анна",
+        "Dr John and John F Kennedy",
+    ]
+    got = surrogate_of(spark, texts)
+    john, smith = re.fullmatch(r"Mr (\w+) (\w+) met Dr \1 \2", got[texts[0]]).groups()
+    michael = re.fullmatch(rf"Mr {john} (\w+) {smith} spoke; later {smith} and {john} left. {smith.upper()}'s hat, {smith}’s coat.", got[texts[1]])[1]
+    ada, king = re.fullmatch(rf"Mr. {smith}'s dog. Mrs (\w+) (\w+); \1, \2's work; lovelace stays, Adamant too", got[texts[2]]).groups()
+    neil = re.fullmatch(rf"Prof {ada} wrote. Herr (\w+)'s son; \1", got[texts[3]])[1]
+    anna = re.fullmatch(r"г-жа ([А-я]+) ([А-я]+) и \1", got[texts[4]])[1]
+    assert got[texts[5]] == f"Dr {john} and {john} F Kennedy"  # a person without title is not found
+    names = [john, smith, michael, ada, king, neil, anna]
+    assert len(set(names)) == 7 and john.endswith("n") and michael.endswith("n") and ada.endswith("la") and anna.endswith("ла") and smith.endswith("s")
+
+
+def test_op8_by_brute_force(spark):
+    """Many names, in random titles and documents: equal words stay equal, different words different, all of them go."""
+    rng = np.random.default_rng(31)
+    pool = ["".join(("Ka", "Lo", "Mi", "Ne", "Ru")[i] for i in rng.integers(0, 5, 3)).capitalize() for _ in range(400)]
+    pool = sorted(set(pool))
+    titles = pii.MALE[:6] + pii.FEMALE[:7] + pii.NEUTRAL
+    texts = []
+    for i in range(300):
+        who = [pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 5))]
+        texts.append(f"x{i} {titles[rng.integers(len(titles))]} {' '.join(who)} and then {' or '.join(reversed(who))}.")
+    got, to = surrogate_of(spark, texts), {}
+    for t in texts:
+        a, b = re.findall(r"\w+", t), re.findall(r"\w+", got[t])
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert to.setdefault(x, y) == y and (x in pool) == (x != y)
+    changed = {x: y for x, y in to.items() if x in pool}
+    assert len(set(changed.values())) == len(changed) > 90 and not set(changed.values()) & set(pool)
 
 
 def brute_repeats(texts, length):
