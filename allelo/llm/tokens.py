@@ -8,13 +8,14 @@ to that start has less than the whole. Reading a character leads to one state an
 Where no piece holds two neighbouring characters next to each other, nothing merges across and the state is reset.
 
 States and transitions are compiled when first reached and kept in one dense table per task process, which is cleared
-when it holds MAX_STATES states. A batch of texts is cut into chunks of CHUNK characters that run side by side. A chunk
-with a reset maps every entering state to one state; the running maximum over the chunks' last resets (a prefix scan of
-these maps) gives the state that enters the part before a chunk's first reset, which runs in a second pass. Counts of
-documents are differences of the running sum of emissions.
+when it holds MAX_STATES states. A batch of texts is cut into chunks of CHUNK characters that run side by side. Each chunk is
+a map from the state that enters it to the state that leaves it. A chunk with a reset maps every state to one; of others the
+map is computed for the start state and then for all states that a chunk before it can leave, which soon are no new ones as
+paths meet; equal chunks share a map. A parallel prefix scan composes the maps, each step over twice as many chunks, and gives
+the state that enters each chunk. Counts of documents are differences of the running sum of emissions.
 
 Characters outside the vocabulary count as their UTF-8 bytes. Defined cases: null and empty texts have 0 tokens; repeated
-rows count alike; an empty table gives an empty result.
+rows count alike; very long texts, also without any break, are many chunks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,11 +137,13 @@ class Transducer:
             self.next = np.hstack([self.next, np.full_like(self.next[:, :16], -1)])
             self.emit = np.hstack([self.emit, np.zeros_like(self.emit[:, :16])])
 
-    def _run(self, column: np.ndarray, reset: np.ndarray, start: np.ndarray, stop: np.ndarray, state: np.ndarray, emitted: np.ndarray) -> np.ndarray:
-        """Run lanes [start, stop) side by side from their states; adds the emissions per position; the lanes' end states."""
+    def _run(self, column: np.ndarray, reset: np.ndarray, start: np.ndarray, stop: np.ndarray, state: np.ndarray, emitted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Run lanes [start, stop) side by side from their states: their end states, and their emissions in all; puts the
+        emissions per position in ``emitted``."""
         order = np.argsort(start - stop, kind="stable")  # longest first: the lanes that still run are a prefix
         at, end, s = start[order].copy(), stop[order], state[order].copy()
         length = end - at
+        sums = np.zeros(len(at), np.int64)
         live = len(at)
         for step in range(int(length[0]) if len(length) else 0):
             while live and length[live - 1] <= step:
@@ -155,11 +158,58 @@ class Transducer:
             if (missing := inner & (new < 0)).any():
                 self._compile(np.unique(cell[missing]))
                 new = self.next.ravel()[cell]
-            emitted[p] = np.where(inner, self.emit.ravel()[cell], -1 - c)
+            count = np.where(inner, self.emit.ravel()[cell], -1 - c)
+            sums[:live] += count
+            if emitted is not None:
+                emitted[p] = count
             s[:live] = np.where(inner, new, 0)
-        out = np.empty_like(state)
-        out[order] = s
-        return out
+        out, total = np.empty_like(state), np.empty_like(sums)
+        out[order], total[order] = s, sums
+        return out, total
+
+    def _enter(self, column: np.ndarray, reset: np.ndarray, begin: np.ndarray, stop: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state that enters each chunk, and the emissions of those without a reset. ``ends``: the state that leaves a
+        chunk with a reset, -1 for others."""
+        open_ = np.flatnonzero(ends < 0).tolist()
+        content: dict[bytes, int] = {}
+        same = {j: content.setdefault(column[begin[j] : stop[j]].tobytes(), len(content)) for j in open_}
+        maps: dict[tuple[int, int], tuple[int, int]] = {}  # (content, entering state): leaving state, emissions
+        sets = {j: [0] for j in open_}
+        grown = True
+        while grown:
+            wanted = {(same[j], s): j for j in open_ for s in sets[j] if (same[j], s) not in maps}
+            lanes = np.array(list(wanted.values()), np.int64)
+            left, count = self._run(column, reset, begin[lanes], stop[lanes], np.array([s for _, s in wanted], np.int64))
+            maps.update(zip(wanted, zip(left.tolist(), count.tolist(), strict=True), strict=True))
+            grown = False
+            for j in open_:
+                for s in [int(ends[j - 1])] if ends[j - 1] >= 0 else [maps[same[j - 1], x][0] for x in sets[j - 1] if (same[j - 1], x) in maps]:
+                    if s not in sets[j]:
+                        sets[j].append(s)
+                        grown = True
+        # maps between the numbers of states in the sets of neighbouring chunks (a chunk with a reset: one number for all)
+        width = max(map(len, sets.values()), default=1)
+        number = {j: {s: i for i, s in enumerate(x)} for j, x in sets.items()}
+        scan = np.zeros((len(begin), width), np.int64)
+        for j in range(len(begin) - 1):
+            to = number.get(j + 1)
+            if to is not None:
+                scan[j, :] = to[int(ends[j])] if ends[j] >= 0 else 0
+                if ends[j] < 0:
+                    scan[j, : len(sets[j])] = [to[maps[same[j], s][0]] for s in sets[j]]
+        step = 1
+        while step < len(scan):
+            scan[step:] = np.take_along_axis(scan[step:], scan[:-step], 1)
+            step *= 2
+        into, emissions = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        for j in open_:
+            s = sets[j][scan[j - 1, 0]]
+            emissions[j] = maps[same[j], s][1]
+            if j + 1 < len(begin):
+                into[j + 1] = maps[same[j], s][0]
+        after = np.flatnonzero(ends[:-1] >= 0) + 1
+        into[after] = ends[after - 1]
+        return into, emissions
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""
@@ -178,19 +228,19 @@ class Transducer:
         inner = (cls[1:] >= 0) & (cls[:-1] >= 0)
         reset[1:] = ~(inner & self.joined[np.maximum(cls[:-1], 0), np.maximum(cls[1:], 0)])
         reset[bounds[:-1][lengths > 0]] = True
-        # chunks, and in each the first reset; the scan gives the last chunk before it that has one
+        # chunks, and in each the first reset
         begin = np.arange(0, len(code), CHUNK)
         stop = np.minimum(begin + CHUNK, len(code))
         resets = np.flatnonzero(reset)
         first = np.searchsorted(resets, begin)
         first = np.where(first < len(resets), resets[np.minimum(first, len(resets) - 1)], len(code))
-        constant = first < stop
+        lanes = np.flatnonzero(first < stop)
         emitted = np.zeros(len(code), np.int64)
-        lanes = np.flatnonzero(constant)
-        ends = self._run(column, reset, first[lanes], stop[lanes], np.zeros(len(lanes), np.int64), emitted)
-        # heads: from the end of a constant chunk to the first reset of the next constant one
-        into = np.append(first[lanes[1:]], len(code))
-        self._run(column, reset, stop[lanes], np.maximum(into, stop[lanes]), ends, emitted)
+        ends = np.full(len(begin), -1, np.int64)
+        ends[lanes], _ = self._run(column, reset, first[lanes], stop[lanes], np.zeros(len(lanes), np.int64), emitted)
+        into, whole = self._enter(column, reset, begin, stop, ends)
+        self._run(column, reset, begin[lanes], first[lanes], into[lanes], emitted)
+        emitted[begin] += whole
         total = np.concatenate([[0], np.cumsum(emitted)])
         return total[bounds[1:]] - total[bounds[:-1]]
 

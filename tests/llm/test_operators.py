@@ -226,6 +226,8 @@ def test_op6_random_texts():
     texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 60))) for _ in range(300)]
     texts += ["".join("ab ein\n.-▁é="[i] for i in rng.integers(0, 12, rng.integers(1, 1500))) for _ in range(100)]
     texts += ["a" * 3000, "-" * 2000, " " * 1500, "aaaab" * 400]
+    letters = "".join("abcdeinrst"[i] for i in rng.integers(0, 10, 40000))
+    texts += [letters, "a" * 40000, " " * 40000, "-=" * 20000, letters[:700] * 30, "x" + "ab" * 9000 + letters[:5000]]  # many chunks without a break
     for i in range(0, len(texts), 97):  # also over tables that were cleared
         part = texts[i : i + 97]
         assert t.count(part).tolist() == [len(x) for x in sp.encode(part)]
