@@ -117,12 +117,46 @@ def test_op3(docs, empty, spark):
     want = Counter(brute(r[0], r[1]) for r in ROWS)
     assert Counter(map(tuple, decontaminate.report(docs, bench).collect())) == want
     assert Counter(map(tuple, decontaminate.report(docs, bench, block_bytes=20).collect())) == want  # the benchmark in several blocks
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("t1", F.lit(2))
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[5])
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.report(empty, bench).count() == 0
 
 
+def test_op3_suffix_array():
+    rng = np.random.default_rng(7)
+    for words in (2, 5, 200):
+        ids = rng.integers(0, words, 400)
+        ids[-1] = 0
+        where = np.cumsum(ids == 0)
+        suffix_of = [tuple((int(x), 0) if x else (0, int(where[i + k])) for k, x in enumerate(ids[i:].tolist())) for i in range(len(ids))]
+        assert decontaminate.suffix_array(ids).tolist() == sorted(range(len(ids)), key=lambda i: suffix_of[i])
+
+
+def test_op3_longest_matches(spark):
+    """Against a plain search: of each suffix the longest match, over documents in several shards."""
+    rng = np.random.default_rng(17)
+    w = lambda n: [f"v{k}" for k in rng.integers(0, 4, n)]
+    items = [w(40), w(25), w(12), w(3)]
+    texts = [w(60) + items[0][5:33] + w(20), items[1] + items[1][3:], w(100), items[2][:11] + ["x"] + items[0], w(400)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(items)] + [(None, "x " + " ".join(items[0][:9]))], "item_id string, text string")
+
+    def longest(s):
+        return max(next((n for n in range(min(len(s), len(t) - i), 0, -1) if t[i : i + n] == s[:n]), 0) for t in texts for i in range(len(t)))
+
+    got = {(r["item_id"], r["item_start"]): r for r in decontaminate.longest_matches(d, bench).collect()}
+    every = {str(i): t for i, t in enumerate(items)} | {"": ["x", *items[0][:9]]}
+    for (i, p), r in got.items():
+        assert r["length"] == longest(every[i][p:]) and texts[r["doc_id"]][r["start"] :][: r["length"]] == every[i][p : p + r["length"]]
+    want = {(i, p): longest(t[p:]) for i, t in every.items() for p in range(len(t)) if len(t) - p >= min(10, len(t))}
+    assert set(got) == {k for k, n in want.items() if n >= min(10, len(every[k[0]]))}
+    empty_id = decontaminate.report(d, bench.where("item_id is null")).where("contaminated").collect()
+    assert [(r["doc_id"], r["n_items"], r["items_sha256"]) for r in empty_id] == [(3, 1, hashlib.sha256(b"").hexdigest())]
+
+
 def fingerprint(t):
     w = blank_words(lower(t))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
