@@ -407,11 +407,15 @@ def test_op9_parts_of_a_divided_gram(spark, monkeypatch, copies):
 
 def test_op9_index_alone():
     rng = np.random.default_rng(6)
-    rows = ["".join("ab"[i] for i in rng.integers(0, 2, 30)).encode() for _ in range(80)]
-    places = rng.integers(0, 12, 80).tolist()
-    got = suffix.matched_windows(rows, places, 8)
-    seen = Counter((i - p, r[i : i + 8]) for r, p in zip(rows, places, strict=True) for i in range(len(r) - 7))
-    assert [g.tolist() for g in got] == [[seen[i - p, r[i : i + 8]] > 1 for i in range(len(r) - 7)] for r, p in zip(rows, places, strict=True)]
+    for letters in (1, 2, 4):
+        rows = ["".join("abcd"[i] for i in rng.integers(0, letters, rng.integers(8, 40))).encode() for _ in range(80)] + [b"\xff\x00" * 10]
+        got = suffix.matched_windows(rows, 8)
+        seen = Counter(r[i : i + 8] for r in rows for i in range(len(r) - 7))
+        assert [g.tolist() for g in got] == [[seen[r[i : i + 8]] > 1 for i in range(len(r) - 7)] for r in rows]
+        index = suffix.RunIndex(rows)
+        text = b"".join(r + b"\n" for r in rows)
+        want = [max((next((n for n in range(99) if text[i + n : i + n + 1] != text[j + n : j + n + 1] or text[i + n : i + n + 1] == b"\n")) for j in range(len(text)) if j != i), default=0) for i in range(0, len(text), 7)]
+        assert index.statistics()[::7].tolist() == want and index.length.sum() == sum(map(len, rows))
 
 
 def test_op10(docs, empty):
