@@ -70,19 +70,30 @@ def suffix_array(ids: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """The places of ``ids`` (0: a separator, different from all others) in the order of the suffixes there, which is settled
     by their first ``depth`` numbers."""
     n = len(ids)
-    sa = np.argsort(ids, kind="stable")
-    s = ids[sa]
-    new = np.concatenate([[True], (s[1:] != s[:-1]) | (s[1:] == 0)]) if n else np.zeros(0, bool)
+    # as many numbers as fit in 62 bits at first; nothing counts after a separator
+    base = int(ids.max(initial=0)) + 1
+    k = max(1, int(62 / np.log2(max(base, 2))))
+    padded = np.concatenate([ids, np.zeros(k, ids.dtype)])
+    key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(k):
+        x = padded[i : i + n]
+        ended |= x == 0
+        key = key * base + np.where(ended, 0, x)
+    sa = np.argsort(key)
+    # which of equal ones that end comes first is told by their separators, so by their places
+    slots, some = np.flatnonzero(ended[sa]), np.flatnonzero(ended)
+    sa[slots] = some[np.argsort(key[some], kind="stable")]
+    s = key[sa]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | ended[sa[1:]]]) if n else np.zeros(0, bool)
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.full(n + 1, -1)
     rank[sa] = group
     alone = new & np.append(new[1:], True) if n else new
     active = np.flatnonzero(~alone)
-    k = 1
     while k < depth and len(active):
         p = sa[active]
         key = group[active] * (n + 2) + rank[np.minimum(p + k, n)] + 1
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         p, key = p[o], key[o]
         sa[active] = p
         new = np.concatenate([[True], key[1:] != key[:-1]])

@@ -37,7 +37,7 @@ from .decontaminate import suffix_array
 
 LENGTH, GRAM = 200, 32
 #: Contexts of one gram in one index at most, and contexts of small grams that share an index.
-SHARD, TOGETHER = 1024, 8192
+SHARD, TOGETHER = 32768, 8192
 _LETTER = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(6)]
 
@@ -291,6 +291,7 @@ def repeated_windows(texts: DataFrame, shard: int = SHARD) -> DataFrame:
     """(t1, t2, _starts): of the different texts the (first, last) starts of their repeated windows."""
     rows = stored(map_batches(texts.select("t1", "t2", "c", "_text"), _anchor_rows, "t1 bigint, t2 bigint, c bigint, pos int, back smallint, near smallint, gram bigint, ctx bigint"))
     grams = rows.groupBy("gram").agg(F.sum("c").alias("_n")).where(F.col("_n") > 1).select("gram")
+    grams = stored(grams)  # a table of its own, so that Spark can split a gram that very many anchors have
     again = stored(rows.join(grams, "gram"))  # the anchors whose gram is found again
     classes = again.groupBy("gram", "ctx").agg(F.sum("c").alias("n"), F.min(F.struct("t1", "t2", "pos", "back", "near")).alias("o"))
     classes = stored(classes)
