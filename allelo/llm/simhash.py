@@ -3,12 +3,13 @@
 Fingerprints that differ in at most ``distance`` bits agree on ``BLOCKS - distance`` of BLOCKS blocks of bits, so for each
 choice of so many blocks the distinct fingerprints are dealt by their bits there, and pairs are verified within a bucket.
 Equal fingerprints are one row from the start, so exact copies cost nothing. A bucket gives a spanning forest of its
-links, never all its pairs; a bucket that holds many fingerprints is split again by finer blocks (agreement on all but 12
-bits, hence at most 4096 different fingerprints each), so its work does not grow with the square of its size.
+links, never all its pairs. A bucket of over HOT fingerprints is dealt anew, as several buckets, by blocks of the bits that
+are not in its key yet (2^16 different fingerprints at most are then left in one); within a task, buckets of over SPLIT_AT
+are compared by finer blocks still (agreement on all but 12 bits), so work does not grow with the square of their size.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a row with null doc_id takes part, its
-component is named by the smallest non-null doc_id, null if there is none; repeated rows share a component; an empty table
-gives an empty result.
+component is named by the smallest non-null doc_id, null if there is none; repeated rows share a component; very long texts
+are read whole; columns of any name pass; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE = 3
 DISTANCE = 3
 BLOCKS = 6
 SEED = 42
-#: Buckets above this many fingerprints are split by finer blocks.
-SPLIT_AT = 2048
+#: Buckets above this many fingerprints are compared by finer blocks; above HOT they are dealt anew.
+SPLIT_AT, HOT = 2048, 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -48,10 +49,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1)[: len(ws) - shingle + 1].tolist()
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    return set_fingerprint(h)
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -65,10 +63,12 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return map_slices(docs, run, schema)
 
 
-def _masks(blocks: int, agree: int) -> list[int]:
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(bits, agree)]
+def _masks(blocks: int, agree: int, within: int = (1 << 64) - 1) -> list[int]:
+    """Masks of ``agree`` of the blocks into which the bits of ``within`` are cut."""
+    bits = [b for b in range(64) if within >> b & 1]
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, agree)]
 
 
 @lru_cache
@@ -163,12 +163,22 @@ def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield links(*held)
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """Distinct fingerprints (fp) -> links (u, v) that connect what pairs within the distance connect."""
     masks = _masks(BLOCKS, BLOCKS - distance)
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
-    dealt = fps.select("fp", F.explode(keys).alias("k")).select(F.col("k.t").alias("t"), F.col("k.key").alias("key"), "fp")
+    key = lambda m: F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long"))
+    dealt = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), key(m).alias("key")) for i, m in enumerate(masks)])).alias("k"))
+    dealt = dealt.select("k.t", "k.key", "fp")
+    large = stored(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("t", "key", F.lit(True).alias("large")))
+    dealt = dealt.join(large, ["t", "key"], "left")
+    # each large bucket by blocks of the bits that its key has not
+    anew, number = None, len(masks)
+    for i, m in enumerate(masks):
+        finer = _masks(BLOCKS, BLOCKS - distance, ((1 << 64) - 1) ^ m)
+        keys = F.array(*[F.struct(F.lit(number + j).alias("t"), key(m | x).alias("key")) for j, x in enumerate(finer)])
+        anew, number = F.when(F.col("t") == i, keys) if anew is None else anew.when(F.col("t") == i, keys), number + len(finer)
+    again = dealt.where("large").select("fp", F.explode(anew).alias("k")).select("k.t", "k.key", "fp")
+    dealt = dealt.where(F.col("large").isNull()).select("t", "key", "fp").union(again)
     dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
     return map_batches(dealt, _link_partition, "u bigint, v bigint").distinct()
 
@@ -192,19 +202,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.join(c, rows["_fp"] == c["fp"]).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id (of repeated rows any), with its columns."""
-    packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
-    rows = stored(with_fingerprints(packed).drop("text"))
-    c = components(rows.select("doc_id", "_fp"), distance)
-    slim = rows.select("doc_id", "_nr", "_fp")
-    first = slim.join(c, slim["_fp"] == c["fp"]).groupBy("component_id", F.col("component_id").isNull()).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_nr")).alias("m")
-    )
-    return rows.join(first.select(F.col("m._nr").alias("_nr")), "_nr", "left_semi").select("_row.*")
-
-
-# --- documents that are similar as sets of shingles: prefix filtering, exact similarity --------------------------------
+# --- documents that are similar as sets of shingles: fingerprints, then prefix filtering; exact similarity -------------
 
 #: Documents that tell which shingles are common; from so many of them a shingle counts as common.
 SAMPLE, COMMON = 10000, 3
@@ -236,6 +234,14 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(bool), bitorder="little").view(np.uint64)
 
 
+def set_fingerprint(h: np.ndarray) -> int:
+    """Bits set in over half of a set's hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have this Jaccard similarity or more; two empty ones have."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -334,12 +340,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return map_batches(pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv"), run, "u bigint, v bigint")
 
 
-def similar_components(prefixes: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Different sets as (id, n, prefix, bits) and their texts (id, text) -> (id, root) of those that are linked to another.
+def _possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that are not connected yet and can have the similarity by their sizes and bits of parity."""
+    of = sets.join(roots, "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("root"))
+    for side in "uv":
+        pairs = pairs.join(of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "bits", "root")]), side)
+    n, m = F.col("nu"), F.col("nv")
+    pairs = pairs.where((F.col("rootu") != F.col("rootv")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)).select("u", "v", "nu", "nv", "bitsu", "bitsv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PARITY) for k in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(apart <= (1 - similarity) / (1 + similarity) * n + 1e-6))
+
+    return map_batches(pairs, run, "u bigint, v bigint")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("id"), "root")
+
+
+def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets that connect what fingerprints within DISTANCE bits connect."""
+    first = stored(sets.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = sets.join(first, "fp").where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
+    close = fingerprint_links(first.select("fp"))
+    for side in "uv":
+        close = close.withColumnRenamed(side, "fp").join(first.withColumnRenamed("first", f"id{side}"), "fp").drop("fp")
+    return equal.union(close.select(F.least("idu", "idv"), F.greatest("idu", "idv"))).distinct()
+
+
+def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Different sets as (id, n, fp, prefix, bits) and their texts (id, text) -> (id, root) of those that are linked to another.
 
-    Sets of the similarity share a shingle of their prefixes. At first every set is compared with the one of the smallest id
-    at each of these, which connects most of a large group by few comparisons; then all pairs at a shingle that are not
-    connected yet are compared. Only exact similarities make links, so this gives the components of all pairs.
+    Fingerprints within DISTANCE bits are candidates at first, found by pigeonhole blocks. Sets of the similarity also share
+    a shingle of their prefixes, so next every set is compared with the one of the smallest id at each of these, which
+    connects most of a large group by few comparisons; then all pairs at a shingle that are not connected yet are compared.
+    Only exact similarities make links, so this gives the components of all pairs.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,21 +389,24 @@ def similar_components(prefixes: DataFrame, texts: DataFrame, similarity: float,
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), pa.array(ids), pa.array(n), pa.array(pos.astype(np.int32))], names=["w", "id", "n", "pos"])
 
-    posts = map_batches(prefixes.select("id", "n", "prefix"), post, "w bigint, id bigint, n int, pos int")
+    close = stored(_verified(_fingerprint_pairs(sets), texts, similarity))
+    roots = _components(close)
+    posts = map_batches(sets.select("id", "n", "prefix"), post, "w bigint, id bigint, n int, pos int")
     several = posts.groupBy("w").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
     posts = stored(posts.join(several, "w"))
-    star = stored(posts.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct())
-    links = stored(_verified(star, texts, similarity))
-    roots = connected_components(links).select(F.col("node").alias("id"), "root")
+    star = posts.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+    star = stored(_possible(star, sets, roots, similarity))
+    links = stored(close.union(_verified(star, texts, similarity)))
+    roots = _components(links)
     rest = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rest = stored(rest.drop("first", "c"))
     mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
-    rest = rest.join(mixed.select("w", "c"), "w").join(prefixes.select("id", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
+    rest = rest.join(mixed.select("w", "c"), "w").join(sets.select("id", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
     rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "pos", "bits")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
     more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
-    return connected_components(links.union(_verified(stored(more), texts, similarity))).select(F.col("node").alias("id"), "root")
+    return _components(links.union(_verified(stored(more), texts, similarity)))
 
 
 def _set_rows(similarity: float, common):
@@ -372,15 +414,16 @@ def _set_rows(similarity: float, common):
         import xxhash
 
         for batch, texts in slices(batches):
-            ids, n, prefix, bits = [], [], [], []
+            ids, n, fps, prefix, bits = [], [], [], [], []
             for t in texts:
                 h = shingle_set(t)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 n.append(len(h))
+                fps.append(set_fingerprint(h))
                 prefix.append(_prefix(h, similarity, common.value).tobytes())
                 bits.append(parity(h).tobytes())
-            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_id", "_n", "_prefix", "_bits"])
+            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_id", "_n", "_fp", "_prefix", "_bits"])
 
     return run
 
@@ -389,16 +432,17 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, block: int = BLOC
     """One document, the one with the smallest doc_id (of repeated rows any), of each group of documents whose sets of
     5-word shingles have a Jaccard similarity of ``similarity`` or more, linked over each other; with its columns.
 
-    Every such pair is found and decided by the sets themselves (of 64-bit hashes). A text under five words is one shingle;
+    Candidates come from fingerprints by pigeonhole blocks, and from shared shingles where those do not find them. Every
+    such pair is decided by the sets themselves (of 64-bit hashes). A text under five words is one shingle;
     empty and null texts are copies of each other.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))  # bounded by the sample
     packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
-    schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_prefix", F.lit(b"")).withColumn("_bits", F.lit(b"")).schema
+    schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_fp", F.lit(0).cast("long")).withColumn("_prefix", F.lit(b"")).withColumn("_bits", F.lit(b"")).schema
     rows = stored(map_batches(packed, _set_rows(similarity, common), schema).drop("text"))
     ids = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.min("_nr").alias("_nr")))
     one = rows.join(ids.select("_nr"), "_nr", "left_semi")
-    sets = one.select(*[F.col(f"_{c}").alias(c) for c in ("id", "n", "prefix", "bits")])
+    sets = one.select(*[F.col(f"_{c}").alias(c) for c in ("id", "n", "fp", "prefix", "bits")])
     roots = similar_components(sets, one.select(F.col("_id").alias("id"), F.col("_row.text").alias("text")), similarity, block)
     # a table of its own, so that Spark can split a set that very many documents have when it is joined to them
     named = stored(ids.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
