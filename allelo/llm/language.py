@@ -6,7 +6,8 @@ network learns by backpropagation through time on segments of a bounded sample o
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; null languages are not learned, nor such as
 only held-out documents have; without any
-known language everything is ``und``; repeated rows are labelled alike; an empty table gives an empty result.
+known language everything is ``und``; repeated rows are labelled alike, whatever rows are beside them (scores have five
+digits); very long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,9 +126,12 @@ class Labeller:
             z /= z.sum(2, keepdims=True)
             z *= (np.arange(SEGMENT)[:, None] < used[i : i + _LANES])[:, :, None]
             sums[i : i + _LANES] = z.sum(0)
-        total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(sums, 0, dtype=np.float64)])
-        ends = np.cumsum(count)
-        return (total[ends] - total[ends - count]) / np.maximum(size, 1)[:, None]
+        # each text's own segments are added up, so that no other text has a part in the last digits
+        out = np.zeros((len(texts), len(self.languages)))
+        some = np.flatnonzero(count)
+        if len(some):
+            out[some] = np.add.reduceat(sums.astype(np.float64), np.cumsum(count[some]) - count[some], axis=0)
+        return np.clip(np.round(out / np.maximum(size, 1)[:, None], 5), 0, 1)
 
 
 def train(sample: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> Labeller | None:

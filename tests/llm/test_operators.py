@@ -563,6 +563,34 @@ def test_op5_learns_every_language(spark):
     assert len(got) == 8 and all(r["lang_pred"] == "long" for r in got)
 
 
+def test_op5_by_a_plain_loop():
+    """Probabilities of each text alone and in a batch, against one byte at a time."""
+    net = language.Labeller(["a", "b", "c"], 8)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (1, 63, 64, 65, 200, 0, 1000)]
+
+    def states(part, data):
+        h, out, hid = np.zeros(language.HIDDEN), [], language.HIDDEN
+        for byte in data:
+            g, x = h @ part.u, part.w[byte]
+            zr = 1 / (1 + np.exp(-(x[: 2 * hid] + g[: 2 * hid])))
+            n = np.tanh(x[2 * hid :] + zr[hid:] * g[2 * hid :])
+            h = n + zr[:hid] * (h - n)
+            out.append(h)
+        return out
+
+    for t, p in zip(texts, net.probabilities(texts), strict=True):
+        assert np.allclose(p, net.probabilities([t])[0], atol=2e-5)
+        total = np.zeros(3)
+        for i in range(0, len(t), language.SEGMENT):
+            part = t[i : i + language.SEGMENT].ljust(language.SEGMENT, b"\0")
+            for k, (f, b) in enumerate(zip(states(net.ahead, part), states(net.back, part[::-1])[::-1], strict=True)):
+                if i + k < len(t):
+                    e = np.exp(np.concatenate([f, b]) @ net.v + net.c)
+                    total += e / e.sum()
+        assert np.allclose(p, total / max(len(t), 1), atol=1e-4)
+
+
 def test_op5_gradients():
     net = language.Labeller(["a", "b"], 5)
     for part in (net.ahead, net.back):
