@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import bucketed
 from .common import map_batches, map_slices, slices, stored, whole_row
 from .components import connected_components
 
@@ -282,10 +283,10 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(similarity: float):
-    """Rows (w, i, j, block, id, root, n, pos, bits) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and not
-    yet connected, that can have the similarity by their sizes, the shingle's place in both sets and their bits of parity."""
+    """Rows (w, i, j, block, id, root, n, bits) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and not
+    yet connected, that can have the similarity by their sizes and their bits of parity."""
 
-    def pairs(w, i, j, block, ids, root, n, pos, bits) -> Iterator[pa.RecordBatch]:
+    def pairs(w, i, j, block, ids, root, n, bits) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(w) else np.zeros(0, bool)
         group = np.cumsum(new)
         at = np.arange(len(w))
@@ -296,7 +297,6 @@ def _pairs(similarity: float):
                 break
             to = at + shift
             ok = (root[at] != root[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
-            ok &= np.minimum(n[at] - pos[at], n[to] - pos[to]) >= similarity / (1 + similarity) * (n[at] + n[to]) - 1e-6
             ok &= np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-6
             left, right = at[ok], to[ok]
             apart = np.bitwise_count(bits[left] ^ bits[right]).sum(1, dtype=np.int64)
@@ -306,10 +306,10 @@ def _pairs(similarity: float):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 8 + [np.zeros((0, PARITY), np.uint64)]
+        held = [np.zeros(0, np.int64)] * 7 + [np.zeros((0, PARITY), np.uint64)]
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]]
-            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, PARITY))
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]]
+            columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, PARITY))
             held = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             w, i, j = held[:3]
             last = np.flatnonzero((w != w[-1]) | (i != i[-1]) | (j != j[-1])) if len(w) else []
@@ -383,27 +383,24 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            size = np.array([len(x) for x in lists], np.int64)
-            ids, n = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), pa.array(ids), pa.array(n), pa.array(pos.astype(np.int32))], names=["w", "id", "n", "pos"])
+            lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), np.array([len(x) for x in lists], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), pa.array(ids)], names=["w", "id"])
 
     close = stored(_verified(_fingerprint_pairs(sets), texts, similarity))
     roots = _components(close)
-    posts = map_batches(sets.select("id", "n", "prefix"), post, "w bigint, id bigint, n int, pos int")
-    several = posts.groupBy("w").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
+    posts = map_batches(sets.select("id", "prefix"), post, "w bigint, id bigint")
+    several = stored(posts.groupBy("w").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1).select("w", "first"))
     posts = stored(posts.join(several, "w"))
     star = posts.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     star = stored(_possible(star, sets, roots, similarity))
     links = stored(close.union(_verified(star, texts, similarity)))
     roots = _components(links)
-    rest = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = stored(rest.drop("first", "c"))
+    rest = stored(posts.select("w", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
-    rest = rest.join(mixed.select("w", "c"), "w").join(sets.select("id", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
+    rest = rest.join(mixed.select("w", "c"), "w").join(sets.select("id", "n", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "pos", "bits")
+    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
     more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
     return _components(links.union(_verified(stored(more), texts, similarity)))
@@ -423,7 +420,7 @@ def _set_rows(similarity: float, common):
                 prefix.append(_prefix(h, similarity, common.value).tobytes())
                 bits.append(parity(h).tobytes())
             more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_id", "_n", "_fp", "_prefix", "_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["_row", "_id", "_n", "_fp", "_prefix", "_bits"])
 
     return run
 
@@ -437,15 +434,15 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, block: int = BLOC
     empty and null texts are copies of each other.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))  # bounded by the sample
-    packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id"), F.monotonically_increasing_id().alias("_nr"), F.col("text"))
-    schema = packed.withColumn("_id", F.lit(0).cast("long")).withColumn("_n", F.lit(0)).withColumn("_fp", F.lit(0).cast("long")).withColumn("_prefix", F.lit(b"")).withColumn("_bits", F.lit(b"")).schema
-    rows = stored(map_batches(packed, _set_rows(similarity, common), schema).drop("text"))
-    ids = stored(rows.groupBy(F.col("_id").alias("id")).agg(F.min("_nr").alias("_nr")))
-    one = rows.join(ids.select("_nr"), "_nr", "left_semi")
-    sets = one.select(*[F.col(f"_{c}").alias(c) for c in ("id", "n", "fp", "prefix", "bits")])
-    roots = similar_components(sets, one.select(F.col("_id").alias("id"), F.col("_row.text").alias("text")), similarity, block)
-    # a table of its own, so that Spark can split a set that very many documents have when it is joined to them
-    named = stored(ids.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-    slim = rows.select("doc_id", "_nr", "_id")
-    first = slim.join(named, slim["_id"] == named["id"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_nr")).alias("m"))
-    return rows.join(first.select(F.col("m._nr").alias("_nr")), "_nr", "left_semi").select("_row.*")
+    packed = docs.select(whole_row(docs).alias("_row"), F.col("text"))
+    schema = packed.drop("text").withColumns({"_id": F.lit(0).cast("long"), "_n": F.lit(0), "_fp": F.lit(0).cast("long"), "_prefix": F.lit(b""), "_bits": F.lit(b"")}).schema
+    rows = map_batches(packed, _set_rows(similarity, common), schema)
+    # of each different set the document that would stay, in a table that no join moves again
+    doc = F.col("_row")["doc_id"]
+    one = F.struct("_row", *[F.col(f"_{c}").alias(c) for c in ("n", "fp", "prefix", "bits")])
+    best = rows.groupBy(F.col("_id").alias("id")).agg(F.min_by(one, F.struct(doc.isNull().alias("n"), doc.alias("d"))).alias("b"))
+    best = bucketed(best.select("id", "b.*"), "id")
+    roots = similar_components(best.select("id", "n", "fp", "prefix", "bits"), best.select("id", F.col("_row")["text"].alias("text")), similarity, block)
+    named = best.select("id", doc.alias("d")).join(roots, "id", "left").select("id", "d", F.coalesce("root", "id").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "id")).alias("m")).select("m.id")
+    return best.join(first, "id", "left_semi").select("_row.*")
