@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: For each open ``made_here``, the innermost last, the folders of the tables written since.
+_made: list[list[str]] = []
+
+
+def _new_path(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    for folders in _made:
+        folders.append(path)
+    return path
+
+
+@contextmanager
+def made_here() -> Iterator[list[str]]:
+    """The folders of the tables that are stored inside, for ``remove`` when nothing reads them any more."""
+    folders: list[str] = []
+    _made.append(folders)
+    try:
+        yield folders
+    finally:
+        _made.pop()
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete stored tables; DataFrames that read them cannot be computed again."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame, options: dict | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = _new_path(spark)
     df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -33,6 +65,6 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     name = f"allelo_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = df.write.option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").option("compression", "zstd")
+    out = df.write.option("path", _new_path(spark)).option("compression", "zstd")
     out.bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
     return spark.table(name)
