@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 SAMPLE, COMMON = 10000, 3
 #: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
 BLOCK = 512
-#: Words of a set's bits of parity.
+#: Words of a set's short bits of parity.
 PARITY = 8
 
 
@@ -229,12 +229,20 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the set fall on each of 64 PARITY places: where two sets differ here, they do so in at least
-    one hash of the place, so they have at least as many hashes apart as bits."""
-    count = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    """Whether an odd number of the set fall on each of some places, at least twice as many as the set has members: where two
+    sets differ here, they do so in at least one hash of the place, so they have at least as many hashes apart as bits."""
+    places = max(64 * PARITY, 1 << int(2 * len(h)).bit_length())
+    count = np.bincount((h >> np.uint64(34)).astype(np.int64) % places, minlength=places)
     return np.packbits((count & 1).astype(bool), bitorder="little").view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bits of parity for fewer places."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def set_fingerprint(h: np.ndarray) -> int:
     """Bits set in over half of a set's hashes."""
     counts = np.zeros(64, np.int64)
@@ -342,16 +350,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def _possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) that are not connected yet and can have the similarity by their sizes and bits of parity."""
-    of = sets.join(roots, "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("root"))
+    of = sets.join(roots, "id", "left").select("id", "n", "parity", F.coalesce("root", "id").alias("root"))
     for side in "uv":
-        pairs = pairs.join(of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "bits", "root")]), side)
+        pairs = pairs.join(of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "parity", "root")]), side)
     n, m = F.col("nu"), F.col("nv")
-    pairs = pairs.where((F.col("rootu") != F.col("rootv")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)).select("u", "v", "nu", "nv", "bitsu", "bitsv")
+    pairs = pairs.where((F.col("rootu") != F.col("rootv")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)).select("u", "v", "nu", "nv", "parityu", "parityv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PARITY) for k in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            both = zip(*[[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (4, 5)], strict=True)
+            words = lambda x, y: min(len(x), len(y))
+            apart = np.array([int(np.bitwise_count(folded(x, words(x, y)) ^ folded(y, words(x, y))).sum(dtype=np.int64)) for x, y in both], np.int64)
             n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
             yield batch.select([0, 1]).filter(pa.array(apart <= (1 - similarity) / (1 + similarity) * n + 1e-6))
 
@@ -373,7 +382,7 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
 
 
 def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Different sets as (id, n, fp, prefix, bits) and their texts (id, text) -> (id, root) of those that are linked to another.
+    """Different sets as (id, n, fp, prefix, bits, parity) and their texts (id, text) -> (id, root) of those that are linked to another.
 
     Fingerprints within DISTANCE bits are candidates at first, found by pigeonhole blocks. Sets of the similarity also share
     a shingle of their prefixes, so next every set is compared with the one of the smallest id at each of these, which
@@ -403,7 +412,8 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
     rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
     more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
-    return _components(links.union(_verified(stored(more), texts, similarity)))
+    more = stored(_possible(stored(more), sets, roots, similarity))
+    return _components(links.union(_verified(more, texts, similarity)))
 
 
 def _set_rows(similarity: float, common):
@@ -411,16 +421,17 @@ def _set_rows(similarity: float, common):
         import xxhash
 
         for batch, texts in slices(batches):
-            ids, n, fps, prefix, bits = [], [], [], [], []
+            ids, n, fps, prefix, bits, full = [], [], [], [], [], []
             for t in texts:
                 h = shingle_set(t)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 n.append(len(h))
                 fps.append(set_fingerprint(h))
                 prefix.append(_prefix(h, similarity, common.value).tobytes())
-                bits.append(parity(h).tobytes())
-            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["_row", "_id", "_n", "_fp", "_prefix", "_bits"])
+                full.append(parity(h))
+                bits.append(folded(full[-1], PARITY).tobytes())
+            more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in full], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["_row", "_id", "_n", "_fp", "_prefix", "_bits", "_parity"])
 
     return run
 
@@ -435,14 +446,14 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, block: int = BLOC
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))  # bounded by the sample
     packed = docs.select(whole_row(docs).alias("_row"), F.col("text"))
-    schema = packed.drop("text").withColumns({"_id": F.lit(0).cast("long"), "_n": F.lit(0), "_fp": F.lit(0).cast("long"), "_prefix": F.lit(b""), "_bits": F.lit(b"")}).schema
+    schema = packed.drop("text").withColumns({"_id": F.lit(0).cast("long"), "_n": F.lit(0), "_fp": F.lit(0).cast("long"), "_prefix": F.lit(b""), "_bits": F.lit(b""), "_parity": F.lit(b"")}).schema
     rows = map_batches(packed, _set_rows(similarity, common), schema)
     # of each different set the document that would stay, in a table that no join moves again
     doc = F.col("_row")["doc_id"]
-    one = F.struct("_row", *[F.col(f"_{c}").alias(c) for c in ("n", "fp", "prefix", "bits")])
+    one = F.struct("_row", *[F.col(f"_{c}").alias(c) for c in ("n", "fp", "prefix", "bits", "parity")])
     best = rows.groupBy(F.col("_id").alias("id")).agg(F.min_by(one, F.struct(doc.isNull().alias("n"), doc.alias("d"))).alias("b"))
     best = bucketed(best.select("id", "b.*"), "id")
-    roots = similar_components(best.select("id", "n", "fp", "prefix", "bits"), best.select("id", F.col("_row")["text"].alias("text")), similarity, block)
+    roots = similar_components(best.select("id", "n", "fp", "prefix", "bits", "parity"), best.select("id", F.col("_row")["text"].alias("text")), similarity, block)
     named = best.select("id", doc.alias("d")).join(roots, "id", "left").select("id", "d", F.coalesce("root", "id").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "id")).alias("m")).select("m.id")
     return best.join(first, "id", "left_semi").select("_row.*")
