@@ -37,6 +37,14 @@ def mean_heterozygosity(h: DataFrame, *keys: str) -> DataFrame:
     return h.groupBy(*keys).agg(F.avg("h_exp").alias("mean_h"), F.count("*").alias("n_loci"))
 
 
+def pooled_heterozygosity(spectrum: DataFrame, locus: str, allele: str) -> DataFrame:
+    """Expected heterozygosity of each locus from the counts of all populations together."""
+    pooled = spectrum.groupBy(locus, allele).agg(F.sum("n").alias("n"))
+    s = pooled.groupBy(locus).agg(F.sum("n").alias("n_copies"), F.sum((F.col("n") * F.col("n")).cast("double")).alias("_s"))
+    n = F.col("n_copies").cast("double")
+    return s.select(locus, "n_copies", (F.lit(1.0) - F.col("_s") / (n * n)).alias("h_exp"))
+
+
 def gene_copies(df: DataFrame, pop: str, locus: str, value: str) -> DataFrame:
     """Present and missing gene copies of each (locus, pop), of each locus, and altogether (null keys)."""
     missing = F.sum(F.col(value).isNull().cast("long"))

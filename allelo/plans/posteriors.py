@@ -65,6 +65,14 @@ def q30_covariance(spark, sf):
     return rounded(c, 5)
 
 
+def q66_pairwise_gelman(spark, sf):
+    return rounded(ch.pairwise_gelman_rubin(table(spark, sf, "lineitem"), ["l_returnflag"], "l_linenumber", "l_quantity"), 8)
+
+
+def q67_mean_covariance(spark, sf):
+    return rounded(ch.mean_covariances(table(spark, sf, "lineitem"), ["l_returnflag"], "l_linenumber", ["l_quantity", "l_discount", "l_tax"]), 6)
+
+
 def _loglike(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("locus"), (F.col("l_linenumber") / F.lit(7.0)).alias("beta"), (-F.col("l_quantity") - F.col("l_discount")).alias("l")
@@ -215,6 +223,14 @@ SQL = {
         f"SELECT l_returnflag, '{x}' AS a, '{y}' AS b, round(covar_pop({x}, {y}), 5) AS cov_pop, round(covar_samp({x}, {y}), 5) AS cov_samp, round(corr({x}, {y}), 5) AS corr FROM lineitem GROUP BY ALL"
         for x, y in _PAIRS
     ),
+    "q66_pairwise_gelman": """WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY ALL),
+        p AS (SELECT a.l_returnflag, a.l_linenumber AS chain_a, b.l_linenumber AS chain_b, (a.v + b.v) / 2 AS w, (a.n + b.n) / 2 AS n, (a.m - b.m) * (a.m - b.m) / 2 AS bt
+              FROM c a JOIN c b ON a.l_returnflag = b.l_returnflag AND a.l_linenumber < b.l_linenumber)
+        SELECT l_returnflag, chain_a, chain_b, CASE WHEN w > 0 THEN round(sqrt(((n - 1) / n * w + bt) / w), 8) END AS r_hat FROM p""",
+    "q67_mean_covariance": "SELECT l_returnflag, a, b, count(c) AS n_loci, round(avg(c), 6) AS mean_cov FROM (" + " UNION ALL ".join(
+        f"SELECT l_returnflag, l_linenumber, '{x}' AS a, '{y}' AS b, covar_samp({x}, {y}) AS c FROM lineitem GROUP BY ALL"
+        for x, y in (("l_quantity", "l_quantity"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_discount"), ("l_discount", "l_tax"), ("l_tax", "l_tax"))
+    ) + ") GROUP BY ALL",
     "q31_harmonic": f"WITH {_LL}, m AS (SELECT locus, min(l) AS m FROM ll GROUP BY locus) SELECT locus, round(max(m) - ln(avg(exp(m - l))), 7) AS harmonic FROM ll JOIN m USING (locus) GROUP BY locus",
     "q32_thermo": f"WITH {_THERMO} SELECT locus, round(thermo, 7) AS thermo FROM thermo",
     "q33_bezier": f"""WITH {_MEANS}, d AS (SELECT locus, beta AS b0, mean_l AS l0, lead(beta) OVER w AS b1, lead(mean_l) OVER w AS l1, row_number() OVER w AS n FROM means WINDOW w AS (PARTITION BY locus ORDER BY beta)),

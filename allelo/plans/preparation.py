@@ -73,9 +73,21 @@ def q09_watterson(spark, sf):
     return rounded(sq.relative_rates(d, F.col("theta"), F.col("n_sites")), 7)
 
 
+def _long_sites(spark, sf):
+    p = table(spark, sf, "part").select("p_size", "p_partkey", F.rpad(F.concat("p_brand", "p_type"), 40, "?").alias("seq"))
+    return sq.sites(p, ["p_size", "p_partkey"], "seq")
+
+
 def q10_site_patterns(spark, sf):
-    p = table(spark, sf, "part").where("p_size <= 10").select("p_size", "p_partkey", F.rpad(F.concat("p_brand", "p_type"), 24, "?").alias("seq"))
-    return sq.site_patterns(sq.sites(p, ["p_size", "p_partkey"], "seq"), "p_size", "p_partkey").withColumn("pattern", F.md5("pattern"))
+    return sq.site_patterns(_long_sites(spark, sf), "p_size", "p_partkey")
+
+
+def q64_pooled_het(spark, sf):
+    return rounded(fr.pooled_heterozygosity(_orders_spectrum(spark, sf), "locus", "allele"))
+
+
+def q65_site_to_pattern(spark, sf):
+    return sq.site_to_pattern(_long_sites(spark, sf), "p_size", "p_partkey")
 
 
 def q11_random_subset(spark, sf):
@@ -168,6 +180,9 @@ _HET = """s AS (SELECT c_nationkey AS pop, o_orderstatus AS locus, o_orderpriori
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IS NOT NULL GROUP BY ALL),
 f AS (SELECT *, n / sum(n) OVER (PARTITION BY pop, locus) AS freq FROM s),
 h AS (SELECT pop, locus, 1.0::DOUBLE - sum(freq * freq) AS h_exp FROM f GROUP BY ALL)"""
+_PATTERNS = """c AS (SELECT p_size, p_partkey, rpad(p_brand || p_type, 40, '?') AS seq FROM part),
+b AS (SELECT p_size, i::INT AS site, md5(p_partkey::VARCHAR || '|' || substr(seq, i::INT, 1)) AS h FROM c, generate_series(1, 40) g(i)),
+s AS (SELECT p_size, site, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS pattern FROM b GROUP BY ALL)"""
 _SITES = """chars AS (SELECT p_size, p_partkey, rpad(p_brand, 8, '?') AS seq FROM part),
 sites AS (SELECT p_size, p_partkey, i::INT AS site, substr(seq, i::INT, 1) AS base FROM chars, generate_series(1, 8) g(i)),
 per AS (SELECT p_size, site, count(DISTINCT CASE WHEN base <> '?' THEN base END) AS k FROM sites GROUP BY ALL),
@@ -201,9 +216,11 @@ SQL = {
         r AS (SELECT *, coalesce(theta, 0.0) / n_sites + 1e-7 AS x FROM v)
         SELECT p_size, n_sites, segregating, n, round(a1, 7) AS a1, round(a2, 7) AS a2, round(theta, 7) AS theta, round(theta_var, 7) AS theta_var,
                round(sqrt(theta_var), 7) AS theta_sd, round(x / avg(x) OVER (), 7) AS rate FROM r""",
-    "q10_site_patterns": """WITH c AS (SELECT p_size, p_partkey, rpad(p_brand || p_type, 24, '?') AS seq FROM part WHERE p_size <= 10),
-        s AS (SELECT p_size, i::INT AS site, string_agg(substr(seq, i::INT, 1), '' ORDER BY p_partkey) AS pattern FROM c, generate_series(1, 24) g(i) GROUP BY ALL)
-        SELECT p_size, md5(pattern) AS pattern, count(*) AS weight, min(site) AS first_site FROM s GROUP BY ALL""",
+    "q10_site_patterns": f"""WITH {_PATTERNS} SELECT p_size, pattern, count(*) AS weight, min(site) AS first_site FROM s GROUP BY ALL""",
+    "q64_pooled_het": f"""WITH {_HET}, p AS (SELECT locus, allele, sum(n) AS n FROM s GROUP BY ALL), t AS (SELECT locus, sum(n)::BIGINT AS n_copies, sum(n * n)::DOUBLE AS q FROM p GROUP BY ALL)
+        SELECT locus, n_copies, round(1.0::DOUBLE - q / (n_copies::DOUBLE * n_copies::DOUBLE), 8) AS h_exp FROM t""",
+    "q65_site_to_pattern": f"""WITH {_PATTERNS}, f AS (SELECT p_size, site, min(site) OVER (PARTITION BY p_size, pattern) AS first_site FROM s)
+        SELECT p_size, site, first_site, dense_rank() OVER (PARTITION BY p_size ORDER BY first_site)::INT AS pattern_nr FROM f""",
     "q11_random_subset": """SELECT c_nationkey, c_name, c_custkey FROM customer
         QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_name || '17'), c_name) <= 5""",
     "q12_relabel": """SELECT n_regionkey AS pop, 1 AS locus, c_mktsegment AS allele, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY n_regionkey), 8) AS freq

@@ -106,7 +106,7 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
     Alleles: two copies a locus, split at the delimiter (a lone one is homozygous), or one or two letters where the file
     has none. Sequences: one copy, ``value`` is the whole part of the locus, ``site`` null (see ``explode_sites``).
     """
-    comments = [r["line"] for r in spark.read.text(path).where(F.col("value").rlike(r"^\s*#")).limit(10_000).select(F.col("value").alias("line")).collect()]
+    comments = [r["line"] for r in spark.read.text(path).where(F.col("value").rlike(r"^\s*#(\$|\s*@M)")).select(F.col("value").alias("line")).collect()]
     lines = numbered(spark, path, r"^\s*(#|$)")
     first = lines.where("nr < 2").orderBy("nr").limit(2).collect()
     head = parse_header(first[0]["line"])

@@ -21,9 +21,3 @@ def test_matches_sql(spark, con, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
-
-
-def test_sampler_is_repeatable(spark, sf):
-    q = registry.queries()["r01_sampler"]
-    a, b = (sorted(map(tuple, q(spark, sf).collect())) for _ in range(2))
-    assert a == b and len(a) == 6 * 40 * 4
