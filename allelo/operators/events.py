@@ -58,8 +58,11 @@ def skyline(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFram
 
 
 def drop_outliers(df: DataFrame, keys: list[str], value: str, times: float = 10.0) -> DataFrame:
-    """Without values over ``times`` the mean of their group (two passes, whatever the order of rows)."""
-    return df.withColumn("_m", F.avg(value).over(W.partitionBy(*keys))).where(F.col(value) <= F.col("_m") * times).drop("_m")
+    """Without values over ``times`` the mean of their group (two passes, whatever the order of rows): the means, a row a
+    group, are joined to the rows, which Spark moves only where they are too many to broadcast."""
+    m = df.groupBy(*keys).agg(F.avg(value).alias("_m")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
+    same = [df[k].eqNullSafe(m[f"_k{i}"]) for i, k in enumerate(keys)]
+    return df.join(m, [*same, df[value] <= m["_m"] * times]).select(*[df[c] for c in df.columns])
 
 
 def trim_tail(s: DataFrame, keys: list[str], weight: str) -> DataFrame:
