@@ -103,21 +103,21 @@ def q12_relabel(spark, sf):
 def q13_filter_cascade(spark, sf):
     d = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ind"), F.col("l_linenumber").alias("locus"), F.col("l_returnflag").alias("allele")).distinct()
     d = d.withColumn("pop", F.col("ind") % 5)
-    d = stored(fr.drop_rare_alleles(stored(d), "locus", "allele", "pop", 0.2, 0.6))  # each filter looks at its input several times
-    # missing data: a population and locus has as many individuals as the population; a locus all; an individual all loci
-    inds = d.select("ind", "pop").distinct()
-    need = inds.groupBy("pop").agg(F.count("*").alias("need"))
-    by_pop = d.select("pop", "locus").distinct().join(need, "pop")
-    kept = fr.drop_sparse(d.select("pop", "locus", "ind").distinct(), by_pop, ["pop", "locus"], "have", "need", 0.3).select("pop", "locus").distinct()
-    d = stored(d.join(kept, ["pop", "locus"], "left_semi"))
+    d = fr.drop_rare_alleles(stored(d), "locus", "allele", "pop", 0.2, 0.6)  # filters look at their input several times
+    # missing data: a population and locus has as many individuals as the population; a locus all; an individual all loci.
+    # A row for each individual and locus, so that every filter is a count; what each keeps is a small table.
+    d = stored(d.groupBy("pop", "ind", "locus").agg(F.collect_set("allele").alias("alleles")))
+    need = d.groupBy("pop").agg(F.countDistinct("ind").alias("need"))
+    enough = 1 - F.col("have") / F.col("need") <= 0.3
+    kept = d.groupBy("pop", "locus").agg(F.count("*").alias("have")).join(need, "pop").where(enough)
+    d = d.join(stored(kept.select("pop", "locus")), ["pop", "locus"], "left_semi")
     everyone = d.agg(F.countDistinct("ind").alias("need"))
-    loci = d.select("locus").distinct().crossJoin(F.broadcast(everyone))  # one row
-    kept = fr.drop_sparse(d.select("locus", "ind").distinct(), loci, ["locus"], "have", "need", 0.3).select("locus").distinct()
-    d = stored(d.join(kept, "locus", "left_semi"))
+    kept = d.groupBy("locus").agg(F.count("*").alias("have")).crossJoin(F.broadcast(everyone)).where(enough)  # one row
+    d = d.join(stored(kept.select("locus")), "locus", "left_semi")
     n_loci = d.agg(F.countDistinct("locus").alias("need"))
-    people = d.select("ind").distinct().crossJoin(F.broadcast(n_loci))  # one row
-    kept = fr.drop_sparse(d.select("ind", "locus").distinct(), people, ["ind"], "have", "need", 0.3).select("ind").distinct()
-    return fr.drop_monomorphic(stored(d.join(kept, "ind", "left_semi")), "locus", "allele").select("ind", "locus", "allele", "pop")
+    kept = d.groupBy("ind").agg(F.count("*").alias("have")).crossJoin(F.broadcast(n_loci)).where(enough)  # one row
+    d = d.join(stored(kept.select("ind")), "ind", "left_semi").select("ind", "locus", F.explode("alleles").alias("allele"), "pop")
+    return fr.drop_monomorphic(d, "locus", "allele").select("ind", "locus", "allele", "pop")
 
 
 def q14_whitelist(spark, sf):
