@@ -1,6 +1,6 @@
 """Reader of genotype files: a header with data type, populations and loci, then a block of individuals each population.
 
-The header, the line of sites and the population lines are small and read on the driver; individuals' lines are parsed by
+The header, the line of sites and the population lines are read on the driver, in one pass each; individuals' lines are parsed by
 column expressions. Result: one row for each individual, locus and copy, with null for missing values.
 """
 
@@ -30,6 +30,7 @@ class Sublocus:
     name: str | None = None
     model: str | None = None
     parameters: list[float] = field(default_factory=list)
+    unit: int | None = None
 
 
 @dataclass
@@ -100,12 +101,8 @@ def _value(v: Column) -> Column:
     return F.when((v == MISSING) | (v == ""), F.lit(None)).otherwise(v)
 
 
-def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: str | None = None) -> DataFrame:
-    """(pop, pop_name, ind, ind_name, unassigned, locus, sublocus, copy, site, value, datatype).
-
-    Alleles: two copies a locus, split at the delimiter (a lone one is homozygous), or one or two letters where the file
-    has none. Sequences: one copy, ``value`` is the whole part of the locus, ``site`` null (see ``explode_sites``).
-    """
+def _header(spark: SparkSession, path: str, kind: str | None) -> tuple[DataFrame, Header, str, int, list[Sublocus]]:
+    """Numbered lines, header, kind, number of the first population line and the parts of loci with their models."""
     comments = [r["line"] for r in spark.read.text(path).where(F.col("value").rlike(r"^\s*#(\$|\s*@M)")).select(F.col("value").alias("line")).collect()]
     lines = numbered(spark, path, r"^\s*(#|$)")
     first = lines.where("nr < 2").orderBy("nr").limit(2).collect()
@@ -121,30 +118,65 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
             parts = None
     if kind is None:
         kind = "m" if head.delimiter else "s"
-    if kind == "h":
-        return read_hapmap(lines, start)
     models = parse_models(comments)
-    for i, p in enumerate(parts or [], 1):
+    units = parse_repeats(comments) or []
+    parts = parts or [Sublocus(i + 1, 1, kind, 1) for i in range(head.loci)]
+    for i, p in enumerate(parts, 1):
         p.model, p.parameters = models.get(i, (None, []))
-    # population lines: each says how many individuals follow, so the next is found by its number
-    pops, at = [], start
-    for _ in range(head.pops):
-        row = lines.where(F.col("nr") == at).limit(1).collect()
-        if not row:
+        p.unit = units[i - 1] if i <= len(units) else None
+    return lines, head, kind, start, parts
+
+
+def read_loci(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A row for each part of a locus, as header, line of sites, model and repeat comments say: (locus, sublocus, name,
+    n_sites, datatype, model, params, repeat_unit)."""
+    parts = _header(spark, path, kind)[4]
+    rows = [(p.locus, p.sublocus, p.name, p.length, p.kind, p.model, p.parameters, p.unit) for p in parts]
+    return spark.createDataFrame(rows, "locus int, sublocus int, name string, n_sites int, datatype string, model string, params array<double>, repeat_unit int")
+
+
+def population_lines(lines: DataFrame, start: int, pops: int, interleaved: bool = False) -> list[tuple[int, str, int, int, int]]:
+    """(pop, name, first line, last line, individuals) of each population. Each such line says how many individuals follow,
+    so lines that begin with a number are walked through once, in order and without being held. Interleaved blocks go on
+    to the next line that begins with a number, or to the end."""
+    out, at = [], start
+    for row in lines.where((F.col("nr") >= start) & F.col("line").rlike(r"^\s*\d+(\s|$)")).orderBy("nr").toLocalIterator():
+        if len(out) == pops or row["nr"] > at and not interleaved:
             break
-        m = re.match(r"\s*(\d+)((?:\s+\d+)*)\s*(.*)$", row[0]["line"])
-        if not m:
-            raise ValueError(f"not a population line: {row[0]['line']!r}")
-        pops.append((len(pops) + 1, (m[3] or "").strip() or f"population {len(pops) + 1}", at + 1, at + int(m[1])))
-        at += int(m[1]) + 1
-    dim = F.broadcast(spark.createDataFrame(pops, "pop int, pop_name string, first long, last long"))  # a row a population
-    d = lines.join(dim, F.col("nr").between(F.col("first"), F.col("last")))
-    name = stripped(F.substring("line", 1, name_width))
-    d = d.select(
-        "pop", "pop_name", (F.col("nr") - F.col("first") + 1).cast("int").alias("ind"),
-        F.regexp_replace(name, r"^\?", "").alias("ind_name"), name.startswith("?").alias("unassigned"),
-        F.substring(F.col("line"), F.lit(name_width + 1), F.length("line")).alias("_rest"),
-    )
+        if row["nr"] < at:
+            continue
+        m = re.match(r"\s*(\d+)((?:\s+\d+)*)\s*(.*)$", row["line"])
+        if out and interleaved:
+            out[-1][3] = row["nr"] - 1
+        out.append([len(out) + 1, (m[3] or "").strip() or f"population {len(out) + 1}", row["nr"] + 1, row["nr"] + int(m[1]), int(m[1])])
+        at = row["nr"] + int(m[1]) + 1
+    if len(out) < pops and not interleaved and (wrong := lines.where(F.col("nr") == at).first()) is not None:
+        raise ValueError(f"not a population line: {wrong['line']!r}")
+    if out and interleaved:
+        out[-1][3] = lines.agg(F.max("nr")).first()[0]
+    return [tuple(p) for p in out]
+
+
+def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: str | None = None, interleaved: bool = False) -> DataFrame:
+    """(pop, pop_name, ind, ind_name, unassigned, locus, sublocus, copy, site, value, datatype).
+
+    Alleles: two copies a locus, split at the delimiter (a lone one is homozygous), or one or two letters where the file
+    has none. Sequences: one copy, ``value`` is the whole part of the locus, ``site`` null (see ``explode_sites``).
+    ``interleaved`` sequences come in blocks of a line each individual, with names in a population's first block only.
+    """
+    lines, head, kind, start, parts = _header(spark, path, kind)
+    if kind == "h":
+        return read_hapmap(lines, start)
+    pops = population_lines(lines, start, head.pops, interleaved)
+    dim = spark.createDataFrame(pops, "pop int, pop_name string, first long, last long, size int")
+    d = lines.join(F.broadcast(dim), F.col("nr").between(F.col("first"), F.col("last")))  # a row a population
+    if interleaved:
+        d = d.withColumn("nr", F.col("nr") - F.col("first"))
+        d = join_interleaved(d, F.col("size"), name_width, ["pop", "pop_name"]).withColumnRenamed("seq", "_rest").withColumn("_name", F.col("ind_name"))
+    else:
+        rest = F.substring(F.col("line"), F.lit(name_width + 1), F.length("line")).alias("_rest")
+        d = d.select("pop", "pop_name", (F.col("nr") - F.col("first") + 1).cast("int").alias("ind"), stripped(F.substring("line", 1, name_width)).alias("_name"), rest)
+    d = d.select("pop", "pop_name", "ind", F.regexp_replace("_name", r"^\?", "").alias("ind_name"), F.col("_name").startswith("?").alias("unassigned"), "_rest")
     keys = ["pop", "pop_name", "ind", "ind_name", "unassigned"]
     if kind in DIPLOID:
         words = F.split(stripped("_rest"), r"\s+")
@@ -153,7 +185,6 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
         copies = F.array(F.struct(F.lit(1).alias("copy"), a.alias("v")), F.struct(F.lit(2).alias("copy"), F.when(F.coalesce(b, F.lit("")) == "", a).otherwise(b).alias("v")))
         d = d.select(*keys, (F.col("_l") + 1).alias("locus"), F.lit(1).alias("sublocus"), F.explode(copies).alias("_c"))
         return d.select(*keys, "locus", "sublocus", "_c.copy", F.lit(None).cast("int").alias("site"), _value(F.col("_c.v")).alias("value"), F.lit(kind).alias("datatype"))
-    parts = parts or [Sublocus(i + 1, 1, kind, 1) for i in range(head.loci)]
     at, cuts = 1, []
     for p in parts:
         cuts.append(F.struct(F.lit(p.locus).alias("locus"), F.lit(p.sublocus).alias("sublocus"), F.substring("_s", at, p.length).alias("value"), F.lit(p.kind).alias("datatype")))
@@ -162,17 +193,18 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
     return d.select(*keys, "_c.locus", "_c.sublocus", F.lit(1).alias("copy"), F.lit(None).cast("int").alias("site"), "_c.value", "_c.datatype")
 
 
-def join_interleaved(lines: DataFrame, individuals: int, name_width: int = 10) -> DataFrame:
-    """Interleaved sequences of one population: blocks of a line each individual, names only in the first block.
-    ``lines`` (nr from 0, line) -> (ind, ind_name, seq)."""
-    d = lines.select((F.col("nr") % individuals + 1).cast("int").alias("ind"), F.floor(F.col("nr") / individuals).alias("block"), "line")
+def join_interleaved(lines: DataFrame, individuals: int | Column, name_width: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """Interleaved sequences of each of ``keys``: blocks of a line each individual, names only in the first block.
+    ``lines`` (keys, nr from 0, line) -> (keys, ind, ind_name, seq)."""
+    keys, n = keys or [], individuals if isinstance(individuals, Column) else F.lit(individuals)
+    d = lines.select(*keys, (F.col("nr") % n + 1).cast("int").alias("ind"), F.floor(F.col("nr") / n).alias("block"), "line")
     first = F.col("block") == 0
     part = F.when(first, F.substring(F.col("line"), F.lit(name_width + 1), F.length("line"))).otherwise(F.col("line"))
-    d = d.groupBy("ind").agg(
+    d = d.groupBy(*keys, "ind").agg(
         F.max(F.when(first, stripped(F.substring("line", 1, name_width)))).alias("ind_name"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.translate(part, " \t", "").alias("s")))), lambda x: x["s"]), "").alias("seq"),
     )
-    return d.select("ind", "ind_name", "seq")
+    return d.select(*keys, "ind", "ind_name", "seq")
 
 
 def explode_sites(d: DataFrame) -> DataFrame:

@@ -141,3 +141,24 @@ def test_options_round_trip():
 def test_interleaved(spark):
     lines = spark.createDataFrame([(0, "A         ACG"), (1, "B         TT "), (2, "TT"), (3, "GG C")], "nr long, line string")
     assert sorted(map(tuple, native.join_interleaved(lines, 2).collect())) == [(1, "A", "ACGTT"), (2, "B", "TTGGC")]
+
+
+def test_interleaved_file_and_loci(spark, tmp_path):
+    text = "2 2 seqs\n#$ 1 s TN 2.0 3.5\n(s3 s2) (s4)\n2 p\nA         ACG\n?B        AAA\nTTAC\nCCCC\nGT\nGG\n1 q\n7         AC?NN\nTTTT\n"
+    path = put(tmp_path, text)
+    d = native.read_genotypes(spark, path, interleaved=True)
+    assert {(r.pop, r.ind_name, r.unassigned, r.locus, r.sublocus): r.value for r in d.collect()} == {
+        (1, "A", False, 1, 1): "ACG", (1, "A", False, 1, 2): "TT", (1, "A", False, 2, 1): "ACGT",
+        (1, "B", True, 1, 1): "AAA", (1, "B", True, 1, 2): "CC", (1, "B", True, 2, 1): "CCGG",
+        (2, "7", False, 1, 1): "AC?", (2, "7", False, 1, 2): "NN", (2, "7", False, 2, 1): "TTTT",
+    }
+    loci = native.read_loci(spark, path).orderBy("locus", "sublocus").collect()
+    assert [(r.locus, r.sublocus, r.n_sites, r.model, r.params) for r in loci] == [(1, 1, 3, "TN", [2.0, 3.5]), (1, 2, 2, None, []), (2, 1, 4, None, [])]
+    path = put(tmp_path, "1 2 . x\n#@M 2 3\n2 P\n11        1.2 3.3\n12        1.2 ?.3\n", "m.txt")
+    assert [r.repeat_unit for r in native.read_loci(spark, path).orderBy("locus").collect()] == [2, 3]
+    assert native.read_genotypes(spark, path).count() == 8
+
+
+def test_a_missing_population_line(spark, tmp_path):
+    with pytest.raises(ValueError, match="not a population line"):
+        native.read_genotypes(spark, put(tmp_path, "2 1 . x\n1 P\nA         1.2\nB         1.2\n"))
