@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import autocorrelation
+
 
 def intervals(df: DataFrame, keys: list[str], age: str, tie: str) -> DataFrame:
     """Adds ``start`` (age of the event before, 0 for the first), ``length`` and ``is_last``."""
@@ -57,6 +59,25 @@ def skyline(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFram
     )
 
 
+def skyline_deviations(df: DataFrame, keys: list[str], order: list[str], value: str, weight: str) -> DataFrame:
+    """Finalised skyline: weighted mean, its standard deviation corrected for the correlation of successive values in a bin,
+    lag-1 autocorrelation ``r``, effective number ``ess`` of values, mean weight and its standard deviation. ``sd`` is null
+    in bins with one effective value or fewer, ``weight_sd`` in those with one value."""
+    w, v = F.col(weight), F.col(value)
+    d = df.where((w > 0) & v.isNotNull())
+    mean = F.sum(w * v) / F.sum(w)
+    s = d.groupBy(*keys, "bin").agg(
+        mean.alias("mean"), F.greatest(F.sum(w * v * v) / F.sum(w) - mean * mean, F.lit(0.0)).alias("_var"), F.avg(w).alias("mean_weight"), F.stddev_samp(w).alias("weight_sd")
+    )
+    e = autocorrelation(d, [*keys, "bin"], order, value).drop("mean")
+    k = [*keys, "bin"]
+    e = e.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], "n", "r", "ess")
+    s = s.join(e, [s[c].eqNullSafe(e[f"_k{i}"]) for i, c in enumerate(k)])
+    # summed weighted squares are n times mean weight times variance, over (ess - 1) times the mean weight; of a mean of n
+    sd = F.when(F.col("ess") > 1 + 1e-6, F.sqrt(F.col("_var") / (F.col("ess") - 1)))
+    return s.select(*k, "mean", sd.alias("sd"), "r", "ess", "mean_weight", "weight_sd", "n")
+
+
 def drop_outliers(df: DataFrame, keys: list[str], value: str, times: float = 10.0) -> DataFrame:
     """Without values over ``times`` the mean of their group (two passes, whatever the order of rows): the means, a row a
     group, are joined to the rows, which Spark moves only where they are too many to broadcast."""
@@ -135,6 +156,12 @@ def tip_dates(tips: DataFrame, dates: DataFrame, on: list[str], date: str, forwa
     return d.withColumn(date, F.coalesce(age, F.lit(0.0))).drop("_lo", "_hi")
 
 
+def scaled_rates(rates: DataFrame, weights: DataFrame, on: list[str], rate: str, weight: str = "weight") -> DataFrame:
+    """Rates times the geographic weights of their pairs; pairs without weight keep theirs."""
+    d = rates.join(weights.select(*on, F.col(weight).alias("_w")), on, "left")
+    return d.withColumn(rate, F.col(rate) * F.coalesce("_w", F.lit(1.0))).drop("_w")
+
+
 def geographic_weights(pairs: DataFrame, d: str) -> DataFrame:
     """1 / distance; 1 where no distance is given."""
     return pairs.withColumn("weight", F.when(F.col(d).isNull(), F.lit(1.0)).otherwise(F.lit(1.0) / F.greatest(F.col(d), F.lit(1e-6))))

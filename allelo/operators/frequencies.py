@@ -138,6 +138,12 @@ def first_seen_index(df: DataFrame, keys: list[str], value: str, order: str) ->
     return seen.select(*keys, value, rank.alias("idx"))
 
 
+def allele_index(df: DataFrame, keys: list[str], value: str, dictionary: DataFrame) -> DataFrame:
+    """Rows with the number ``idx`` of their value in the dictionary of their group (see ``first_seen_index``); null for
+    values that it lacks and for missing ones."""
+    return df.join(dictionary.select(*keys, value, "idx"), [*keys, value], "left").select(*[df[c] for c in df.columns], "idx")
+
+
 def repeat_offset(df: DataFrame, locus: str, length: str, unit: int) -> DataFrame:
     """For each locus the shift r in 0..unit-1 with the least sum of squared distances of (length - r) to multiples of
     ``unit`` (of equals the smallest), and that sum."""

@@ -1,4 +1,4 @@
-"""Queries on event times and assignments: q17 to q21, q35, q36, q40, q54 to q62."""
+"""Queries on event times and assignments: q17 to q21, q35, q36, q40, q54 to q63, q68, q69."""
 
 from __future__ import annotations
 
@@ -123,11 +123,23 @@ def q63_expected_theta(spark, sf):
     )
 
 
+def q68_skyline_deviations(spark, sf):
+    return rounded(ev.skyline_deviations(_over_hours(spark, sf), ["locus"], ["event_id"], "value", "part"), 7)
+
+
+def q69_scaled_rates(spark, sf):
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("a")).agg(F.avg("c_acctbal").alias("rate"))
+    b = table(spark, sf, "nation").select(F.col("n_nationkey").alias("b"))
+    rates = c.crossJoin(b).where("a <> b")  # all pairs of a dimension
+    weights = ev.geographic_weights(rates.where((F.col("a") + F.col("b")) % 3 != 0).select("a", "b", F.abs(F.col("a") - F.col("b")).cast("double").alias("d")), "d")
+    return rounded(ev.scaled_rates(rates, weights, ["a", "b"], "rate"), 6)
+
+
 _AGE = """a AS (SELECT *, epoch_us(ts) / 1e6::DOUBLE - (SELECT min(epoch_us(ts) / 1e6::DOUBLE) FROM events) AS age FROM events),
 i AS (SELECT *, coalesce(lag(age) OVER w, 0.0) AS start, age - coalesce(lag(age) OVER w, 0.0) AS length, lead(age) OVER w IS NULL AS is_last FROM a WINDOW w AS (PARTITION BY user_id ORDER BY age, event_id))"""
 _EH = f"{_AGE}, h AS (SELECT event_type, floor(age / 86400.0)::BIGINT AS bin, count(*) AS n_all, sum(is_last::INT)::BIGINT AS n_mrca FROM i GROUP BY ALL)"
-_BINS = f"""{_AGE}, l AS (SELECT user_id % 4 AS locus, value, start, age FROM i WHERE length > 0),
-p AS (SELECT locus, value, b AS bin, (least(age, (b + 1) * 21600.0::DOUBLE) - greatest(start, b * 21600.0::DOUBLE)) / 21600.0::DOUBLE AS part
+_BINS = f"""{_AGE}, l AS (SELECT user_id % 4 AS locus, event_id, value, start, age FROM i WHERE length > 0),
+p AS (SELECT locus, event_id, value, b AS bin, (least(age, (b + 1) * 21600.0::DOUBLE) - greatest(start, b * 21600.0::DOUBLE)) / 21600.0::DOUBLE AS part
   FROM l, LATERAL (SELECT unnest(generate_series(floor(start / 21600.0)::BIGINT, greatest(floor(start / 21600.0)::BIGINT, ceil(age / 21600.0)::BIGINT - 1))) AS b)),
 s AS (SELECT locus, bin, sum(part * value) / sum(part) AS mean, greatest(sum(part * value * value) / sum(part) - (sum(part * value) / sum(part)) ** 2, 0) AS var, sum(part) AS weight, count(*) AS n
   FROM p WHERE part > 0 GROUP BY ALL)"""
@@ -167,5 +179,15 @@ SQL = {
     "q62_key_counts": "SELECT p_type, count(*) AS n FROM part GROUP BY p_type",
     "q63_expected_theta": f"""WITH {_AGE}, d AS (SELECT event_type, length / 86400.0::DOUBLE AS t, event_id % 5 + 2 AS k FROM i WHERE length > 0)
         SELECT event_type, round(avg(t * k * (k - 1)), 6) AS theta, round(avg(ln(1.0::DOUBLE / (t * k))), 6) AS log_rate FROM d GROUP BY event_type""",
+    "q68_skyline_deviations": f"""WITH {_BINS}, x AS (SELECT *, value - avg(value) OVER (PARTITION BY locus, bin) AS x FROM p WHERE part > 0),
+        y AS (SELECT *, lag(x) OVER (PARTITION BY locus, bin ORDER BY event_id) AS px FROM x),
+        e AS (SELECT locus, bin, sum(part * value) / sum(part) AS mean, greatest(sum(part * value * value) / sum(part) - (sum(part * value) / sum(part)) ** 2, 0) AS var,
+          CASE WHEN sum(x * x) > 0 THEN coalesce(sum(x * px), 0.0) / sum(x * x) ELSE 1.0 END AS r, avg(part) AS mean_weight, stddev_samp(part) AS weight_sd, count(*) AS n FROM y GROUP BY ALL),
+        f AS (SELECT *, n * (1 - r) / (1 + r) AS ess FROM e)
+        SELECT locus, bin, round(mean, 7) AS mean, round(CASE WHEN ess > 1 + 1e-6 THEN sqrt(var / (ess - 1)) END, 7) AS sd, round(r, 7) AS r, round(ess, 7) AS ess,
+        round(mean_weight, 7) AS mean_weight, round(weight_sd, 7) AS weight_sd, n FROM f""",
+    "q69_scaled_rates": """WITH c AS (SELECT c_nationkey AS a, avg(c_acctbal) AS rate FROM customer GROUP BY ALL)
+        SELECT a, n_nationkey AS b, round(rate * CASE WHEN (a + n_nationkey) % 3 <> 0 THEN 1.0::DOUBLE / greatest(abs(a - n_nationkey)::DOUBLE, 1e-6::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS rate
+        FROM c, nation WHERE a <> n_nationkey""",
 }
 QUERIES = {k: globals()[k] for k in SQL}

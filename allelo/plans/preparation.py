@@ -1,4 +1,4 @@
-"""Queries on genotype preparation: q01 to q16, q41 to q46."""
+"""Queries on genotype preparation: q01 to q16, q41 to q46, q64, q65, q70, q71."""
 
 from __future__ import annotations
 
@@ -90,6 +90,16 @@ def q65_site_to_pattern(spark, sf):
     return sq.site_to_pattern(_long_sites(spark, sf), "p_size", "p_partkey")
 
 
+def q70_allele_index(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey")
+    known = fr.first_seen_index(d.where("o_orderpriority <> '5-LOW'"), ["o_orderstatus"], "o_orderpriority", "o_orderkey")
+    return fr.allele_index(d, ["o_orderstatus"], "o_orderpriority", known)
+
+
+def q71_sequence_differences(spark, sf):
+    return sq.pairwise(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey", sq.differences(F.col("a.s_name"), F.col("b.s_name")))
+
+
 def q11_random_subset(spark, sf):
     return fr.random_subset(table(spark, sf, "customer").select("c_nationkey", "c_name", "c_custkey"), ["c_nationkey"], "c_name", 5, "17")
 
@@ -260,5 +270,10 @@ SQL = {
     "q46_biallelic": """WITH d AS (SELECT DISTINCT l_partkey, l_linenumber, l_returnflag FROM lineitem),
         two AS (SELECT l_partkey, l_linenumber FROM d GROUP BY ALL HAVING count(*) = 2)
         SELECT l_linenumber, l_returnflag, count(*) AS n FROM d SEMI JOIN two USING (l_partkey, l_linenumber) GROUP BY ALL""",
+    "q70_allele_index": """WITH k AS (SELECT o_orderstatus, o_orderpriority, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY min(o_orderkey), o_orderpriority) - 1)::INT AS idx
+        FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_orderstatus, o_orderpriority)
+        SELECT o_orderstatus, o_orderpriority, o_orderkey, idx FROM orders LEFT JOIN k USING (o_orderstatus, o_orderpriority)""",
+    "q71_sequence_differences": """SELECT a.s_suppkey AS i, b.s_suppkey AS j, (SELECT count(*) FROM generate_series(1, greatest(length(a.s_name), length(b.s_name))) g(k)
+        WHERE substr(a.s_name, k::INT, 1) <> substr(b.s_name, k::INT, 1))::INT AS d FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey""",
 }
 QUERIES = {k: globals()[k] for k in SQL}

@@ -56,3 +56,16 @@ def test_outliers(spark):
     d = spark.createDataFrame([(None, 1.0), (None, 9.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", None)], "k string, v double")
     assert sorted(map(str, map(tuple, events.drop_outliers(d, ["k"], "v", 1.5).collect()))) == sorted(["(None, 1.0)", "('a', 1.0)", "('a', 2.0)"])
     assert events.drop_outliers(d.limit(0), ["k"], "v").count() == 0
+
+
+def test_skyline_deviations(spark):
+    rows = [(1, i, v, w) for i, (v, w) in enumerate([(2.0, 1.0), (4.0, 0.5), (3.0, 1.0), (7.0, 0.25)])] + [(2, 9, 5.0, 1.0), (3, 1, 1.0, 0.0)]
+    d = spark.createDataFrame(rows, "bin int, i int, v double, w double")
+    got = {r.bin: r for r in events.skyline_deviations(d, [], ["i"], "v", "w").collect()}
+    v, w = np.array([2.0, 4, 3, 7]), np.array([1, 0.5, 1, 0.25])
+    mean, x = (v * w).sum() / w.sum(), v - v.mean()
+    r = (x[1:] * x[:-1]).sum() / (x * x).sum()
+    ess = 4 * (1 - r) / (1 + r)
+    var = (w * (v - mean) ** 2).sum() / ((ess - 1) * w.mean())
+    assert list(got[1])[1:] == pytest.approx([mean, np.sqrt(var) / 2, r, ess, w.mean(), w.std(ddof=1), 4])
+    assert set(got) == {1, 2} and got[2].sd is None and got[2].ess == 0
