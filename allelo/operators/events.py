@@ -124,6 +124,19 @@ def event_sums(df: DataFrame, keys: list[str], length: str, k: str, kind: str) -
     return df.groupBy(*keys).agg(F.sum(n * (n - 1) * t).alias("kt"), F.sum(n * t).alias("km"), F.count(kind).alias("events"))
 
 
+def event_counts(df: DataFrame, keys: list[str], origin: str, target: str) -> DataFrame:
+    """Per series and (origin, target): events, with ``within`` for those that stay in a population (coalescences) and false
+    for those between two (migrations). Rows without either end do not count."""
+    d = df.where(F.col(origin).isNotNull() & F.col(target).isNotNull())
+    return d.groupBy(*keys, origin, target).agg(F.count("*").alias("n")).withColumn("within", F.col(origin) == F.col(target))
+
+
+def divergence_models(pairs: DataFrame, models: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of populations with the columns of their divergence model (null where they have none) and whether they
+    diverge. Models are a row a pair."""
+    return pairs.join(models.withColumn("diverges", F.lit(True)), on, "left").withColumn("diverges", F.coalesce("diverges", F.lit(False)))
+
+
 def coalescent_log_density(df: DataFrame, keys: list[str], length: str, k: str, kind: str, theta: float, migration: float) -> DataFrame:
     """Log density of time lists: -t (k (k - 1) / theta + k M) of each interval, ln(2 / theta) of each coalescence (type i),
     ln M of each migration (type m)."""

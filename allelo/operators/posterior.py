@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,18 +60,31 @@ def kernel_density(df: DataFrame, keys: list[str], value: str, low: float, high:
     return d.withColumn("density", F.col("w") / F.sum("w").over(W.partitionBy(*keys)) / ((high - low) / bins)).drop("w")
 
 
-def savitzky_golay(h: DataFrame, keys: list[str], value: str, half: int, degree: int = 2) -> DataFrame:
-    """Adds ``fitted``: the value at each bin of a least-squares polynomial over the bins around it (full windows only)."""
+def savitzky_golay_weights(half: int, degree: int, at: int = 0) -> list[float]:
+    """Weights of the values at offsets -half..half for the fitted polynomial's value at offset ``at``."""
     import numpy as np
 
     x = np.arange(-half, half + 1)
-    weights = np.linalg.pinv(np.vander(x, degree + 1, increasing=True))[0]
+    return (np.vander([at], degree + 1, increasing=True) @ np.linalg.pinv(np.vander(x, degree + 1, increasing=True)))[0].tolist()
+
+
+def savitzky_golay(h: DataFrame, keys: list[str], value: str, half: int, degree: int = 2, edges: bool = False) -> DataFrame:
+    """Adds ``fitted``: the value at each bin (from 0, dense) of a least-squares polynomial over the bins around it. The first
+    and last ``half`` bins are null, or with ``edges`` take the polynomial of the first or last full window; null where a
+    group has no full window."""
     by = W.partitionBy(*keys).orderBy("bin")
-    total = None
-    for k, w in zip(x.tolist(), weights.tolist(), strict=True):
-        term = F.lag(value, -k).over(by) * F.lit(w)
-        total = term if total is None else total + term
-    return h.withColumn("fitted", total)
+
+    def fit(at: int) -> Column:
+        """From the window whose middle is ``at`` bins before this one."""
+        terms = [F.lag(value, at - k).over(by) * F.lit(w) for k, w in zip(range(-half, half + 1), savitzky_golay_weights(half, degree, at), strict=True)]
+        return reduce(lambda a, b: a + b, terms)
+
+    fitted = fit(0)
+    if edges:
+        last = F.max("bin").over(W.partitionBy(*keys))
+        for j in range(half):
+            fitted = F.when(F.col("bin") == j, fit(j - half)).when(F.col("bin") == last - j, fit(half - j)).otherwise(fitted)
+    return h.withColumn("fitted", fitted)
 
 
 def mode_and_median(h: DataFrame, keys: list[str], prob: str, skip: int = 2, after: bool = False) -> DataFrame:

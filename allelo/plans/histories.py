@@ -1,7 +1,8 @@
-"""Queries on event times and assignments: q17 to q21, q35, q36, q40, q54 to q63, q68, q69."""
+"""Queries on event times and assignments: q17 to q21, q35, q36, q40, q54 to q63, q68, q69, q77, q78."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import assignment as asg
@@ -135,6 +136,20 @@ def q69_scaled_rates(spark, sf):
     return rounded(ev.scaled_rates(rates, weights, ["a", "b"], "rate"), 6)
 
 
+def q77_event_counts(spark, sf):
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    d = table(spark, sf, "events").withColumn("to", F.lead("event_type").over(by)).withColumn("group", F.pmod("user_id", F.lit(4)))
+    return ev.event_counts(d, ["group"], "event_type", "to")
+
+
+def q78_divergence_models(spark, sf):
+    n = table(spark, sf, "nation")
+    pairs = n.select(F.col("n_nationkey").alias("a"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("b"), "n_regionkey"), "n_regionkey").where("a <> b").select("a", "b")
+    models = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("a"), F.pmod(F.col("s_nationkey") + 1, F.lit(25)).alias("b"))
+    models = models.agg(F.avg("s_acctbal").alias("mean"), F.stddev_samp("s_acctbal").alias("sd"))
+    return rounded(ev.divergence_models(pairs, models, ["a", "b"]), 6)
+
+
 _AGE = """a AS (SELECT *, epoch_us(ts) / 1e6::DOUBLE - (SELECT min(epoch_us(ts) / 1e6::DOUBLE) FROM events) AS age FROM events),
 i AS (SELECT *, coalesce(lag(age) OVER w, 0.0) AS start, age - coalesce(lag(age) OVER w, 0.0) AS length, lead(age) OVER w IS NULL AS is_last FROM a WINDOW w AS (PARTITION BY user_id ORDER BY age, event_id))"""
 _EH = f"{_AGE}, h AS (SELECT event_type, floor(age / 86400.0)::BIGINT AS bin, count(*) AS n_all, sum(is_last::INT)::BIGINT AS n_mrca FROM i GROUP BY ALL)"
@@ -189,5 +204,10 @@ SQL = {
     "q69_scaled_rates": """WITH c AS (SELECT c_nationkey AS a, avg(c_acctbal) AS rate FROM customer GROUP BY ALL)
         SELECT a, n_nationkey AS b, round(rate * CASE WHEN (a + n_nationkey) % 3 <> 0 THEN 1.0::DOUBLE / greatest(abs(a - n_nationkey)::DOUBLE, 1e-6::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS rate
         FROM c, nation WHERE a <> n_nationkey""",
+    "q77_event_counts": """WITH d AS (SELECT user_id % 4 AS "group", event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS "to" FROM events)
+        SELECT "group", event_type, "to", count(*) AS n, event_type = "to" AS within FROM d WHERE event_type IS NOT NULL AND "to" IS NOT NULL GROUP BY ALL""",
+    "q78_divergence_models": """WITH m AS (SELECT s_nationkey AS a, (s_nationkey + 1) % 25 AS b, avg(s_acctbal) AS mean, stddev_samp(s_acctbal) AS sd, count(*) AS c FROM supplier GROUP BY 1, 2)
+        SELECT x.n_nationkey AS a, y.n_nationkey AS b, round(mean, 6) AS mean, round(sd, 6) AS sd, c IS NOT NULL AS diverges
+        FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey LEFT JOIN m ON m.a = x.n_nationkey AND m.b = y.n_nationkey""",
 }
 QUERIES = {k: globals()[k] for k in SQL}

@@ -1,10 +1,11 @@
 """Queries on posterior samples: histograms and credible sets (q22 to q26, q47 to q50), chains and marginal likelihoods
-(q27 to q34, q37 to q39, q51 to q53)."""
+(q27 to q34, q37 to q39, q51 to q53, q66, q67, q73 to q76), filters on histograms (q72)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.special import inverse_normal
 from ..operators import chains as ch
 from ..operators import marginal as ml
 from ..operators import posterior as po
@@ -154,6 +155,30 @@ def q53_burnin(spark, sf):
     return ch.stop_burnin(c, ["o_orderstatus"], 1e9, 0.02)
 
 
+def q72_savitzky_golay_edges(spark, sf):
+    return rounded(po.savitzky_golay(_histogram(spark, sf), ["locus"], "density", 2, edges=True).select("locus", "bin", "fitted"), 12)
+
+
+def q73_best_state(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("score"))
+    return ch.best_state(d, ["o_orderpriority"], ["o_orderkey"], "score")
+
+
+def q74_running_moments(spark, sf):
+    return rounded(ch.running_moments(table(spark, sf, "lineitem"), ["l_returnflag"], "l_orderkey", "l_quantity", 1000), 7)
+
+
+LAGS = (1, 2, 5, 10, 50)
+
+
+def q75_autocorrelations(spark, sf):
+    return rounded(ch.autocorrelations(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice", LAGS), 7)
+
+
+def q76_raftery_lewis(spark, sf):
+    return rounded(ch.raftery_lewis(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice"), 4)
+
+
 _GRID = f"""v AS (SELECT l_returnflag AS locus, l_extendedprice AS value FROM lineitem WHERE l_extendedprice IS NOT NULL),
 b AS (SELECT locus, greatest(0, least(floor((value - {LOW}::DOUBLE) / (({HIGH}::DOUBLE - {LOW}::DOUBLE) / {BINS}))::INT, {BINS - 1})) AS bin, count(*) AS n FROM v GROUP BY ALL),
 grid AS (SELECT locus, sum(n) AS total, i::INT AS bin FROM b, generate_series(0, {BINS - 1}) g(i) GROUP BY locus, i),
@@ -199,13 +224,32 @@ _PAIRS = [(x, y) for i, x in enumerate(["l_quantity", "l_extendedprice", "l_disc
 
 
 def _sg() -> str:
-    import numpy as np
-
-    w = np.linalg.pinv(np.vander(np.arange(-2, 3), 3, increasing=True))[0].tolist()
+    w = po.savitzky_golay_weights(2, 2)
     return " + ".join(f"lag(density, {-k}) OVER w * {x!r}::DOUBLE" if k < 0 else f"lead(density, {k}) OVER w * {x!r}::DOUBLE" for k, x in zip(range(-2, 3), w, strict=True))
 
 
+_EDGES = ", ".join(f"({at}, {k}, {w!r}::DOUBLE)" for at in range(-2, 3) for k, w in zip(range(-2, 3), po.savitzky_golay_weights(2, 2, at), strict=True))
+_Z = float(inverse_normal(0.975))
+
 SQL = {
+    "q72_savitzky_golay_edges": f"""WITH {_GRID}, w(place, k, w) AS (VALUES {_EDGES}),
+        c AS (SELECT locus, bin, greatest(2, least(bin, {BINS - 3})) AS middle FROM h)
+        SELECT c.locus, c.bin, round(sum(h.density * w.w), 12) AS fitted FROM c JOIN w ON w.place = c.bin - c.middle JOIN h ON h.locus = c.locus AND h.bin = c.middle + w.k GROUP BY ALL""",
+    "q73_best_state": """WITH s AS (SELECT o_orderpriority, o_orderkey, floor(o_totalprice / 1000)::BIGINT AS score FROM orders)
+        SELECT o_orderpriority, o_orderkey, score FROM s QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY score DESC, o_orderkey) = 1""",
+    "q74_running_moments": """WITH b AS (SELECT DISTINCT l_returnflag, floor(l_orderkey / 1000)::BIGINT AS block FROM lineitem)
+        SELECT b.l_returnflag, b.block, count(l_quantity) AS n, round(avg(l_quantity), 7) AS mean, round(stddev_samp(l_quantity), 7) AS sd
+        FROM b JOIN lineitem l ON l.l_returnflag = b.l_returnflag AND floor(l_orderkey / 1000)::BIGINT <= b.block GROUP BY ALL""",
+    "q75_autocorrelations": "WITH x AS (SELECT o_orderpriority, o_orderkey AS o, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS x FROM orders) " + " UNION ALL ".join(
+        f"SELECT o_orderpriority, {k} AS lag, count(*) AS n, round(sum(x * p) / sum(x * x), 7) AS r FROM (SELECT *, lag(x, {k}) OVER (PARTITION BY o_orderpriority ORDER BY o) AS p FROM x) GROUP BY o_orderpriority"
+        for k in LAGS
+    ),
+    "q76_raftery_lewis": f"""WITH c AS (SELECT o_orderpriority AS k, quantile_cont(o_totalprice, 0.025) AS cut FROM orders GROUP BY ALL),
+        z AS (SELECT k, o_totalprice <= cut AS low, lead(o_totalprice <= cut) OVER (PARTITION BY k ORDER BY o_orderkey) AS nxt FROM orders JOIN c ON k = o_orderpriority),
+        r AS (SELECT k, avg((nxt <> low)::INT) FILTER (NOT low) AS a, avg((nxt <> low)::INT) FILTER (low) AS b FROM z WHERE nxt IS NOT NULL GROUP BY k),
+        f AS (SELECT k, ceil(ln(0.001::DOUBLE * (a + b) / greatest(a, b)) / ln(abs(1 - (a + b))))::BIGINT AS burn_in, (2 - (a + b)) * a * b / (a + b) ** 3 * {(_Z / 0.005) ** 2!r}::DOUBLE AS needed,
+              {_Z * _Z * 0.025 * 0.975 / 0.005**2!r}::DOUBLE AS least FROM r)
+        SELECT k AS o_orderpriority, burn_in, round(needed, 4) AS needed, round(least, 4) AS least, round((burn_in + needed) / least, 4) AS dependence FROM f""",
     "q22_histogram": f"WITH {_GRID} SELECT locus, bin, round(middle, 12) AS middle, n, round(density, 12) AS density FROM h",
     "q23_smooth": f"WITH {_SMOOTH} SELECT locus, bin, n, round(smoothed, 12) AS smoothed FROM s",
     "q24_mode_median": f"WITH {_MODE} SELECT locus, round(mode, 6) AS mode, round(median, 6) AS median, round(mean, 6) AS mean FROM m",

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from allelo.operators import chains, events
+from allelo.operators import chains, events, posterior
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,61 @@ def test_skyline_deviations(spark):
     var = (w * (v - mean) ** 2).sum() / ((ess - 1) * w.mean())
     assert list(got[1])[1:] == pytest.approx([mean, np.sqrt(var) / 2, r, ess, w.mean(), w.std(ddof=1), 4])
     assert set(got) == {1, 2} and got[2].sd is None and got[2].ess == 0
+
+
+def test_autocorrelations(spark, series):
+    d = spark.createDataFrame(series, "k string, i int, v double")
+    got = {(r.k, r.lag): (r.n, r.r) for r in chains.autocorrelations(d, ["k"], ["i"], "v", (2, 9)).collect()}
+    for k, v in _values(series).items():
+        x = v - v.mean()
+        for lag in (2, 9):
+            assert got[k, lag] == pytest.approx((len(v), (x[lag:] * x[:-lag]).sum() / (x * x).sum() if (x * x).sum() > 0 else 1.0)), (k, lag)
+
+
+def test_raftery_lewis(spark, series):
+    d = spark.createDataFrame(series, "k string, i int, v double")
+    got = {r.k: r for r in chains.raftery_lewis(d, ["k"], ["i"], "v", q=0.3).collect()}
+    for k in ("a", None):
+        v = _values(series)[k]
+        low = v <= np.quantile(v, 0.3)
+        a, b = low[1:][~low[:-1]].mean(), (~low)[1:][low[:-1]].mean()
+        z = 1.959963984540054
+        burn_in = np.ceil(np.log(0.001 * (a + b) / max(a, b)) / np.log(abs(1 - a - b)))
+        needed, least = (2 - a - b) * a * b / (a + b) ** 3 * (z / 0.005) ** 2, z * z * 0.21 / 0.005**2
+        assert list(got[k])[1:] == pytest.approx([burn_in, needed, least, (burn_in + needed) / least]), k
+    assert got["same"].needed is None and "one" not in got and "none" not in got
+
+
+def test_running_moments(spark, series):
+    d = spark.createDataFrame(series, "k string, i int, v double")
+    got = {(r.k, r.block): r for r in chains.running_moments(d, ["k"], "i", "v", 50).collect()}
+    v = _values(series)["a"]
+    assert [b for k, b in sorted(got, key=str) if k == "a"] == list(range(8))
+    for b in range(8):
+        x = v[: 50 * (b + 1)]
+        assert list(got["a", b])[2:] == pytest.approx([len(x), x.mean(), x.std(ddof=1)])
+    assert got["one", 0].sd is None and ("none", 0) not in got
+
+
+def test_best_state(spark):
+    rows = [(None, 1, 2.0), (None, 2, 5.0), ("a", 3, 7.0), ("a", 1, 7.0), ("a", 2, None), ("b", 1, None)]
+    got = chains.best_state(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], ["i"], "v").collect()
+    assert sorted(map(str, map(tuple, got))) == ["('a', 1, 7.0)", "(None, 2, 5.0)"]
+
+
+def test_savitzky_golay_edges(spark):
+    y = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
+    h = spark.createDataFrame([("a", i, v) for i, v in enumerate(y)] + [("short", i, 1.0) for i in range(3)], "k string, bin int, v double")
+    got = {(r.k, r.bin): r.fitted for r in posterior.savitzky_golay(h, ["k"], "v", 2, edges=True).collect()}
+    for i in range(8):
+        m = min(max(i, 2), 5)
+        assert got["a", i] == pytest.approx(np.polyval(np.polyfit(range(m - 2, m + 3), y[m - 2 : m + 3], 2), i))
+    assert all(got["short", i] is None for i in range(3))
+
+
+def test_event_counts_and_divergence(spark):
+    d = spark.createDataFrame([(1, "x", "x"), (1, "x", "y"), (1, "x", "y"), (2, None, "y"), (2, "y", None)], "k int, a string, b string")
+    assert sorted(map(tuple, events.event_counts(d, ["k"], "a", "b").collect())) == [(1, "x", "x", 1, True), (1, "x", "y", 2, False)]
+    models = spark.createDataFrame([("x", "y", 0.5)], "a string, b string, mean double")
+    got = {(r.a, r.b): (r["mean"], r.diverges) for r in events.divergence_models(d.select("a", "b").distinct(), models, ["a", "b"]).collect()}
+    assert got["x", "y"] == (0.5, True) and got["x", "x"] == (None, False) and len(got) == 4
