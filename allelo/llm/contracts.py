@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, pii, quality, rules, simhash, suffix, tokens, toxicity
+from . import codes, decontaminate, divergence, language, mixing, packing, pii, quality, rules, simhash, suffix, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_simhash, op5_language, op6_token_counts, op7_quality, op8_pii, op9_suffix_dedup, op10_quality_rules)
+    for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_simhash, op5_language, op6_token_counts, op7_quality, op8_pii, op9_suffix_dedup, op10_quality_rules, op11_packing, op12_vector_codes, op13_source_divergence)
 }

@@ -99,4 +99,68 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN bad USING (r)
 """
 
-ORACLES = {"op1_mixing": _op1(), "op10_quality_rules": OP10}
+def _op12(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Rounds of exact assignment (dot products of integers are exact in doubles here) and means rounded down."""
+
+    def nearest(book: str) -> str:
+        return f"""(
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT s.r, s.part, b.entry, (list_dot_product(s.y, s.y) - 2 * list_dot_product(s.y, b.y) + list_dot_product(b.y, b.y))::BIGINT AS d
+    FROM s JOIN {book} b USING (part)) GROUP BY r, part)"""
+
+    steps = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT r, part, list_slice(x, part * (len(x) // {parts}) + 1, (part + 1) * (len(x) // {parts})) AS y
+  FROM v, (SELECT unnest(range({parts})) AS part)
+), b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, y FROM s WHERE r <= {entries})"""
+    for i in range(rounds):
+        steps += f""", n{i} AS MATERIALIZED {nearest(f"b{i}")}, m{i} AS MATERIALIZED (
+  SELECT part, entry, list(floor_sum ORDER BY pos) AS y FROM (
+    SELECT part, entry, pos, ((t - ((t % n) + n) % n) // n)::DOUBLE AS floor_sum FROM (
+      SELECT part, entry, pos, sum(z)::BIGINT AS t, count(*)::BIGINT AS n FROM (
+        SELECT n{i}.part, n{i}.entry, unnest(s.y)::BIGINT AS z, unnest(range(len(s.y))) AS pos FROM n{i} JOIN s USING (r, part)) GROUP BY part, entry, pos))
+  GROUP BY part, entry
+), b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{i}.y, b{i}.y) AS y FROM b{i} LEFT JOIN m{i} USING (part, entry))"""
+    return f"""{steps}, f AS MATERIALIZED {nearest(f"b{rounds}")}, c AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY r
+), h AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(y, lambda z: z::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (r), h
+"""
+
+
+OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS MATERIALIZED (
+  SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), k AS MATERIALIZED (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term
+), e AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM e
+), q AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM e GROUP BY lang, term)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op1_mixing": _op1(), "op10_quality_rules": OP10, "op12_vector_codes": _op12(), "op13_source_divergence": OP13}
