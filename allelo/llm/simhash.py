@@ -205,8 +205,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 # --- documents that are similar as sets of shingles: fingerprints, then prefix filtering; exact similarity -------------
 
-#: Documents that tell which shingles are common; from so many of them a shingle counts as common.
-SAMPLE, COMMON = 10000, 3
+#: Documents that tell which shingles are common; from so many of them a shingle counts as common; so many, the most common
+#: ones, have a rank (12 bytes each in every task: ranks change the order of work only, never the result).
+SAMPLE, COMMON, RANKED = 10000, 3, 1 << 20
 #: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
 BLOCK = 512
 #: Words of a set's short bits of parity.
@@ -284,7 +285,8 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             h = np.concatenate([np.zeros(0, np.uint64), *map(shingle_set, texts)])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["w"])
 
-    got = map_batches(some, run, "w bigint").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    n = map_batches(some, run, "w bigint").groupBy("w").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= COMMON)
+    got = n.orderBy(F.col("n").desc(), "w").limit(RANKED).toArrow()
     words, seen = got.column("w").to_numpy().view(np.uint64), got.column("n").to_numpy()
     o = np.argsort(words)
     return words[o], seen[o]
@@ -330,8 +332,21 @@ def _pairs(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose texts have the similarity."""
+def _beside(pairs: DataFrame, side: str, other: str, of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``pairs`` joined to the rows of ``of`` (bucketed by ``side``). The row of an id with over ``block`` pairs is copied for
+    parts of these, which are tasks of their own: adaptive execution cannot split a join whose other side is not moved."""
+    n = pairs.groupBy(side).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    hot = stored(n.select(side, F.ceil(F.col("_n") / block).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return pairs.join(of, side)
+    copies = of.join(hot, side).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    split = pairs.join(hot, side).withColumn("_part", F.pmod(F.xxhash64(other), F.col("_parts")).cast("int")).drop("_parts")
+    split = split.join(copies, [side, "_part"]).drop("_part")
+    return pairs.join(hot, side, "left_anti").join(of, side).unionByName(split)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """The stored pairs (u, v) whose texts have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,15 +359,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 keep.append(similar(sets[u], sets[v], similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    u, v = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "uv")
-    return map_batches(pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv"), run, "u bigint, v bigint")
+    for side, other in (("v", "u"), ("u", "v")):
+        pairs = _beside(pairs, side, other, texts.select(F.col("id").alias(side), F.col("text").alias(f"t{side}")), block)
+    return map_batches(pairs.select("u", "v", "tu", "tv"), run, "u bigint, v bigint")
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """The pairs (u, v) that are not connected yet and can have the similarity by their sizes and bits of parity."""
     of = sets.join(roots, "id", "left").select("id", "n", "parity", F.coalesce("root", "id").alias("root"))
-    for side in "uv":
-        pairs = pairs.join(of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "parity", "root")]), side)
+    for side, other in (("u", "v"), ("v", "u")):
+        pairs = _beside(pairs, side, other, of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "parity", "root")]), block)
     n, m = F.col("nu"), F.col("nv")
     pairs = pairs.where((F.col("rootu") != F.col("rootv")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)).select("u", "v", "nu", "nv", "parityu", "parityv")
 
@@ -396,14 +412,14 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
             ids = np.repeat(batch.column(0).to_numpy(), np.array([len(x) for x in lists], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), pa.array(ids)], names=["w", "id"])
 
-    close = stored(_verified(_fingerprint_pairs(sets), texts, similarity))
+    close = stored(_verified(stored(_fingerprint_pairs(sets)), texts, similarity, block))
     roots = _components(close)
     posts = map_batches(sets.select("id", "prefix"), post, "w bigint, id bigint")
     several = stored(posts.groupBy("w").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1).select("w", "first"))
     posts = stored(posts.join(several, "w"))
-    star = posts.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    star = stored(_possible(star, sets, roots, similarity))
-    links = stored(close.union(_verified(star, texts, similarity)))
+    star = stored(posts.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct())
+    star = stored(_possible(star, sets, roots, similarity, block))
+    links = stored(close.union(_verified(star, texts, similarity, block)))
     roots = _components(links)
     rest = stored(posts.select("w", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
@@ -412,8 +428,8 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
     rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
     more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
-    more = stored(_possible(stored(more), sets, roots, similarity))
-    return _components(links.union(_verified(more, texts, similarity)))
+    more = stored(_possible(stored(more), sets, roots, similarity, block))
+    return _components(links.union(_verified(more, texts, similarity, block)))
 
 
 def _set_rows(similarity: float, common):
