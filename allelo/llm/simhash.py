@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 SAMPLE, COMMON, RANKED = 10000, 3, 1 << 20
 #: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
 BLOCK = 512
-#: Words of a set's short bits of parity.
-PARITY = 8
+#: Words of a set's bits of parity, and the least and most of the folded ones that its postings carry.
+PARITY, CARRIED = 8, (8, 64)
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -244,6 +244,24 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def fold_levels(bits: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Bits of parity of several lengths -> the words of each, and by number of words a matrix of all that have so many or
+    more, folded to it, with the row that each has there."""
+    words = np.array([len(b) // 8 for b in bits], np.int64)
+    levels = {}
+    for n in np.unique(words).tolist():
+        rows = np.cumsum(words >= n) - 1
+        matrix = np.zeros((int((words >= n).sum()), n), np.uint64)
+        for m in np.unique(words[words >= n]).tolist():
+            which = np.flatnonzero(words == m)
+            block = np.frombuffer(b"".join([bits[i] for i in which.tolist()]), np.uint64).reshape(-1, m)
+            while block.shape[1] > n:
+                block = block[:, : block.shape[1] // 2] ^ block[:, block.shape[1] // 2 :]
+            matrix[rows[which]] = block
+        levels[n] = rows, matrix
+    return words, levels
+
+
 def set_fingerprint(h: np.ndarray) -> int:
     """Bits set in over half of a set's hashes."""
     counts = np.zeros(64, np.int64)
@@ -299,6 +317,7 @@ def _pairs(similarity: float):
     def pairs(w, i, j, block, ids, root, n, bits) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(w) else np.zeros(0, bool)
         group = np.cumsum(new)
+        words, levels = fold_levels(bits)
         at = np.arange(len(w))
         for shift in range(1, len(w)):
             at = at[at + shift < len(w)]
@@ -309,18 +328,21 @@ def _pairs(similarity: float):
             ok = (root[at] != root[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
             ok &= np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-6
             left, right = at[ok], to[ok]
-            apart = np.bitwise_count(bits[left] ^ bits[right]).sum(1, dtype=np.int64)
+            apart, both = np.zeros(len(left), np.int64), np.minimum(words[left], words[right])
+            for k in np.unique(both).tolist():
+                rows, matrix = levels[k]
+                mine = both == k
+                apart[mine] = np.bitwise_count(matrix[rows[left[mine]]] ^ matrix[rows[right[mine]]]).sum(1, dtype=np.int64)
             ok = apart <= (1 - similarity) / (1 + similarity) * (n[left] + n[right]) + 1e-6
             if ok.any():
                 x, y = ids[left[ok]], ids[right[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 7 + [np.zeros((0, PARITY), np.uint64)]
+        held = [np.zeros(0, np.int64)] * 7 + [[]]
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]]
-            columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, PARITY))
-            held = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            held = [np.concatenate([h, c]) for h, c in zip(held[:7], columns, strict=True)] + [held[7] + batch.column(7).to_pylist()]
             w, i, j = held[:3]
             last = np.flatnonzero((w != w[-1]) | (i != i[-1]) | (j != j[-1])) if len(w) else []
             done = int(last[-1]) + 1 if len(last) else 0
@@ -445,7 +467,8 @@ def _set_rows(similarity: float, common):
                 fps.append(set_fingerprint(h))
                 prefix.append(_prefix(h, similarity, common.value).tobytes())
                 full.append(parity(h))
-                bits.append(folded(full[-1], PARITY).tobytes())
+                least, most = CARRIED
+                bits.append(folded(full[-1], min(max(len(full[-1]), least), most)).tobytes())
             more = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in full], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["_row", "_id", "_n", "_fp", "_prefix", "_bits", "_parity"])
 
