@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import histories, posteriors, preparation
+from . import histories, posteriors, preparation, trees
 
-MODULES = (preparation, histories, posteriors)
+MODULES = (preparation, histories, posteriors, trees)
 
 
 def queries() -> dict:
