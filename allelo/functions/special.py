@@ -174,3 +174,31 @@ def erf_col(x: Column | str) -> Column:
 
 def inverse_normal_col(x: Column | str) -> Column:
     return _column(inverse_normal)(x)
+
+
+_EULER = 0.57721566490153286061
+
+
+def digamma_col(x: Column) -> Column:
+    """The logarithmic derivative of the gamma function for x > 0: eight steps up, then its asymptotic series."""
+    y = x.cast("double") + 8
+    r = F.lit(1.0) / (y * y)
+    series = F.log(y) - F.lit(0.5) / y - r * (F.lit(1 / 12) - r * (F.lit(1 / 120) - r * (F.lit(1 / 252) - r * (F.lit(1 / 240) - r * F.lit(1 / 132)))))
+    return series - sum((F.lit(1.0) / (x + i) for i in range(1, 8)), F.lit(1.0) / x)
+
+
+def trigamma_col(x: Column) -> Column:
+    """The derivative of ``digamma_col`` for x > 0."""
+    y = x.cast("double") + 8
+    r = F.lit(1.0) / (y * y)
+    series = F.lit(1.0) / y + r / 2 + r / y * (F.lit(1 / 6) - r * (F.lit(1 / 30) - r * (F.lit(1 / 42) - r * (F.lit(1 / 30) - r * F.lit(5 / 66)))))
+    return series + sum((F.lit(1.0) / ((x + i) * (x + i)) for i in range(1, 8)), F.lit(1.0) / (x * x))
+
+
+def harmonic_col(n: Column, power: int = 1) -> Column:
+    """Sum of 1 / k^power, power 1 or 2, for k from 1 to n - 1, by polygamma functions: as dear for any n."""
+    if power not in (1, 2):
+        raise ValueError("power 1 or 2")
+    m = F.greatest(n.cast("double"), F.lit(1.0))
+    total = digamma_col(m) + F.lit(_EULER) if power == 1 else F.lit(math.pi**2 / 6) - trigamma_col(m)
+    return F.when(n > 1, total).otherwise(F.lit(0.0))

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chains import autocorrelation
+from ..store import stored
+from .chains import autocorrelation, cumulated, neighbours
 
 
 def intervals(df: DataFrame, keys: list[str], age: str, tie: str) -> DataFrame:
     """Adds ``start`` (age of the event before, 0 for the first), ``length`` and ``is_last``."""
-    by = W.partitionBy(*keys).orderBy(age, tie)
-    d = df.withColumn("start", F.coalesce(F.lag(age).over(by), F.lit(0.0)))
-    return d.withColumn("length", F.col(age) - F.col("start")).withColumn("is_last", F.lead(age).over(by).isNull())
+    d = neighbours(df, keys, [age, tie], age)
+    d = d.withColumn("start", F.coalesce("_prev", F.lit(0.0)))
+    return d.withColumn("length", F.col(age) - F.col("start")).withColumn("is_last", F.col("_ends")).drop("_prev", "_next", "_ends")
 
 
 def event_histogram(df: DataFrame, keys: list[str], age: str, width: float, is_last: Column) -> DataFrame:
@@ -80,8 +81,8 @@ def skyline_deviations(df: DataFrame, keys: list[str], order: list[str], value:
 
 def drop_outliers(df: DataFrame, keys: list[str], value: str, times: float = 10.0) -> DataFrame:
     """Without values over ``times`` the mean of their group (two passes, whatever the order of rows): the means, a row a
-    group, are joined to the rows, which Spark moves only where they are too many to broadcast."""
-    m = df.groupBy(*keys).agg(F.avg(value).alias("_m")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
+    group and stored, are joined to the rows, which Spark moves only where they are too many to broadcast."""
+    m = stored(df.groupBy(*keys).agg(F.avg(value).alias("_m")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m"))
     same = [df[k].eqNullSafe(m[f"_k{i}"]) for i, k in enumerate(keys)]
     return df.join(m, [*same, df[value] <= m["_m"] * times]).select(*[df[c] for c in df.columns])
 
@@ -114,8 +115,7 @@ def expected_rate(length: Column, k: Column) -> Column:
 
 def lineages(df: DataFrame, keys: list[str], order: list[str], delta: Column) -> DataFrame:
     """Adds ``k``: the running sum of ``delta`` (+1 tip, -1 coalescence, both for a migration) in each series."""
-    by = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("k", F.sum(delta).over(by))
+    return cumulated(df, keys, order, delta, "k")
 
 
 def event_sums(df: DataFrame, keys: list[str], length: str, k: str, kind: str) -> DataFrame:
@@ -149,11 +149,6 @@ def tree_length(edges: DataFrame, keys: list[str], child_time: str, parent_time:
     return edges.groupBy(*keys).agg(F.sum(F.col(parent_time) - F.col(child_time)).alias("tree_length"))
 
 
-def divergence_events(df: DataFrame, kind: str = "type") -> DataFrame:
-    """Time-list rows of divergences."""
-    return df.where(F.col(kind) == "d")
-
-
 def first_event(df: DataFrame, keys: list[str], time: str, kind: str) -> DataFrame:
     """The earliest of competing events."""
     return df.groupBy(*keys).agg(F.min(F.struct(time, kind)).alias("_m")).select(*keys, F.col(f"_m.{time}").alias(time), F.col(f"_m.{kind}").alias(kind))

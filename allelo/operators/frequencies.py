@@ -63,6 +63,45 @@ def base_frequencies(df: DataFrame, key: str, symbol: str, weights: DataFrame) -
     return f.select(key, "base", "w", (F.col("freq") / F.sum("freq").over(per)).alias("freq"))
 
 
+def em_frequencies(counts: DataFrame, key: str, symbol: str, n: str, masks: DataFrame, steps: int = 1, least: float = 1e-10) -> DataFrame:
+    """(key, f array): frequencies of bases from counts of symbols that may stand for several bases, by ``steps`` rounds of
+    expectation (a symbol's count is shared out as the frequencies say) and normalisation, from equal ones on.
+
+    ``masks`` is (``symbol``, mask array) with a number above 0 for each base that the symbol can be. The rounds run on the
+    counts, a row a key with one entry a symbol, so they cost the same for any number of sites; sums under ``least`` get it added."""
+    d = counts.join(masks, symbol).groupBy(key, symbol).agg(F.sum(n).cast("double").alias("n"), F.first("mask").alias("m"))
+    d = d.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(symbol).alias("s"), "n", "m"))).alias("_c"))
+    k = F.size(F.col("_c")[0]["m"])
+    start = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / k)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def step(f: Column) -> Column:
+        share = lambda r: F.transform(F.zip_with(f, r["m"], lambda x, m: x * m), lambda w: w * r["n"] / total(F.zip_with(f, r["m"], lambda x, m: x * m)))
+        sums = F.aggregate("_c", F.transform(f, lambda _: F.lit(0.0)), lambda a, r: F.zip_with(a, share(r), lambda x, y: x + y))
+        return F.transform(sums, lambda x: F.when(x < least, x + least).otherwise(x))
+
+    def normal(xs: Column) -> Column:
+        return F.transform(xs, lambda x: x / total(xs))
+
+    rounds = F.sequence(F.lit(1), F.lit(steps)) if steps else F.array().cast("array<int>")
+    return d.select(key, F.aggregate(rounds, start, lambda f, _: normal(step(f))).alias("f"))
+
+
+def hash_uniform(*parts: Column | str) -> Column:
+    """A number between 0 and 1, neither included, from the MD5 of the parts as text, joined by a bar."""
+    h = F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary"))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def weighted_subset(df: DataFrame, keys: list[str], name: str, weight: str, n: int, seed: str) -> DataFrame:
+    """``n`` rows of each group, drawn one after the other without replacement with probabilities that go by ``weight``: those with
+    the smallest -ln(u) / weight, u a seeded hash of the name. Every task passes on ``n`` rows of a group at most; rows
+    without a weight above 0 are never drawn. Adds ``draw``, the place at which a row was drawn."""
+    d = df.where(F.col(weight) > 0).withColumn("_key", -F.log(hash_uniform(name, F.lit(seed))) / F.col(weight))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_key", name))
+    return d.withColumn("draw", rank).where(F.col("draw") <= n).drop("_key")
+
+
 def allele_range(df: DataFrame, key: str, value: str) -> DataFrame:
     """Smallest, greatest and mean repeat number of the values present."""
     return df.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import stored
+
 #: Handles of the end segment's curve, as parts of the way, and its number of chords.
 HANDLES, CHORDS = (0.2, 0.8), 100
 
@@ -42,26 +44,34 @@ def bezier_end(means: DataFrame, keys: list[str], beta: str) -> DataFrame:
     return d.select(*keys, area.alias("bezier_end"), ((F.col("b1") - F.col("b0")) * (F.col("l0") + F.col("l1")) / 2).alias("chord_end"))
 
 
-def harmonic_mean(df: DataFrame, keys: list[str], loglike: str) -> DataFrame:
-    """m - ln(mean(exp(m - l))) with m the smallest log likelihood."""
-    m = df.groupBy(*keys).agg(F.min(loglike).alias("_m"))
-    d = df.join(m, keys).groupBy(*keys).agg(F.max("_m").alias("_m"), F.avg(F.exp(F.col("_m") - F.col(loglike))).alias("_e"))
-    return d.select(*keys, (F.col("_m") - F.log("_e")).alias("harmonic"))
+#: Values are scaled within steps of so much, so that no exponential of a step under- or overflows.
+_STEP = 256.0
+
 
+def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str, count: str | None = None) -> DataFrame:
+    """ln(sum(exp(value))) of each group, and its number of values as ``count``. Values of one step are summed before the
+    shuffle, scaled by its upper end; then the sums of the few steps are put together. Rows are not moved or joined."""
+    top = F.ceil(F.col(value) / F.lit(_STEP)) * F.lit(_STEP)
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, top.alias("_t")).agg(F.sum(F.exp(F.col(value) - top)).alias("_e"), F.count("*").alias("_c"))
+    steps = F.collect_list(F.struct("_t", "_e"))  # a row a step
+    d = d.groupBy(*keys).agg(F.max("_t").alias("_m"), steps.alias("_s"), F.sum("_c").alias("_c"))
+    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["_e"] * F.exp(x["_t"] - F.col("_m")))
+    return d.select(*keys, (F.col("_m") + F.log(total)).alias(name), *([F.col("_c").alias(count)] if count else []))
 
-def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    m = df.groupBy(*keys).agg(F.max(value).alias("_m"))
-    d = df.join(m, keys).groupBy(*keys).agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_e"))
-    return d.select(*keys, (F.col("_m") + F.log("_e")).alias(name))
+
+def harmonic_mean(df: DataFrame, keys: list[str], loglike: str) -> DataFrame:
+    """The logarithm of the harmonic mean of the likelihoods."""
+    s = log_sum_exp(df.select(*keys, (-F.col(loglike)).alias("_l")), keys, "_l", "_s", "_n")
+    return s.select(*keys, (F.log(F.col("_n").cast("double")) - F.col("_s")).alias("harmonic"))
 
 
 def stepping_stones(df: DataFrame, keys: list[str], beta: str, loglike: str) -> DataFrame:
     """Sum over temperatures of the log mean of exp((next beta - beta) * l)."""
     steps = df.select(*keys, beta).distinct().withColumn("_step", F.lead(beta).over(W.partitionBy(*keys).orderBy(beta)) - F.col(beta))
-    d = df.join(steps.where(F.col("_step").isNotNull()), [*keys, beta]).withColumn("_v", F.col("_step") * F.col(loglike))
-    n = d.groupBy(*keys, beta).agg(F.count("*").alias("_c"))
-    s = log_sum_exp(d, [*keys, beta], "_v", "_s").join(n, [*keys, beta])
-    return s.groupBy(*keys).agg(F.sum(F.col("_s") - F.log(F.col("_c").cast("double"))).alias("stepping"))
+    steps = stored(steps.where(F.col("_step").isNotNull()))  # a row a temperature, of a size that Spark sees
+    d = df.join(steps, [*keys, beta]).select(*keys, beta, (F.col("_step") * F.col(loglike)).alias("_v"))
+    s = log_sum_exp(d, [*keys, beta], "_v", "_s", "_n")
+    return s.groupBy(*keys).agg(F.sum(F.col("_s") - F.log(F.col("_n").cast("double"))).alias("stepping"))
 
 
 def scaling_factor(combined: DataFrame, keys: list[str], log_density: str, width: float) -> DataFrame:

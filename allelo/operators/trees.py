@@ -146,6 +146,23 @@ def brownian_likelihood(rows: DataFrame) -> DataFrame:
     return p.where(q > 0).select("tree", (c + F.lit(0.5) * F.log(F.lit(2 * math.pi) / q) + h * h / (F.lit(2.0) * q)).alias("log_likelihood"), (h / q).alias("root_mean"), (F.lit(1.0) / q).alias("root_variance"))
 
 
+def hidden_path_likelihood(rows: DataFrame, start: list[float], change: list[list[float]], emissions: list[Column]) -> DataFrame:
+    """(tree, n from 1, ...) -> (tree, log_likelihood) of series whose rows depend on a hidden state that changes from row to row:
+    ``start`` and ``change`` are probabilities above 0, ``emissions`` the log probability of a row in each state. The forward pass
+    as a contraction: neighbouring rows' matrices are multiplied in parallel, so one long series is many tasks."""
+    k = len(start)
+    node = F.col("n").cast("long")
+    first = [e + F.when(node == 1, F.lit(math.log(s))).otherwise(F.lit(0.0)) for e, s in zip(emissions, start, strict=True)]
+    kernel = F.array(*[F.lit(math.log(change[x][y])) for x in range(k) for y in range(k)])
+    last = rows.groupBy("tree").agg(F.max("n").alias("_last"))
+    up = F.when(node < F.col("_last"), node + 1)
+    path = rows.join(stored(last), "tree").select("tree", node.alias("node"), up.alias("parent"), F.when(up.isNotNull(), kernel).alias("kernel"), F.array(*first).alias("potential"))
+    p = F.col("potential")
+    top = F.array_max(p)
+    total = top + F.log(F.aggregate(p, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return contract(path, log_sums(k)).roots.select("tree", total.alias("log_likelihood"))
+
+
 def state_costs(rows: DataFrame, k: int, state: str, change: Callable[[int, int], float] = lambda x, y: float(x != y)) -> DataFrame:
     """(tree, node, parent, ``state`` 0 to k - 1 or null) -> rows for ``contract`` with ``least_costs(k)``; ``change`` is the cost
     of a state under a parent's state. A node with a state must have it."""

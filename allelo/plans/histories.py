@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import assignment as asg
 from ..operators import events as ev
+from ..operators.chains import neighbours
 from .common import rounded, table
 
 DAY = 86400.0
@@ -137,8 +137,8 @@ def q69_scaled_rates(spark, sf):
 
 
 def q77_event_counts(spark, sf):
-    by = W.partitionBy("user_id").orderBy("ts", "event_id")
-    d = table(spark, sf, "events").withColumn("to", F.lead("event_type").over(by)).withColumn("group", F.pmod("user_id", F.lit(4)))
+    d = neighbours(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    d = d.withColumn("to", F.col("_next")).withColumn("group", F.pmod("user_id", F.lit(4)))
     return ev.event_counts(d, ["group"], "event_type", "to")
 
 

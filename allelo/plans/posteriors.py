@@ -80,6 +80,14 @@ def _loglike(spark, sf):
     )
 
 
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def q85_partial_correlations(spark, sf):
+    d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("locus"), *MEASURES)
+    return rounded(ch.partial_correlations(d, ["locus"], list(MEASURES)), 8)
+
+
 def q31_harmonic(spark, sf):
     return rounded(ml.harmonic_mean(_loglike(spark, sf), ["locus"], "l"), 7)
 
@@ -231,7 +239,23 @@ def _sg() -> str:
 _EDGES = ", ".join(f"({at}, {k}, {w!r}::DOUBLE)" for at in range(-2, 3) for k, w in zip(range(-2, 3), po.savitzky_golay_weights(2, 2, at), strict=True))
 _Z = float(inverse_normal(0.975))
 
+def _given(pair: tuple[str, str], rest: tuple[str, ...]) -> str:
+    """A correlation given others, from those given one fewer."""
+    a, b = pair
+    if not rest:
+        return f"r_{min(a, b)}_{max(a, b)}"
+    c, less = rest[0], rest[1:]
+    r, s, t = _given((a, b), less), _given((a, c), less), _given((b, c), less)
+    return f"(({r} - {s} * {t}) / sqrt((1 - {s} * {s}) * (1 - {t} * {t})))"
+
+
+_PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]]
+
 SQL = {
+    "q85_partial_correlations": "WITH r AS (SELECT l_returnflag AS locus, "
+    + ", ".join(f"corr({a}, {b}) AS r_{min(a, b)}_{max(a, b)}" for a, b in _PAIRS)
+    + " FROM lineitem GROUP BY ALL) "
+    + " UNION ALL ".join(f"SELECT locus, '{a}' AS a, '{b}' AS b, round({_given((a, b), tuple(m for m in MEASURES if m not in (a, b)))}, 8) AS partial FROM r" for a, b in _PAIRS),
     "q72_savitzky_golay_edges": f"""WITH {_GRID}, w(place, k, w) AS (VALUES {_EDGES}),
         c AS (SELECT locus, bin, greatest(2, least(bin, {BINS - 3})) AS middle FROM h)
         SELECT c.locus, c.bin, round(sum(h.density * w.w), 12) AS fitted FROM c JOIN w ON w.place = c.bin - c.middle JOIN h ON h.locus = c.locus AND h.bin = c.middle + w.k GROUP BY ALL""",

@@ -58,6 +58,22 @@ def q07_base_freq(spark, sf):
     return rounded(fr.base_frequencies(d, "locus", "symbol", spark.createDataFrame(rows, "symbol string, base string, w double")).drop("w"), 10)
 
 
+_BASES = "acgt"
+EM_STEPS = 4
+
+
+def q83_em_base_freq(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("locus"), F.explode(F.split(F.lower("text"), "")).alias("symbol"))
+    counts = d.groupBy("locus", "symbol").agg(F.count("*").alias("n"))
+    masks = spark.createDataFrame([(s, [float(b in bs) for b in _BASES]) for s, bs in AMBIGUITY.items()], "symbol string, mask array<double>")
+    f = fr.em_frequencies(counts, "locus", "symbol", "n", masks, EM_STEPS)
+    return rounded(f.select("locus", F.posexplode("f").alias("i", "freq")).select("locus", F.element_at(F.array(*map(F.lit, _BASES)), F.col("i") + 1).alias("base"), "freq"), 9)
+
+
+def q84_weighted_draws(spark, sf):
+    return fr.weighted_subset(table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_custkey", "c_acctbal", 5, "draws")
+
+
 def _brand_sites(spark, sf):
     p = table(spark, sf, "part").select("p_size", "p_partkey", F.rpad("p_brand", 8, "?").alias("seq"))
     return sq.sites(p, ["p_size", "p_partkey"], "seq")
@@ -198,7 +214,27 @@ sites AS (SELECT p_size, p_partkey, i::INT AS site, substr(seq, i::INT, 1) AS ba
 per AS (SELECT p_size, site, count(DISTINCT CASE WHEN base <> '?' THEN base END) AS k FROM sites GROUP BY ALL),
 seg AS (SELECT p_size, count(*) AS n_sites, sum((k > 1)::INT)::BIGINT AS segregating FROM per GROUP BY ALL)"""
 
+_MASKS = ", ".join("('" + s + "', " + ", ".join(str(float(b in bs)) for b in _BASES) + ")" for s, bs in AMBIGUITY.items())
+
+
+def _em_sql() -> str:
+    f, out = "f0 AS (SELECT DISTINCT locus, 0.25::DOUBLE AS a, 0.25::DOUBLE AS c, 0.25::DOUBLE AS g, 0.25::DOUBLE AS t FROM n)", []
+    total = " + ".join(f"f.{b} * m.{b}" for b in _BASES)
+    for i in range(EM_STEPS):
+        sums = ", ".join(f"sum(n * f.{b} * m.{b} / ({total})) AS {b}" for b in _BASES)
+        low = ", ".join(f"CASE WHEN {b} < 1e-10 THEN {b} + 1e-10 ELSE {b} END AS {b}" for b in _BASES)
+        out.append(f"s{i} AS (SELECT locus, {sums} FROM n JOIN m USING (symbol) JOIN f{i} f USING (locus) GROUP BY locus), l{i} AS (SELECT locus, {low} FROM s{i})")
+        out.append(f"f{i + 1} AS (SELECT locus, " + ", ".join(f"{b} / (a + c + g + t) AS {b}" for b in _BASES) + f" FROM l{i})")
+    rows = " UNION ALL ".join(f"SELECT locus, '{b}' AS base, round({b}, 9) AS freq FROM f{EM_STEPS}" for b in _BASES)
+    return f"""WITH m(symbol, a, c, g, t) AS (VALUES {_MASKS}), x AS (SELECT lang AS locus, unnest(string_split(lower(text), '')) AS symbol FROM documents),
+        n AS (SELECT x.locus, x.symbol, count(*)::DOUBLE AS n FROM x JOIN m USING (symbol) GROUP BY ALL), {f}, {", ".join(out)} {rows}"""
+
+
 SQL = {
+    "q83_em_base_freq": _em_sql(),
+    "q84_weighted_draws": """WITH d AS (SELECT c_nationkey, c_custkey, c_acctbal,
+          -ln((('0x' || substr(md5(c_custkey || '|draws'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / c_acctbal AS k FROM customer WHERE c_acctbal > 0)
+        SELECT c_nationkey, c_custkey, c_acctbal, (row_number() OVER (PARTITION BY c_nationkey ORDER BY k, c_custkey))::INT AS draw FROM d QUALIFY draw <= 5""",
     "q01_freq_spectrum": """SELECT l_returnflag AS pop, l_linestatus AS locus, l_quantity AS allele, count(*) AS n,
         round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag, l_linestatus), 8) AS freq
         FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_returnflag, l_linestatus, l_quantity""",

@@ -1,7 +1,9 @@
-"""Queries on trees: q79 to q82."""
+"""Queries on trees and paths: q79 to q82, q86."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import sequences as sq
@@ -25,6 +27,17 @@ def q79_brownian_paths(spark, sf):
     return rounded(tr.brownian_likelihood(path.unionByName(leaves)), 5)
 
 
+#: Two hidden states: chances of the first one, of changes, and mean and deviation of the values in each.
+START, CHANGE, LEVELS = (0.5, 0.5), ((0.9, 0.1), (0.2, 0.8)), ((20.0, 15.0), (60.0, 30.0))
+
+
+def q86_hidden_path(spark, sf):
+    """Log likelihood of every user's values under two hidden states."""
+    n = numbered(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "event_id")
+    emit = [-((F.col("value") - m) * (F.col("value") - m)) / F.lit(2.0 * s * s) - F.lit(math.log(s) + 0.5 * math.log(2 * math.pi)) for m, s in LEVELS]
+    return rounded(tr.hidden_path_likelihood(n.select(F.col("user_id").alias("tree"), F.col("_n").alias("n"), "value"), list(START), [list(r) for r in CHANGE], emit), 5)
+
+
 def _market(spark, sf):
     """Regions with their nations and customers, whose market segment is the leaves' state."""
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
@@ -61,11 +74,19 @@ def q82_contrasts(spark, sf):
     return rounded(tr.brownian_likelihood(d).drop("tree"), 5)
 
 
-QUERIES = {f.__name__: f for f in (q79_brownian_paths, q80_parsimony, q81_average_linkage, q82_contrasts)}
+QUERIES = {f.__name__: f for f in (q79_brownian_paths, q80_parsimony, q81_average_linkage, q82_contrasts, q86_hidden_path)}
 
 _STATES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEGMENTS)) + ") AS z(state, segment)"
 
+_EMIT = ", ".join(f"-((value - {m}) ** 2) / {2 * s * s} - {math.log(s) + 0.5 * math.log(2 * math.pi)!r}::DOUBLE AS e{i}" for i, (m, s) in enumerate(LEVELS))
+_FORWARD = ", ".join(f"e{y} + greatest(a0 + ln({CHANGE[0][y]}), a1 + ln({CHANGE[1][y]})) + ln(1 + exp(-abs(a0 + ln({CHANGE[0][y]}) - a1 - ln({CHANGE[1][y]}))))" for y in (0, 1))
+
 SQL = {
+    "q86_hidden_path": f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {_EMIT} FROM events),
+        r AS (
+          SELECT user_id, n, e0 + ln({START[0]}) AS a0, e1 + ln({START[1]}) AS a1 FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.n, {_FORWARD} FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT user_id AS tree, round(arg_max(greatest(a0, a1) + ln(1 + exp(-abs(a0 - a1))), n), 5) AS log_likelihood FROM r GROUP BY user_id""",
     "q79_brownian_paths": """WITH RECURSIVE e AS (
           SELECT user_id, value, row_number() OVER w AS n, 1 + (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 3.6e9::DOUBLE AS gap
           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -21,7 +21,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     d = d.withColumn("_r", F.col("_b") + F.sum(head).over(W.partitionBy("_c").orderBy("nr")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("nr", "line"))), lambda x: x["line"])
     d = d.groupBy("_r").agg(lines.alias("l"))
-    return d.select(F.col("_r").alias("nr"), F.substring(F.col("l")[0], 2, 1 << 20).alias("name"), F.array_join(F.transform(F.slice("l", 2, 1 << 20), F.trim), "").alias("seq"))
+    return d.select(F.col("_r").alias("nr"), F.substring(F.col("l")[0], F.lit(2), F.length(F.col("l")[0])).alias("name"), F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), F.trim), "").alias("seq"))
 
 
 def read_fastas(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -1,17 +1,20 @@
 """Reader of genotype files: a header with data type, populations and loci, then a block of individuals each population.
 
-The header, the line of sites and the population lines are read on the driver, in one pass each; individuals' lines are parsed by
+The header and the line of sites are read on the driver; population lines are found by joins and individuals' lines parsed by
 column expressions. Result: one row for each individual, locus and copy, with null for missing values.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import stored
 from .lines import numbered, stripped
 
 # Data types by their letter, and those with two copies of each locus.
@@ -31,6 +34,7 @@ class Sublocus:
     model: str | None = None
     parameters: list[float] = field(default_factory=list)
     unit: int | None = None
+    start: int | None = None
 
 
 @dataclass
@@ -57,24 +61,75 @@ def parse_header(line: str) -> Header:
     return Header(kind and kind.lower(), int(pops), int(loci), mark, title.strip())
 
 
-def parse_sites(line: str) -> list[Sublocus]:
-    """The line of sites. ``(s200 s800)`` is one linked locus of two parts, ``s10 s20`` two loci, ``(0 s5o2)`` likewise;
-    ``x=s10`` names a part, and a bare list of numbers gives lengths of sequences, one locus each."""
+#: A part of a locus: name, start in its sequence (from 0), kind and length.
+_PART = re.compile(r"(?:([^\s()\[\]=]+)=)?(?:(\d+)\s*(?=[a-zA-Z@]))?([a-zA-Z@])?(\d+)$")
+_TOKEN = re.compile(r"\s*(?:\[([^\]]*)\]|([()])|((?:[^\s()\[\]=]+=)?\d+\s+[a-zA-Z@]\d+[^\s()\[\]]*(?=[^(]*\))|[^\s()\[\]]+))")
+
+
+def _slices(spec: str, length: int, seed: int) -> tuple[list[tuple[int, int]], int]:
+    """``10``, ``10oN``, ``10rN``, with ``_k`` or not -> (start, length) of each slice of a sequence, and how many are linked."""
+    m = re.fullmatch(r"\s*(\d+)\s*(?:([or])(\d+)(?:_(\d+))?)?\s*", spec)
+    if not m or int(m[1]) < 1:
+        raise ValueError(f"cannot read [{spec}] in the line of sites")
+    n, size = int(m[1]), int(m[3] or 0)
+    each, rest = divmod(length, n)
+    if n * size > length or n > length:
+        raise ValueError(f"[{spec}] takes more sites than {length}")
+    if m[2] is None:  # all sites, the last slice with the rest
+        return [(i * each, each + (rest if i == n - 1 else 0)) for i in range(n)], 1
+    if m[2] == "o":
+        starts = [rest // 2 + i * each for i in range(n)]
+    elif size:
+        free = sorted(random.Random(seed).choices(range(length - n * size + 1), k=n))
+        starts = [x + i * size for i, x in enumerate(free)]
+    else:
+        starts = [0, *sorted(random.Random(seed).sample(range(1, length), n - 1))]
+    ends = [x + size for x in starts] if size else [*starts[1:], length]
+    return [(a, b - a) for a, b in zip(starts, ends, strict=True)], int(m[4] or 1)
+
+
+def parse_sites(line: str, seed: int = 1) -> list[Sublocus]:
+    """The line of sites. ``(s200 s800)`` is one linked locus of two parts, ``s10 s20`` two loci; ``x=s10`` names a part,
+    ``12s10`` (or ``12 s10`` in parentheses) starts after 12 sites of the sequence, and a bare list of numbers gives lengths of
+    sequences, one locus each.
+
+    ``[10](s1000)`` cuts a sequence into 10 loci, the last with the rest; ``[10o50](s1000)`` takes 10 of 50 sites at equal
+    distances, ``[10r50](s1000)`` 10 that do not overlap at places drawn with ``seed`` (``r0``: whole stretches between places
+    drawn), and ``_2`` after these links each two of them to one locus. Slices count from where the sequence begins.
+    """
     out: list[Sublocus] = []
-    locus, inside, part = 0, False, 0
-    for token in re.findall(r"\(|\)|(?:[^\s()=]+=)?[a-zA-Z@]?\d+|\S", line):
-        if token == "(":
+    locus, inside, part, spec, base, at = 0, False, 0, None, 0, 0
+    line = line.rstrip()
+    while at < len(line):
+        m = _TOKEN.match(line, at)
+        if not m:
+            raise ValueError(f"cannot read {line[at:]!r} in the line of sites")
+        at = m.end()
+        if m[1] is not None:
+            spec = m[1]
+        elif m[2] == "(":
             inside, part, locus = True, 0, locus + 1
-        elif token == ")":
+        elif m[2] == ")":
             inside = False
         else:
-            m = re.fullmatch(r"(?:([^\s()=]+)=)?([a-zA-Z@])?(\d+)", token)
-            if not m:
-                raise ValueError(f"cannot read {token!r} in the line of sites")
+            p = _PART.match(m[3])
+            kind = (p[3] or "s").lower() if p else ""
+            if kind not in DATATYPES:
+                raise ValueError(f"cannot read {m[3]!r} in the line of sites")
             if not inside:
                 locus, part = locus + 1, 0
-            part += 1
-            out.append(Sublocus(locus, part, (m[2] or "s").lower(), int(m[3]), m[1]))
+            name, start, length = p[1], p[2] and int(p[2]), int(p[4])
+            if spec is None:
+                part += 1
+                out.append(Sublocus(locus, part, kind, length, name, start=start))
+                base += length if start is None else 0
+                continue
+            cuts, linked = _slices(spec, length, seed)
+            for i, (a, n) in enumerate(cuts):
+                if i and i % linked == 0:
+                    locus += 1
+                out.append(Sublocus(locus, i % linked + 1, kind, n, name, start=base + a))
+            spec, base = None, base + length
     return out
 
 
@@ -135,26 +190,37 @@ def read_loci(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     return spark.createDataFrame(rows, "locus int, sublocus int, name string, n_sites int, datatype string, model string, params array<double>, repeat_unit int")
 
 
-def population_lines(lines: DataFrame, start: int, pops: int, interleaved: bool = False) -> list[tuple[int, str, int, int, int]]:
-    """(pop, name, first line, last line, individuals) of each population. Each such line says how many individuals follow,
-    so lines that begin with a number are walked through once, in order and without being held. Interleaved blocks go on
-    to the next line that begins with a number, or to the end."""
-    out, at = [], start
-    for row in lines.where((F.col("nr") >= start) & F.col("line").rlike(r"^\s*\d+(\s|$)")).orderBy("nr").toLocalIterator():
-        if len(out) == pops or row["nr"] > at and not interleaved:
-            break
-        if row["nr"] < at:
-            continue
-        m = re.match(r"\s*(\d+)((?:\s+\d+)*)\s*(.*)$", row["line"])
-        if out and interleaved:
-            out[-1][3] = row["nr"] - 1
-        out.append([len(out) + 1, (m[3] or "").strip() or f"population {len(out) + 1}", row["nr"] + 1, row["nr"] + int(m[1]), int(m[1])])
-        at = row["nr"] + int(m[1]) + 1
-    if len(out) < pops and not interleaved and (wrong := lines.where(F.col("nr") == at).first()) is not None:
-        raise ValueError(f"not a population line: {wrong['line']!r}")
-    if out and interleaved:
-        out[-1][3] = lines.agg(F.max("nr")).first()[0]
-    return [tuple(p) for p in out]
+def population_lines(lines: DataFrame, start: int, pops: int, interleaved: bool = False) -> DataFrame:
+    """(pop, pop_name, first, last, size): first and last line of each population's individuals. Each population line says how
+    many individuals follow, so it tells where the next one is. Lines that begin with a number (individuals may) are
+    followed from the first one by doubling: from twice as many lines in each round, to where twice as many steps lead. Nothing
+    of the lines is collected. Interleaved blocks go on to the next line that begins with a number, or to the end."""
+    number = r"^\s*(\d+)((?:\s+\d+)*)\s*(.*)$"
+    found = lines.where((F.col("nr") >= start) & F.col("line").rlike(r"^\s*\d+(\s|$)"))
+    found = found.select("nr", F.regexp_extract("line", number, 1).cast("long").alias("size"), stripped(F.regexp_extract("line", number, 3)).alias("name"))
+    if interleaved:  # every such line is one; a row a population goes through the window
+        found = found.orderBy("nr").limit(pops)
+        by = W.orderBy("nr")
+        end = lines.agg(F.max("nr").alias("_end"))
+        d = found.withColumn("step", F.row_number().over(by) - 1).withColumn("_next", F.lead("nr").over(by)).crossJoin(end)
+        d = d.withColumn("last", F.coalesce(F.col("_next") - 1, F.col("_end")))
+    else:
+        found = stored(found)
+        jump = found.select("nr", (F.col("nr") + F.col("size") + 1).alias("to"))
+        reached, far = lines.sparkSession.range(start, start + 1).select(F.col("id").alias("nr"), F.lit(0).cast("long").alias("step")), 1
+        while far < pops and not jump.isEmpty():
+            on = reached.join(jump, "nr").select(F.col("to").alias("nr"), (F.col("step") + far).alias("step"))
+            reached = stored(reached.unionByName(on))
+            again = jump.select(F.col("nr").alias("to"), F.col("to").alias("_far"))
+            jump, far = stored(jump.join(again, "to").select("nr", F.col("_far").alias("to"))), 2 * far
+        d = reached.where(F.col("step") < pops).join(found, "nr", "left")
+        wrong = d.where(F.col("size").isNull()).join(lines, "nr").orderBy("step").select("line").first()
+        if wrong is not None:
+            raise ValueError(f"not a population line: {wrong['line']!r}")
+        d = d.where(F.col("size").isNotNull()).withColumn("last", F.col("nr") + F.col("size"))
+    pop = (F.col("step") + 1).cast("int")
+    name = F.when(F.col("name") == "", F.concat(F.lit("population "), pop)).otherwise(F.col("name"))
+    return d.select(pop.alias("pop"), name.alias("pop_name"), (F.col("nr") + 1).alias("first"), "last", F.col("size").cast("int").alias("size"))
 
 
 def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: str | None = None, interleaved: bool = False) -> DataFrame:
@@ -168,8 +234,7 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
     if kind == "h":
         return read_hapmap(lines, start)
     pops = population_lines(lines, start, head.pops, interleaved)
-    dim = spark.createDataFrame(pops, "pop int, pop_name string, first long, last long, size int")
-    d = lines.join(F.broadcast(dim), F.col("nr").between(F.col("first"), F.col("last")))  # a row a population
+    d = lines.join(stored(pops), F.col("nr").between(F.col("first"), F.col("last")))  # a row a population, of a size that Spark sees
     if interleaved:
         d = d.withColumn("nr", F.col("nr") - F.col("first"))
         d = join_interleaved(d, F.col("size"), name_width, ["pop", "pop_name"]).withColumnRenamed("seq", "_rest").withColumn("_name", F.col("ind_name"))
@@ -187,8 +252,9 @@ def read_genotypes(spark: SparkSession, path: str, name_width: int = 10, kind: s
         return d.select(*keys, "locus", "sublocus", "_c.copy", F.lit(None).cast("int").alias("site"), _value(F.col("_c.v")).alias("value"), F.lit(kind).alias("datatype"))
     at, cuts = 1, []
     for p in parts:
-        cuts.append(F.struct(F.lit(p.locus).alias("locus"), F.lit(p.sublocus).alias("sublocus"), F.substring("_s", at, p.length).alias("value"), F.lit(p.kind).alias("datatype")))
-        at += p.length
+        own = at if p.start is None else p.start + 1
+        cuts.append(F.struct(F.lit(p.locus).alias("locus"), F.lit(p.sublocus).alias("sublocus"), F.substring("_s", own, p.length).alias("value"), F.lit(p.kind).alias("datatype")))
+        at += p.length if p.start is None else 0
     d = d.withColumn("_s", F.translate("_rest", " \t", "")).select(*keys, F.explode(F.array(*cuts)).alias("_c"))
     return d.select(*keys, "_c.locus", "_c.sublocus", F.lit(1).alias("copy"), F.lit(None).cast("int").alias("site"), "_c.value", "_c.datatype")
 
@@ -218,10 +284,10 @@ def explode_sites(d: DataFrame) -> DataFrame:
 def read_hapmap(lines: DataFrame, start: int = 1) -> DataFrame:
     """Frequency rows ``position A nA B nB total``; the counts become rows. nA + nB must be the total."""
     d = lines.where(F.col("nr") >= start).withColumn("w", F.split(F.trim("line"), r"\s+"))
-    marks = d.where(F.size("w") < 6).orderBy("nr").select("nr", F.array_join(F.slice("w", 2, 100), " ").alias("name")).collect()  # a row a population
-    dim = [(i + 1, m["name"], m["nr"], marks[i + 1]["nr"] if i + 1 < len(marks) else 1 << 62) for i, m in enumerate(marks)]
-    pops = F.broadcast(lines.sparkSession.createDataFrame(dim, "pop int, pop_name string, first long, next long"))
-    d = d.where(F.size("w") >= 6).join(pops, (F.col("nr") > F.col("first")) & (F.col("nr") < F.col("next")))
+    marks = d.where(F.size("w") < 6).select("nr", F.array_join(F.slice("w", F.lit(2), F.size("w")), " ").alias("pop_name"))
+    by = W.orderBy("nr")  # a row a population goes through the window
+    pops = marks.select(F.row_number().over(by).alias("pop"), "pop_name", F.col("nr").alias("first"), F.coalesce(F.lead("nr").over(by), F.lit(1 << 62)).alias("next"))
+    d = d.where(F.size("w") >= 6).join(stored(pops), (F.col("nr") > F.col("first")) & (F.col("nr") < F.col("next")))
     n = lambda i: F.col("w")[i].cast("int")
     ok = F.when(n(2) + n(4) == n(5), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("counts do not add up: "), F.col("line"))).cast("boolean"))
     d = d.where(ok).withColumn("locus", (F.col("nr") - F.col("first")).cast("int"))
@@ -235,7 +301,7 @@ def hapmap_genotypes(d: DataFrame, row: str = "value") -> DataFrame:
     """Genotype rows ``rs alleles chrom pos ... genotypes`` -> counts of both labels at each position."""
     w = F.split(stripped(row), r"\s+")
     d = d.select(w.alias("w")).where(F.col("w")[1].rlike("^[ACGT]/[ACGT]$"))
-    bases = F.filter(F.split(F.array_join(F.slice("w", 12, 1 << 20), ""), ""), lambda c: c != "")
+    bases = F.filter(F.split(F.array_join(F.slice("w", F.lit(12), F.size("w")), ""), ""), lambda c: c != "")
     count = lambda x: F.size(F.filter("b", lambda c: c == x))
     d = d.select(F.col("w")[0].alias("rs"), F.col("w")[2].alias("chrom"), F.col("w")[3].cast("long").alias("pos"), F.split(F.col("w")[1], "/").alias("l"), bases.alias("b"))
     return d.select("rs", "chrom", "pos", F.col("l")[0].alias("a"), count(F.col("l")[0]).alias("n_a"), F.col("l")[1].alias("b_label"), count(F.col("l")[1]).alias("n_b"))

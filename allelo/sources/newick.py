@@ -62,15 +62,22 @@ def write(edges: list[dict]) -> str:
         children.setdefault(None if e["parent"] is None or pd.isna(e["parent"]) else int(e["parent"]), []).append(e)
     time = {e["node"]: e["time"] for e in edges}
 
-    def text(e) -> str:
-        below = children.get(e["node"], [])
+    done: dict[int, str] = {}
+    below = lambda e: sorted(children.get(e["node"], []), key=lambda x: x["node"])
+    root = children[None][0]
+    order, open_ = [], [root]
+    while open_:  # parents before their children
+        order.append(open_.pop())
+        open_ += below(order[-1])
+    for e in reversed(order):
         length = "" if e["parent"] is None or pd.isna(e["parent"]) else f"{time[int(e['parent'])] - e['time']:.10g}"
+        own = [done.pop(x["node"]) for x in below(e)]
         if e["type"] in "md":
-            return f"{text(below[0])} [&{e['type'].upper()} {int(e['pop_from'])} {int(e['pop_to'])}:{length}]"
-        inner = f"({','.join(map(text, sorted(below, key=lambda x: x['node'])))})" if below else e["name"]
-        return f"{inner}:{length}" if length else inner
-
-    return text(children[None][0]) + ";"
+            done[e["node"]] = f"{own[0]} [&{e['type'].upper()} {int(e['pop_from'])} {int(e['pop_to'])}:{length}]"
+        else:
+            inner = f"({','.join(own)})" if own else e["name"]
+            done[e["node"]] = f"{inner}:{length}" if length else inner
+    return done[root["node"]] + ";"
 
 
 def edges_of_trees(trees: DataFrame) -> DataFrame:

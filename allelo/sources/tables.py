@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import stored
 from .lines import numbered, stripped
 from .native import population_lines
 
@@ -24,8 +25,8 @@ def read_distances(spark: SparkSession, path: str, name_width: int = 10) -> Data
 def read_dates(spark: SparkSession, path: str, name_width: int = 10) -> DataFrame:
     """Tip dates: a header, then blocks ``n name`` and n lines of name and date -> (pop, ind, ind_name, date)."""
     d = numbered(spark, path, r"^\s*(#|$)").where("nr > 0")
-    pops = [(p, first, last) for p, _, first, last, _ in population_lines(d, 1, 1 << 31)]
-    d = d.join(F.broadcast(spark.createDataFrame(pops, "pop int, first long, last long")), F.col("nr").between(F.col("first"), F.col("last")))  # a row a population
+    pops = stored(population_lines(d, 1, 1 << 31).select("pop", "first", "last"))
+    d = d.join(pops, F.col("nr").between(F.col("first"), F.col("last")))  # a row a population, of a size that Spark sees
     value = stripped(F.substring(F.col("line"), F.lit(name_width + 1), F.length("line"))).cast("double")
     return d.select("pop", (F.col("nr") - F.col("first") + 1).cast("int").alias("ind"), stripped(F.substring("line", 1, name_width)).alias("ind_name"), value.alias("date"))
 
