@@ -98,7 +98,7 @@ def parse_sites(line: str, seed: int = 1) -> list[Sublocus]:
     drawn), and ``_2`` after these links each two of them to one locus. Slices count from where the sequence begins.
     """
     out: list[Sublocus] = []
-    locus, inside, part, spec, base, at = 0, False, 0, None, 0, 0
+    locus, inside, part, spec, base, at, sliced = 0, False, 0, None, 0, 0, False
     line = line.rstrip()
     while at < len(line):
         m = _TOKEN.match(line, at)
@@ -121,7 +121,7 @@ def parse_sites(line: str, seed: int = 1) -> list[Sublocus]:
             name, start, length = p[1], p[2] and int(p[2]), int(p[4])
             if spec is None:
                 part += 1
-                out.append(Sublocus(locus, part, kind, length, name, start=start))
+                out.append(Sublocus(locus, part, kind, length, name, start=base if sliced and start is None else start))
                 base += length if start is None else 0
                 continue
             cuts, linked = _slices(spec, length, seed)
@@ -129,7 +129,7 @@ def parse_sites(line: str, seed: int = 1) -> list[Sublocus]:
                 if i and i % linked == 0:
                     locus += 1
                 out.append(Sublocus(locus, i % linked + 1, kind, n, name, start=base + a))
-            spec, base = None, base + length
+            spec, base, sliced = None, base + length, True
     return out
 
 

@@ -26,7 +26,9 @@ def parse(text: str) -> list[dict]:
             nodes[c]["parent"] = len(nodes) - 1
         return len(nodes) - 1
 
+    before = ""
     for t in tokens:
+        before, last = t, before
         if t == "(":
             stack.append([])
         elif t == ")":
@@ -43,8 +45,9 @@ def parse(text: str) -> list[dict]:
             nodes[stack[-1][-1]]["length"] = float(m[4])
         elif t.startswith("["):
             continue
-        elif stack[-1] and nodes[stack[-1][-1]]["type"] == "i" and nodes[stack[-1][-1]]["name"] is None and not re.match(r"\d", t):
-            nodes[stack[-1][-1]]["name"] = t
+        elif last == ")":  # the name or support of an inner node
+            if not re.match(r"\d", t):
+                nodes[stack[-1][-1]]["name"] = t
         else:
             stack[-1].append(add("t", [], t))
     depth = [0.0] * len(nodes)
