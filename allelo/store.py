@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: For each open ``made_here``, the innermost last, the folders of the tables written since.
 _made: list[list[str]] = []
+#: Names in the catalog of the tables in these folders.
+_named: dict[str, str] = {}
 
 
 def _new_path(spark: SparkSession) -> str:
@@ -45,10 +47,13 @@ def made_here() -> Iterator[list[str]]:
 
 
 def remove(spark: SparkSession, folders: list[str]) -> None:
-    """Delete stored tables; DataFrames that read them cannot be computed again."""
+    """Delete stored tables and their names in the catalog; DataFrames that read them cannot be computed again."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     while folders:
-        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        folder = folders.pop()
+        if folder in _named:
+            spark.sql(f"DROP TABLE IF EXISTS {_named.pop(folder)}")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -65,6 +70,8 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     name = f"allelo_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = df.write.option("path", _new_path(spark)).option("compression", "zstd")
+    path = _new_path(spark)
+    _named[path] = name
+    out = df.write.option("path", path).option("compression", "zstd")
     out.bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
     return spark.table(name)

@@ -119,3 +119,14 @@ def test_em_frequencies_share_out_ambiguous_symbols(spark):
     counts = spark.createDataFrame([("x", "a", 30), ("x", "b", 10), ("x", "n", 20), ("x", "z", 99), ("y", "a", 5)], "k string, s string, n long")
     got = {r["k"]: r["f"] for r in frequencies.em_frequencies(counts, "k", "s", "n", masks, 60).collect()}
     assert got["x"] == pytest.approx([0.75, 0.25]) and got["y"] == pytest.approx([1.0, 0.0], abs=1e-9)
+
+
+def test_removed_tables_leave_no_name(spark):
+    from allelo import store
+
+    with store.made_here() as folders:
+        d = store.bucketed(spark.range(10), "id")
+        assert d.count() == 10
+    before = {t.name for t in spark.catalog.listTables()}
+    store.remove(spark, folders)
+    assert len(before - {t.name for t in spark.catalog.listTables()}) == 1 and not folders
