@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..store import bucketed
@@ -210,6 +211,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 SAMPLE, COMMON, RANKED = 10000, 3, 1 << 20
 #: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
 BLOCK = 512
+#: Shingles before each one of a set that its postings carry, to tell whether a pair has met already.
+BEFORE = 8
 #: Words of a set's bits of parity, and the least and most of the folded ones that its postings carry.
 PARITY, CARRIED = 8, (8, 64)
 
@@ -310,11 +313,29 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[o], seen[o]
 
 
+def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of up to BEFORE numbers as rows of a matrix, and how many each holds."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), BEFORE), np.int64)
+    out[np.arange(BEFORE) < size[:, None]] = lists.flatten().to_numpy()
+    return out, size
+
+
+def _met(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Whether row k of ``x`` (its first ``xs[k]`` numbers) and row k of ``y`` share a number."""
+    k = np.arange(BEFORE)
+    return ((x[:, :, None] == y[:, None, :]) & (k < xs[:, None])[:, :, None] & (k < ys[:, None])[:, None, :]).any((1, 2))
+
+
 def _pairs(similarity: float):
-    """Rows (w, i, j, block, id, root, n, bits) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and not
-    yet connected, that can have the similarity by their sizes and their bits of parity."""
+    """Rows (w, i, j, block, id, root, n, bits, before) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and
+    not yet connected, that can have the similarity by their sizes and their bits of parity.
+
+    ``before`` holds the last BEFORE shingles under w, in the order of hashes, at which the set has rows too. A pair that shares
+    one of them meets there as well, under the same conditions, so it is left out here: most pairs are passed on once, at the
+    smallest shingle that they share, and none is lost."""
 
-    def pairs(w, i, j, block, ids, root, n, bits) -> Iterator[pa.RecordBatch]:
+    def pairs(w, i, j, block, ids, root, n, bits, before, held) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(w) else np.zeros(0, bool)
         group = np.cumsum(new)
         words, levels = fold_levels(bits)
@@ -334,15 +355,18 @@ def _pairs(similarity: float):
                 mine = both == k
                 apart[mine] = np.bitwise_count(matrix[rows[left[mine]]] ^ matrix[rows[right[mine]]]).sum(1, dtype=np.int64)
             ok = apart <= (1 - similarity) / (1 + similarity) * (n[left] + n[right]) + 1e-6
-            if ok.any():
-                x, y = ids[left[ok]], ids[right[ok]]
+            left, right = left[ok], right[ok]
+            new = ~_met(before[left], held[left], before[right], held[right])
+            if new.any():
+                x, y = ids[left[new]], ids[right[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 7 + [[]]
+        held = [np.zeros(0, np.int64)] * 7 + [[], np.zeros((0, BEFORE), np.int64), np.zeros(0, np.int64)]
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]]
-            held = [np.concatenate([h, c]) for h, c in zip(held[:7], columns, strict=True)] + [held[7] + batch.column(7).to_pylist()]
+            columns += [batch.column(7).to_pylist(), *_matrix(batch.column(8))]
+            held = [h + c if isinstance(h, list) else np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             w, i, j = held[:3]
             last = np.flatnonzero((w != w[-1]) | (i != i[-1]) | (j != j[-1])) if len(w) else []
             done = int(last[-1]) + 1 if len(last) else 0
@@ -445,9 +469,11 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
     roots = _components(links)
     rest = stored(posts.select("w", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
-    rest = rest.join(mixed.select("w", "c"), "w").join(sets.select("id", "n", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
+    rest = rest.join(mixed.select("w", "c"), "w")
+    rest = rest.withColumn("before", F.collect_list("w").over(W.partitionBy("id").orderBy("w").rowsBetween(-BEFORE, -1)))  # an id's rows are its own shingles
+    rest = rest.join(sets.select("id", "n", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits")
+    rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits", "before")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
     more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
     more = stored(_possible(stored(more), sets, roots, similarity, block))

@@ -1,5 +1,9 @@
 """The near-duplicate stage where one document is the partner of very many."""
 
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from allelo.llm import simhash
@@ -21,3 +25,22 @@ def test_ranks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(simhash, "RANKED", 7)
     words, seen = simhash._common_shingles(docs)
     assert len(words) == 7 and (seen == 50).all() and (words[1:] > words[:-1]).all()
+
+
+def test_a_pair_that_shares_many_shingles_is_passed_on_once():
+    """Sets of 0 to 299 but for a few numbers, all postings: each pair comes once; runs of others between two shared ones
+    (longer than BEFORE) let it come again, never less than once."""
+    rng = np.random.default_rng(3)
+    sets = [np.setdiff1d(np.arange(300), rng.integers(0, 300, 8)) for _ in range(6)]
+    sets.append(np.setdiff1d(np.arange(300), np.arange(100, 100 + simhash.BEFORE + 4)))
+    rows = []
+    for k, x in enumerate(sets):
+        bits = simhash.folded(simhash.parity(x.astype(np.uint64) << np.uint64(34)), 8).tobytes()
+        rows += [(int(w), 0, 0, 0, k, k, len(x), bits, x[max(0, at - simhash.BEFORE) : at].tolist()) for at, w in enumerate(x)]
+    rows.sort(key=lambda r: r[0])
+    types = [pa.int64()] * 7 + [pa.binary(), pa.list_(pa.int64())]
+    for step in (40, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + step], strict=True), types, strict=True)], names=list("wijbcdefg")) for a in range(0, len(rows), step)]
+        got = [pair for b in simhash._pairs(0.8)(iter(batches)) for pair in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        want = set(combinations(range(7), 2))
+        assert set(got) == want and len(got) <= len(want) + 6
