@@ -1,5 +1,5 @@
 """Queries on posterior samples: histograms and credible sets (q22 to q26, q47 to q50), chains and marginal likelihoods
-(q27 to q34, q37 to q39, q51 to q53, q66, q67, q73 to q76), filters on histograms (q72)."""
+(q27 to q34, q37 to q39, q51 to q53, q66, q67, q73 to q76, q85, q88), filters on histograms (q72)."""
 
 from __future__ import annotations
 
@@ -183,6 +183,10 @@ def q75_autocorrelations(spark, sf):
     return rounded(ch.autocorrelations(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice", LAGS), 7)
 
 
+def q88_heidelberger_welch(spark, sf):
+    return rounded(ch.heidelberger_welch(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice", orders=2), 6)
+
+
 def q76_raftery_lewis(spark, sf):
     return rounded(ch.raftery_lewis(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice"), 4)
 
@@ -249,6 +253,20 @@ def _given(pair: tuple[str, str], rest: tuple[str, ...]) -> str:
     return f"(({r} - {s} * {t}) / sqrt((1 - {s} * {s}) * (1 - {t} * {t})))"
 
 
+
+
+def _zero(source: str, name: str) -> str:
+    """Spectral density at zero of series (k, o, v), of orders up to 2 by the equations of Yule and Walker."""
+    return f"""{name}_x AS (SELECT k, o, v, v - avg(v) OVER (PARTITION BY k) AS x FROM {source}),
+        {name}_l AS (SELECT *, lag(x) OVER w AS x1, lag(x, 2) OVER w AS x2 FROM {name}_x WINDOW w AS (PARTITION BY k ORDER BY o)),
+        {name}_r AS (SELECT k, count(*) AS m, avg(v) AS mean, sum(x * x) AS s, coalesce(sum(x * x1), 0) / sum(x * x) AS r1, coalesce(sum(x * x2), 0) / sum(x * x) AS r2 FROM {name}_l GROUP BY k HAVING count(*) > 3 AND sum(x * x) > 0),
+        {name}_p AS (SELECT *, r1 * (1 - r2) / (1 - r1 * r1) AS a, (r2 - r1 * r1) / (1 - r1 * r1) AS b FROM {name}_r),
+        {name}_f AS (SELECT k, m, mean, 0 AS q, 1.0::DOUBLE AS e, s / (m - 1) AS d FROM {name}_p
+          UNION ALL SELECT k, m, mean, 1, 1 - r1 * r1, s * (1 - r1 * r1) / (m - 2) / (1 - r1) ** 2 FROM {name}_p
+          UNION ALL SELECT k, m, mean, 2, 1 - a * r1 - b * r2, s * (1 - a * r1 - b * r2) / (m - 3) / (1 - a - b) ** 2 FROM {name}_p),
+        {name} AS (SELECT k, any_value(m) AS m, any_value(mean) AS mean, arg_min(d, m * ln(e) + 2 * q) AS spectrum FROM {name}_f GROUP BY k)"""
+
+
 _PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]]
 
 SQL = {
@@ -256,6 +274,17 @@ SQL = {
     + ", ".join(f"corr({a}, {b}) AS r_{min(a, b)}_{max(a, b)}" for a, b in _PAIRS)
     + " FROM lineitem GROUP BY ALL) "
     + " UNION ALL ".join(f"SELECT locus, '{a}' AS a, '{b}' AS b, round({_given((a, b), tuple(m for m in MEASURES if m not in (a, b)))}, 8) AS partial FROM r" for a, b in _PAIRS),
+    "q88_heidelberger_welch": f"""WITH n AS (SELECT o_orderpriority AS k, o_orderkey AS o, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n,
+          count(*) OVER (PARTITION BY o_orderpriority) AS total FROM orders WHERE o_totalprice IS NOT NULL),
+        late AS (SELECT k, o, v FROM n WHERE n > total // 2), {_zero("late", "h")},
+        t AS (SELECT k, j, total, total * j // 10 AS skipped, v, o, avg(v) OVER (PARTITION BY k, j) AS mean FROM n, generate_series(0, 5) g(j) WHERE n > total * j // 10),
+        b AS (SELECT k, j, total, skipped, sum(v - mean) OVER (PARTITION BY k, j ORDER BY o ROWS UNBOUNDED PRECEDING) AS b FROM t),
+        c AS (SELECT k, j, total, skipped, sum(b * b) / (total - skipped) ** 2 / any_value(spectrum) AS c FROM b JOIN h USING (k) GROUP BY k, j, total, skipped),
+        s AS (SELECT k, total, min(j) FILTER (c < {ch.BRIDGE_LIMIT}) AS j, max(c) FILTER (j = 5) AS last FROM c GROUP BY k, total),
+        f AS (SELECT s.k, s.total, c.skipped, coalesce(c.c, s.last) AS c FROM s LEFT JOIN c ON c.k = s.k AND c.j = s.j),
+        kept AS (SELECT n.k, o, v FROM n JOIN f USING (k) WHERE n > skipped), {_zero("kept", "e")}
+        SELECT f.k AS o_orderpriority, total AS n, skipped::BIGINT AS dropped, round(c, 6) AS statistic, round(mean, 6) AS mean, round({_Z!r}::DOUBLE * sqrt(spectrum / m), 6) AS halfwidth,
+        skipped IS NOT NULL AS stationary, coalesce({_Z!r}::DOUBLE * sqrt(spectrum / m) <= abs(mean) * 0.1::DOUBLE, false) AS exact FROM f LEFT JOIN e USING (k)""",
     "q72_savitzky_golay_edges": f"""WITH {_GRID}, w(place, k, w) AS (VALUES {_EDGES}),
         c AS (SELECT locus, bin, greatest(2, least(bin, {BINS - 3})) AS middle FROM h)
         SELECT c.locus, c.bin, round(sum(h.density * w.w), 12) AS fitted FROM c JOIN w ON w.place = c.bin - c.middle JOIN h ON h.locus = c.locus AND h.bin = c.middle + w.k GROUP BY ALL""",

@@ -127,3 +127,52 @@ def test_event_counts_and_divergence(spark):
     models = spark.createDataFrame([("x", "y", 0.5)], "a string, b string, mean double")
     got = {(r.a, r.b): (r["mean"], r.diverges) for r in events.divergence_models(d.select("a", "b").distinct(), models, ["a", "b"]).collect()}
     assert got["x", "y"] == (0.5, True) and got["x", "x"] == (None, False) and len(got) == 4
+
+
+def _zero_by_equations(v, orders):
+    """Spectral density at zero of the best autoregression, each order by solving its equations."""
+    x, n = v - v.mean(), len(v)
+    if n <= orders + 1 or not (x * x).sum() > 0:
+        return None
+    r = np.array([(x[k:] * x[: n - k]).sum() for k in range(orders + 1)]) / (x * x).sum()
+    best = []
+    for k in range(orders + 1):
+        f = np.linalg.solve(r[np.abs(np.subtract.outer(range(k), range(k)))], r[1 : k + 1]) if k else np.zeros(0)
+        e = 1 - f @ r[1 : k + 1]
+        best.append((n * np.log(e) + 2 * k, k, (x * x).sum() * e / (n - k - 1) / (1 - f.sum()) ** 2))
+    return min(best)[2]
+
+
+def _heidelberger_welch(v, orders, eps=0.1):
+    n, late = len(v), _zero_by_equations(v[len(v) // 2 :], orders)
+    statistic = None
+    for j in range(6) if late else ():
+        y = v[n * j // 10 :]
+        bridge = np.cumsum(y) - np.arange(1, len(y) + 1) * y.mean()
+        statistic = (bridge**2).sum() / len(y) ** 2 / late
+        if statistic < chains.BRIDGE_LIMIT:
+            s = _zero_by_equations(y, orders)
+            half = None if s is None else 1.959963985 * np.sqrt(s / len(y))
+            return n, n * j // 10, statistic, y.mean(), half, True, half is not None and bool(half <= eps * abs(y.mean()))
+    return n, None, statistic, None, None, False, False
+
+
+@pytest.mark.parametrize("orders", [1, 4])
+def test_heidelberger_welch(spark, series, orders):
+    """A walk, short, constant, empty and nameless series, noise, correlated noise, noise after a false start, and with a trend."""
+    rng = np.random.default_rng(11)
+    noise = rng.normal(10, 1, 500)
+    around = [rng.normal()]
+    for e in rng.normal(size=699):
+        around.append(0.8 * around[-1] + e)
+    more = {"noise": noise, "around": np.array(around) + 3, "start": np.where(np.arange(500) < 120, noise + 6, noise), "trend": noise + 0.006 * np.arange(500)}
+    rows = series + [(k, i, float(x)) for k, v in more.items() for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "k string, i int, v double").repartition(5)
+    got = {r[0]: tuple(r)[1:] for r in chains.heidelberger_welch(d, ["k"], ["i"], "v", orders).collect()}
+    want = {k: _heidelberger_welch(v, orders) for k, v in _values(rows).items()}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        for g, x in zip(got[k], w, strict=True):
+            assert g is None if x is None else g == pytest.approx(x, rel=1e-6), (k, got[k], w)
+    assert want["start"][1] > 0 and want["noise"][1] == 0 and want["noise"][6] and not want["trend"][5]
+    assert chains.heidelberger_welch(d.limit(0), ["k"], ["i"], "v", orders).count() == 0
