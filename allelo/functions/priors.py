@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .special import gamma_p, gamma_quantile, inverse_normal, normal_cdf
+from .special import gamma_p, gamma_p_col, gamma_quantile, inverse_normal, lgamma_col, normal_cdf, normal_cdf_col
 
 
 @dataclass
@@ -82,16 +82,53 @@ class Prior:
         return float(np.sum(x * w) / np.sum(w))
 
 
-def log_density_col(value: Column, kind: Column, low: Column, high: Column, mean: Column) -> Column:
-    """Uniform, exponential and multiplicative priors by row, without Python; null for other kinds, -inf outside."""
-    inside = value.between(low, high)
-    exp_mass = F.log(F.exp(-low / mean) - F.exp(-high / mean))
+def log_mass_col(kind: Column, low: Column, high: Column, mean: Column, sd: Column | None = None, alpha: Column | None = None) -> Column:
+    """Logarithm of a prior's integral between its bounds, without the factors that ``log_density_col`` leaves out too. Null
+    for other kinds, for bounds so far in the upper tail that they have no mass in doubles, and for a null argument."""
+    sd, alpha = (F.lit(None).cast("double") if c is None else c for c in (sd, alpha))
+    rate = alpha / mean
+    return (
+        F.when(kind == "uniform", F.log(high - low))
+        .when(kind == "exponential", F.log(mean) + F.log(F.exp(-low / mean) - F.exp(-high / mean)))
+        .when(kind == "gamma", lgamma_col(alpha) - alpha * F.log(rate) + F.log(gamma_p_col(alpha, high * rate) - gamma_p_col(alpha, low * rate)))
+        .when(kind == "normal", F.log(sd * F.lit(math.sqrt(2 * math.pi))) + F.log(normal_cdf_col((high - mean) / sd) - normal_cdf_col((low - mean) / sd)))
+        .when(kind == "multiplicative", F.log(F.log(high / F.greatest(low, F.lit(1e-12)))))
+    )
+
+
+def log_density_col(value: Column, kind: Column, low: Column, high: Column, mean: Column, sd: Column | None = None, alpha: Column | None = None, log_mass: Column | None = None) -> Column:
+    """Log density of a prior by row; -inf outside its bounds, null for other kinds. Many values of one prior can share its
+    ``log_mass``, which is computed here otherwise."""
+    if log_mass is None:
+        log_mass = log_mass_col(kind, low, high, mean, sd, alpha)
+    sd, alpha = (F.lit(None).cast("double") if c is None else c for c in (sd, alpha))
+    log_value = F.log(F.greatest(value, F.lit(1e-300)))
+    z = (value - mean) / sd
     d = (
-        F.when(kind == "uniform", -F.log(high - low))
-        .when(kind == "exponential", -value / mean - F.log(mean) - exp_mass)
-        .when(kind == "multiplicative", -F.log(value) - F.log(F.log(high / F.greatest(low, F.lit(1e-12)))))
+        F.when(kind == "uniform", F.lit(0.0))
+        .when(kind == "exponential", -value / mean)
+        .when(kind == "gamma", (alpha - 1) * log_value - value * alpha / mean)
+        .when(kind == "normal", z * z * F.lit(-0.5))
+        .when(kind == "multiplicative", -log_value)
+    )
+    return F.when(value.between(low, high), d - log_mass).otherwise(F.lit(float("-inf")))
+
+
+def truncated_mean_col(kind: Column, low: Column, high: Column, mean: Column, sd: Column, alpha: Column) -> Column:
+    """Mean of a prior between its bounds; null where ``log_mass_col`` is."""
+    rate = alpha / mean
+    lower = F.greatest(low, F.lit(1e-12))
+    a, b = F.exp(-low / mean), F.exp(-high / mean)
+    above = gamma_p_col(alpha + 1, high * rate) - gamma_p_col(alpha + 1, low * rate)
+    x, y = (low - mean) / sd, (high - mean) / sd
+    bend = (F.exp(x * x * F.lit(-0.5)) - F.exp(y * y * F.lit(-0.5))) / F.lit(math.sqrt(2 * math.pi))
+    return (
+        F.when(kind == "uniform", (low + high) / 2)
+        .when(kind == "exponential", mean + F.try_divide(low * a - high * b, a - b))
+        .when(kind == "gamma", mean * F.try_divide(above, gamma_p_col(alpha, high * rate) - gamma_p_col(alpha, low * rate)))
+        .when(kind == "normal", mean + sd * F.try_divide(bend, normal_cdf_col(y) - normal_cdf_col(x)))
+        .when(kind == "multiplicative", (high - lower) / F.log(high / lower))
     )
-    return F.when(inside, d).otherwise(F.lit(float("-inf")))
 
 
 def bin_prior(prior: Prior, bins: int) -> np.ndarray:

@@ -1,11 +1,10 @@
-"""Special functions that Spark lacks, in numpy (there is no SciPy), and as vectorised column functions."""
+"""Special functions that Spark lacks, in numpy (there is no SciPy), and as column expressions."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,24 +155,42 @@ def mittag_leffler(alpha: float, x, terms: int = 400):
     return np.where(near, series, integral)
 
 
-def _column(f):
-    @F.pandas_udf("double")
-    def apply(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.isna(), np.nan, f(x.fillna(1.0).to_numpy(float))))
+def lgamma_col(x: Column | str) -> Column:
+    """Logarithm of the gamma function for x > 0: eight steps up, then its asymptotic series."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    y = x + 8
+    r = F.lit(1.0) / (y * y)
+    series = F.lit(1 / 12) - r * (F.lit(1 / 360) - r * (F.lit(1 / 1260) - r * (F.lit(1 / 1680) - r * (F.lit(1 / 1188) - r * F.lit(691 / 360360)))))
+    steps = x
+    for i in range(1, 8):
+        steps = steps * (x + i)
+    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series / y - F.log(steps)
 
-    return apply
 
+def gamma_p_col(a: Column, x: Column, steps: int = 200) -> Column:
+    """Regularised lower incomplete gamma by row: a series below a + 1, a continued fraction from its far end above, both of
+    ``steps`` terms, which is enough for a up to some hundreds."""
+    a, x = a.cast("double"), x.cast("double")
+    front = F.exp(a * F.log(x) - x - lgamma_col(a))
+    first = F.lit(1.0) / a
 
-def lgamma_col(x: Column | str) -> Column:
-    return _column(lgamma)(x)
+    def add(s: Column, n: Column) -> Column:
+        term = s["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(first.alias("term"), first.alias("total")), add, lambda s: s["total"])
+    fraction = F.aggregate(F.sequence(F.lit(steps), F.lit(1)), x + F.lit(2.0 * steps + 1) - a, lambda b, n: x + n * 2 - 1 - a - n * (n - a) / b)
+    return F.when(x <= 0, F.lit(0.0)).when(x < a + 1, front * series).otherwise(F.lit(1.0) - front / fraction)
 
 
 def erf_col(x: Column | str) -> Column:
-    return _column(erf)(x)
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return F.signum(x) * gamma_p_col(F.lit(0.5), x * x)
 
 
-def inverse_normal_col(x: Column | str) -> Column:
-    return _column(inverse_normal)(x)
+def normal_cdf_col(x: Column | str) -> Column:
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return (erf_col(x / F.lit(math.sqrt(2))) + 1) / 2
 
 
 _EULER = 0.57721566490153286061

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.priors import log_density_col, log_mass_col, truncated_mean_col
+
 #: Comparisons of cumulated probabilities with a bound allow for the order of summation.
 EPSILON = 1e-9
 
@@ -133,6 +135,23 @@ def combine_loci(h: DataFrame, locus: str, keys: list[str], prob: str, prior: Co
     return d.withColumn("_e", e).withColumn("prob", F.col("_e") / F.sum("_e").over(per)).select(*keys, "bin", "middle", "log_density", "prob")
 
 
+def prior_bins(priors: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Priors, one a row (keys, kind, low, high, mean, sd, alpha) -> for each of equal bins between the bounds its middle and
+    the log density there, with the prior's mean between its bounds. A projection: masses are computed once a prior."""
+    p = [F.col(c) for c in ("kind", "low", "high", "mean", "sd", "alpha")]
+    d = priors.select(*keys, *p, log_mass_col(*p).alias("_mass"), truncated_mean_col(*p).alias("prior_mean"))
+    d = d.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    d = d.withColumn("middle", F.col("low") + (F.col("bin") + 0.5) * ((F.col("high") - F.col("low")) / F.lit(float(bins))))
+    return d.select(*keys, "kind", "bin", "middle", log_density_col(F.col("middle"), *p, F.col("_mass")).alias("log_prior"), "prior_mean")
+
+
+def against_prior(h: DataFrame, keys: list[str], prob: str, priors: DataFrame) -> DataFrame:
+    """Bins of histograms beside the bins of their priors (``prior_bins`` of the same bounds), with ``log_ratio``, how much
+    the data changed the density; null in empty bins."""
+    d = h.drop("middle").join(priors, [*keys, "bin"])
+    return d.withColumn("log_ratio", F.when(F.col(prob) > 0, F.log(F.when(F.col(prob) > 0, F.col(prob))) - F.col("log_prior")))
+
+
 def summary(h: DataFrame, keys: list[str], prob: str, width: float) -> DataFrame:
     """Mode, median, mean and the 50 % and 95 % intervals of each group."""
     out = mode_and_median(h, keys, prob)
@@ -144,7 +163,3 @@ def summary(h: DataFrame, keys: list[str], prob: str, width: float) -> DataFrame
 def wide_bound_warnings(s: DataFrame, high: float, share: float = 0.9) -> DataFrame:
     """Rows of a summary whose upper 50 % and 95 % bounds both lie above a share of the prior's maximum."""
     return s.where((F.col("in50_high") > share * high) & (F.col("in95_high") > share * high)).withColumn("warning", F.lit("upper bounds near the prior maximum"))
-
-
-def empty_grid(spark: SparkSession, bins: int) -> DataFrame:
-    return spark.range(bins).select(F.col("id").cast("int").alias("bin"))

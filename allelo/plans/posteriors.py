@@ -1,5 +1,5 @@
 """Queries on posterior samples: histograms and credible sets (q22 to q26, q47 to q50), chains and marginal likelihoods
-(q27 to q34, q37 to q39, q51 to q53, q66, q67, q73 to q76, q85, q88), filters on histograms (q72)."""
+(q27 to q34, q37 to q39, q51 to q53, q66, q67, q73 to q76, q85, q88), priors (q89), filters on histograms (q72)."""
 
 from __future__ import annotations
 
@@ -187,6 +187,22 @@ def q88_heidelberger_welch(spark, sf):
     return rounded(ch.heidelberger_welch(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice", orders=2), 6)
 
 
+KINDS = ("uniform", "exponential", "gamma", "normal", "multiplicative")
+LEAST, MOST = 1.0, 11000.0
+
+
+def q89_prior_bins(spark, sf):
+    """Balances by region beside a prior of each kind with the region's mean and deviation."""
+    d = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    d = d.select(F.col("n_regionkey").alias("region"), (F.col("c_acctbal") + 1000).cast("double").alias("value")).where(F.col("value").isNotNull())
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("region") % len(KINDS) + 1).cast("int"))
+    p = d.groupBy("region").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    p = p.select("region", kind.alias("kind"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"), "mean", "sd", (F.col("mean") * F.col("mean") / F.col("sd") / F.col("sd")).alias("alpha"))
+    h = po.histogram(d, ["region"], "value", LEAST, MOST, BINS)
+    r = po.against_prior(h, ["region"], "density", po.prior_bins(p, ["region"], BINS))
+    return rounded(r.select("region", "kind", "bin", "n", F.round("prior_mean", 4).alias("prior_mean"), "log_prior", "log_ratio"), 7)
+
+
 def q76_raftery_lewis(spark, sf):
     return rounded(ch.raftery_lewis(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], "o_totalprice"), 4)
 
@@ -285,6 +301,18 @@ SQL = {
         kept AS (SELECT n.k, o, v FROM n JOIN f USING (k) WHERE n > skipped), {_zero("kept", "e")}
         SELECT f.k AS o_orderpriority, total AS n, skipped::BIGINT AS dropped, round(c, 6) AS statistic, round(mean, 6) AS mean, round({_Z!r}::DOUBLE * sqrt(spectrum / m), 6) AS halfwidth,
         skipped IS NOT NULL AS stationary, coalesce({_Z!r}::DOUBLE * sqrt(spectrum / m) <= abs(mean) * 0.1::DOUBLE, false) AS exact FROM f LEFT JOIN e USING (k)""",
+    "q89_prior_bins": f"""WITH v AS (SELECT n_regionkey AS region, (c_acctbal + 1000)::DOUBLE AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal IS NOT NULL),
+        p AS (SELECT region, {list(KINDS)!r}[region % {len(KINDS)} + 1] AS kind, avg(value) AS m, stddev_samp(value) AS sd, count(*) AS total FROM v GROUP BY region),
+        x AS (SELECT 0 AS part, i, {LEAST!r}::DOUBLE + i * {(MOST - LEAST) / 8000!r}::DOUBLE AS x FROM generate_series(0, 8000) g(i)
+          UNION ALL SELECT 1, i, {LEAST!r}::DOUBLE + (i + 0.5) * {(MOST - LEAST) / BINS!r}::DOUBLE FROM generate_series(0, {BINS - 1}) g(i)),
+        f AS (SELECT *, CASE kind WHEN 'uniform' THEN 1.0::DOUBLE WHEN 'exponential' THEN exp(-x / m) WHEN 'gamma' THEN x ** ((m / sd) ** 2 - 1) * exp(-x * m / sd ** 2)
+          WHEN 'normal' THEN exp(((x - m) / sd) ** 2 / -2) ELSE 1 / x END AS f FROM p, x),
+        s AS (SELECT region, kind, f, x, CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {(MOST - LEAST) / 24000!r}::DOUBLE AS w FROM f WHERE part = 0),
+        mass AS (SELECT region, CASE kind WHEN 'multiplicative' THEN ln({MOST / LEAST!r}::DOUBLE) ELSE sum(f * w) END AS mass, sum(f * x * w) AS first FROM s GROUP BY region, kind),
+        n AS (SELECT region, greatest(0, least(floor((value - {LEAST!r}::DOUBLE) / {(MOST - LEAST) / BINS!r}::DOUBLE)::INT, {BINS - 1})) AS i, count(*) AS n FROM v GROUP BY ALL)
+        SELECT region, kind, i::INT AS bin, coalesce(n, 0) AS n, round(first / mass, 4) AS prior_mean, round(ln(f / mass), 7) AS log_prior,
+        CASE WHEN n > 0 THEN round(ln(n / (total * {(MOST - LEAST) / BINS!r}::DOUBLE)) - ln(f / mass), 7) END AS log_ratio
+        FROM f JOIN mass USING (region) LEFT JOIN n USING (region, i) WHERE part = 1""",
     "q72_savitzky_golay_edges": f"""WITH {_GRID}, w(place, k, w) AS (VALUES {_EDGES}),
         c AS (SELECT locus, bin, greatest(2, least(bin, {BINS - 3})) AS middle FROM h)
         SELECT c.locus, c.bin, round(sum(h.density * w.w), 12) AS fitted FROM c JOIN w ON w.place = c.bin - c.middle JOIN h ON h.locus = c.locus AND h.bin = c.middle + w.k GROUP BY ALL""",

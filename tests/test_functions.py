@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from allelo.functions import model
 from allelo.functions import special as sp
-from allelo.functions.priors import Prior, bin_prior, log_density_col
+from allelo.functions.priors import Prior, bin_prior, log_density_col, log_mass_col, truncated_mean_col
 from allelo.operators import chains, events, frequencies, marginal, posterior
 from allelo.report import text_table
 from allelo.streaming.event_bins import binned_events
@@ -54,6 +54,59 @@ def test_columns(spark):
     assert spark.range(1).select(c).first()[0] == pytest.approx(math.log(10))
 
 
+def test_gamma_functions_by_row(spark):
+    pairs = [(a, x) for a in (0.05, 0.5, 1.0, 3.7, 40.0, 300.0) for x in (0.0, 1e-9, 0.3, 1.0, 4.7, 41.0, 300.5, 302.0, 900.0)]
+    d = spark.createDataFrame(pairs, "a double, x double")
+    got = [tuple(r) for r in d.select(sp.gamma_p_col(F.col("a"), F.col("x")), sp.lgamma_col("a"), sp.erf_col(F.col("x") - 1), sp.normal_cdf_col(F.col("x") - 2)).collect()]
+    for (a, x), (p, g, e, c) in zip(pairs, got, strict=True):
+        assert p == pytest.approx(float(sp.gamma_p(a, x)), rel=1e-9, abs=1e-13)
+        assert g == pytest.approx(math.lgamma(a), rel=1e-13, abs=1e-13)
+        assert e == pytest.approx(math.erf(x - 1), abs=1e-13) and c == pytest.approx(float(sp.normal_cdf(x - 2)), abs=1e-13)
+    assert spark.range(1).select(sp.gamma_p_col(F.lit(None).cast("double"), F.lit(1.0))).first()[0] is None
+
+
+@pytest.mark.parametrize("kind", ["uniform", "exponential", "gamma", "normal", "multiplicative"])
+def test_priors_by_row(spark, kind):
+    """One table of priors with different bounds against the numpy form; densities sum to 1 and means agree."""
+    given = [(k, kind, *b) for k, b in enumerate([(0.5, 4.0, 1.5, 0.8, 2.0), (0.001, 30.0, 7.0, 9.0, 0.6), (2.0, 2.5, 1.3, 1.0, 9.0)])]
+    d = spark.createDataFrame(given, "k int, kind string, low double, high double, mean double, sd double, alpha double")
+    rows = {r["k"]: r for r in posterior.prior_bins(d, ["k"], 3000).groupBy("k").agg(F.sum(F.exp("log_prior")).alias("s"), F.avg("prior_mean").alias("m"), F.max_by("log_prior", "bin").alias("last"), F.count("*").alias("n")).collect()}
+    for k, _, low, high, mean, sd, alpha in given:
+        p = Prior(kind, low, high, mean=mean, sd=sd, alpha=alpha)
+        assert rows[k]["n"] == 3000
+        assert rows[k]["last"] == pytest.approx(float(p.log_density(high - (high - low) / 6000)), rel=1e-8)
+        if (kind, k) not in (("gamma", 1), ("multiplicative", 1)):  # steep at the lower bound: equal bins are too coarse there
+            assert rows[k]["s"] * (high - low) / 3000 == pytest.approx(1, rel=1e-3)
+            assert rows[k]["m"] == pytest.approx(p.mean_truncated(20001), rel=1e-3)
+
+
+def test_priors_by_row_defined_cases(spark):
+    kinds = [("uniform",), ("exponential",), ("gamma",), ("normal",), ("multiplicative",), ("other",), (None,)]
+    d = spark.createDataFrame(kinds, "kind string")
+    lit = [F.lit(float(x)) for x in (0.0, 4.0, 1.5, 0.8, 2.0)]
+    outside = d.select(log_density_col(F.lit(5.0), F.col("kind"), *lit)).collect()
+    assert all(r[0] == float("-inf") for r in outside)
+    at_zero = [r[0] for r in d.select(log_density_col(F.lit(0.0), F.col("kind"), *lit)).collect()]
+    assert at_zero[5:] == [None, None] and all(x is not None for x in at_zero[:5])
+    far = [F.lit(x) for x in (100.0, 101.0, 1.0, 1.0, 1.0)]  # no mass in doubles
+    assert d.where("kind = 'normal'").select(log_mass_col(F.col("kind"), *far), truncated_mean_col(F.col("kind"), *far)).first()[:] == (None, None)
+    no_sd = d.where("kind in ('gamma', 'normal')").select(log_density_col(F.lit(1.0), F.col("kind"), *lit[:3])).collect()
+    assert [r[0] for r in no_sd] == [None, None]
+
+
+def test_histogram_against_its_prior(spark):
+    """Quantiles of a prior leave no trace: log ratios near 0; empty bins are null; a group without prior is left out."""
+    p = Prior("gamma", 0.5, 4.0, mean=1.5, alpha=2.0)
+    x = p.quantile((np.arange(1000) + 0.5) / 1000)
+    d = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)] + [("c", 3.9)], "k string, v double")
+    h = posterior.histogram(d, ["k"], "v", 0.5, 4.0, 10)
+    priors = spark.createDataFrame([("a", "gamma", 0.5, 4.0, 1.5, 1.0, 2.0), ("c", "uniform", 0.5, 4.0, 1.5, 1.0, 2.0)], "k string, kind string, low double, high double, mean double, sd double, alpha double")
+    got = posterior.against_prior(h, ["k"], "density", posterior.prior_bins(priors, ["k"], 10)).collect()
+    assert sorted({r["k"] for r in got}) == ["a", "c"] and len(got) == 20
+    assert max(abs(r["log_ratio"]) for r in got if r["k"] == "a") < 0.15
+    assert [r["log_ratio"] is None for r in sorted(got, key=lambda r: r["bin"]) if r["k"] == "c"] == [True] * 9 + [False]
+
+
 def test_constant_series_and_single_chain(spark):
     d = spark.createDataFrame([(1, i, 2.0) for i in range(5)], "c int, i int, v double")
     e = chains.autocorrelation(d, ["c"], ["i"], "v").first()
