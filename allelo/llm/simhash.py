@@ -213,6 +213,8 @@ SAMPLE, COMMON, RANKED = 10000, 3, 1 << 20
 BLOCK = 512
 #: Shingles before each one of a set that its postings carry, to tell whether a pair has met already.
 BEFORE = 8
+#: Times as many pairs of two components that a round compares as the one before it.
+TRIED = 16
 #: Words of a set's bits of parity, and the least and most of the folded ones that its postings carry.
 PARITY, CARRIED = 8, (8, 64)
 
@@ -327,9 +329,9 @@ def _met(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray) -> np.nda
     return ((x[:, :, None] == y[:, None, :]) & (k < xs[:, None])[:, :, None] & (k < ys[:, None])[:, None, :]).any((1, 2))
 
 
-def _pairs(similarity: float):
+def _pairs(similarity: float, roots: bool = False):
     """Rows (w, i, j, block, id, root, n, bits, before) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and
-    not yet connected, that can have the similarity by their sizes and their bits of parity.
+    not yet connected, that can have the similarity by their sizes and their bits of parity; with ``roots`` those of both too.
 
     ``before`` holds the last BEFORE shingles under w, in the order of hashes, at which the set has rows too. A pair that shares
     one of them meets there as well, under the same conditions, so it is left out here: most pairs are passed on once, at the
@@ -358,8 +360,8 @@ def _pairs(similarity: float):
             left, right = left[ok], right[ok]
             new = ~_met(before[left], held[left], before[right], held[right])
             if new.any():
-                x, y = ids[left[new]], ids[right[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+                ends = [f(x[left[new]], x[right[new]]) for x in ((ids, root) if roots else (ids,)) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["u", "v", "a", "b"][: len(ends)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 7 + [[], np.zeros((0, BEFORE), np.int64), np.zeros(0, np.int64)]
@@ -378,10 +380,11 @@ def _pairs(similarity: float):
     return run
 
 
-def _beside(pairs: DataFrame, side: str, other: str, of: DataFrame, block: int = BLOCK) -> DataFrame:
+def _beside(pairs: DataFrame, side: str, other: str, of: DataFrame, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
     """``pairs`` joined to the rows of ``of`` (bucketed by ``side``). The row of an id with over ``block`` pairs is copied for
-    parts of these, which are tasks of their own: adaptive execution cannot split a join whose other side is not moved."""
-    n = pairs.groupBy(side).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    parts of these, which are tasks of their own: adaptive execution cannot split a join whose other side is not moved.
+    ``counted`` are the same pairs before they were joined to anything."""
+    n = (pairs if counted is None else counted).groupBy(side).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
     hot = stored(n.select(side, F.ceil(F.col("_n") / block).cast("int").alias("_parts")))
     if hot.isEmpty():
         return pairs.join(of, side)
@@ -405,16 +408,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, block: int
                 keep.append(similar(sets[u], sets[v], similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    bare = pairs
     for side, other in (("v", "u"), ("u", "v")):
-        pairs = _beside(pairs, side, other, texts.select(F.col("id").alias(side), F.col("text").alias(f"t{side}")), block)
+        pairs = _beside(pairs, side, other, texts.select(F.col("id").alias(side), F.col("text").alias(f"t{side}")), block, bare)
     return map_batches(pairs.select("u", "v", "tu", "tv"), run, "u bigint, v bigint")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """The pairs (u, v) that are not connected yet and can have the similarity by their sizes and bits of parity."""
-    of = sets.join(roots, "id", "left").select("id", "n", "parity", F.coalesce("root", "id").alias("root"))
+    of, bare = sets.join(roots, "id", "left").select("id", "n", "parity", F.coalesce("root", "id").alias("root")), pairs
     for side, other in (("u", "v"), ("v", "u")):
-        pairs = _beside(pairs, side, other, of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "parity", "root")]), block)
+        pairs = _beside(pairs, side, other, of.select(F.col("id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "parity", "root")]), block, bare)
     n, m = F.col("nu"), F.col("nv")
     pairs = pairs.where((F.col("rootu") != F.col("rootv")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)).select("u", "v", "nu", "nv", "parityu", "parityv")
 
@@ -443,13 +447,36 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
     return equal.union(close.select(F.least("idu", "idv"), F.greatest("idu", "idv"))).distinct()
 
 
+def _links_between(pairs: DataFrame, sets: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> list[DataFrame]:
+    """Stored pairs (u, v, a, b) of sets in the components a < b -> links that connect what all similar pairs connect.
+
+    One pair of each two components is compared at first, then up to TRIED times as many a round. Between rounds components
+    grow together by the links found, and pairs inside one need no comparison any more; all others are compared."""
+    links, tries = [], 1
+    while not pairs.isEmpty():
+        slot = F.pmod(F.xxhash64("u", "v", F.lit(tries)), F.lit(tries))
+        some = pairs.groupBy("a", "b", slot.alias("_s")).agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v", "a", "b")
+        some = stored(some)
+        good = stored(_verified(stored(_possible(some.select("u", "v"), sets, roots, similarity, block)), texts, similarity, block))
+        links.append(good)
+        met = _components(good.join(some, ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        # the components' new names by pair of components, of which there are far fewer than pairs of sets
+        names = pairs.select("a", "b").distinct()
+        for k in "ab":
+            names = names.join(met.select(F.col("id").alias(k), F.col("root").alias(f"_{k}")), k, "left").withColumn(f"_{k}", F.coalesce(f"_{k}", k))
+        names = stored(names.where(F.col("_a") != F.col("_b")).select("a", "b", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")))
+        rest = pairs.join(names, ["a", "b"]).join(some.select("u", "v"), ["u", "v"], "left_anti")
+        pairs, tries = stored(rest.select("u", "v", F.col("_a").alias("a"), F.col("_b").alias("b"))), tries * TRIED
+    return links
+
+
 def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """Different sets as (id, n, fp, prefix, bits, parity) and their texts (id, text) -> (id, root) of those that are linked to another.
 
     Fingerprints within DISTANCE bits are candidates at first, found by pigeonhole blocks. Sets of the similarity also share
     a shingle of their prefixes, so next every set is compared with the one of the smallest id at each of these, which
-    connects most of a large group by few comparisons; then all pairs at a shingle that are not connected yet are compared.
-    Only exact similarities make links, so this gives the components of all pairs.
+    connects most of a large group by few comparisons; then pairs at a shingle are compared until all of them are connected or
+    known not to be similar. Only exact similarities make links, so this gives the components of all pairs.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,9 +502,10 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
     rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits", "before")
     rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
-    more = map_batches(rest, _pairs(similarity), "u bigint, v bigint").distinct().join(star, ["u", "v"], "left_anti")
-    more = stored(_possible(stored(more), sets, roots, similarity, block))
-    return _components(links.union(_verified(more, texts, similarity, block)))
+    more = map_batches(rest, _pairs(similarity, True), "u bigint, v bigint, a bigint, b bigint").distinct().join(star, ["u", "v"], "left_anti")
+    for found in _links_between(stored(more), sets, texts, roots, similarity, block):
+        links = links.union(found)
+    return _components(links)
 
 
 def _set_rows(similarity: float, common):

@@ -44,3 +44,22 @@ def test_a_pair_that_shares_many_shingles_is_passed_on_once():
         got = [pair for b in simhash._pairs(0.8)(iter(batches)) for pair in zip(*[c.to_pylist() for c in b.columns], strict=True)]
         want = set(combinations(range(7), 2))
         assert set(got) == want and len(got) <= len(want) + 6
+
+
+def test_pairs_of_connected_components_are_not_compared(spark, monkeypatch):
+    """Two components of near copies with all their pairs, and a third that is not similar: one link is enough for the first."""
+    base = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join([*base[:-1], f"x{i}"]) if i < 60 else " ".join(f"y{k}" for k in range(39)) + f" z{i}" for i in range(63)}
+    root = {i: 0 if i < 30 else 30 if i < 60 else 60 for i in texts}
+    h = {i: simhash.shingle_set(t) for i, t in texts.items()}
+    sets = bucketed(spark.createDataFrame([(i, len(x), bytearray(simhash.parity(x).tobytes())) for i, x in h.items()], "id long, n int, parity binary"), "id")
+    docs = bucketed(spark.createDataFrame(list(texts.items()), "id long, text string"), "id")
+    roots = stored(spark.createDataFrame(list(root.items()), "id long, root long"))
+    pairs = [(u, v, root[u], root[v]) for u, v in combinations(range(63), 2) if root[u] != root[v]]
+    asked = []
+    possible = simhash._possible
+    monkeypatch.setattr(simhash, "_possible", lambda p, *a: asked.append(p.count()) or possible(p, *a))
+    got = simhash._links_between(stored(spark.createDataFrame(pairs, "u long, v long, a long, b long")), sets, docs, roots, 0.8)
+    links = {tuple(r) for d in got for r in d.collect()}
+    assert links and all(u < 30 <= v < 60 for u, v in links)
+    assert asked[0] == 3 and sum(asked) == 3 + 180 - 2  # all pairs of those that are not similar, one of the others
