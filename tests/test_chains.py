@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from allelo.operators import chains, events, posterior
 
@@ -176,3 +177,19 @@ def test_heidelberger_welch(spark, series, orders):
             assert g is None if x is None else g == pytest.approx(x, rel=1e-6), (k, got[k], w)
     assert want["start"][1] > 0 and want["noise"][1] == 0 and want["noise"][6] and not want["trend"][5]
     assert chains.heidelberger_welch(d.limit(0), ["k"], ["i"], "v", orders).count() == 0
+
+
+def test_no_table_of_all_rows_is_broadcast(spark, monkeypatch):
+    """Stored rows look small (they compress well): what they are joined to is stored too, a row a range, so that Spark sees
+    which of both is the small one. Successors are no join of all rows with themselves."""
+    d = spark.range(60000).select(F.lit("a").alias("k"), F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    made = []
+    store = chains.stored
+    monkeypatch.setattr(chains, "stored", lambda df: made.append(store(df)) or made[-1])
+    for run in (chains.numbered, chains.neighbours):
+        made.clear()
+        run(d, ["k"], ["i"], "v")
+        assert made[0].count() == 60000 and len(made) == 2 and made[1].count() <= 8
+    made.clear()
+    chains.raftery_lewis(d, ["k"], ["i"], "v", q=0.3)
+    assert sorted(m.count() > 8 for m in made) == [False] * 3 + [True] * 2  # all rows by value and by order
