@@ -211,6 +211,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 SAMPLE, COMMON, RANKED = 10000, 3, 1 << 20
 #: Rows of a shingle in one block; of a shingle with more, pairs of blocks are tasks of their own.
 BLOCK = 512
+#: Shingles of the sets in one block, whose numbers a task holds.
+HELD = 1 << 22
 #: Shingles before each one of a set that its postings carry, to tell whether a pair has met already.
 BEFORE = 8
 #: Times as many pairs of two components that a round compares as the one before it.
@@ -329,9 +331,11 @@ def _met(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray) -> np.nda
     return ((x[:, :, None] == y[:, None, :]) & (k < xs[:, None])[:, :, None] & (k < ys[:, None])[:, None, :]).any((1, 2))
 
 
-def _pairs(similarity: float, roots: bool = False):
+def _pairs(similarity: float, cells: bool = False):
     """Rows (w, i, j, block, id, root, n, bits, before) sorted by w, i, j -> pairs of ids, in blocks i and j of shingle w and
-    not yet connected, that can have the similarity by their sizes and their bits of parity; with ``roots`` those of both too.
+    not yet connected, that can have the similarity by their sizes and their bits of parity. With ``cells``, rows (w, i, j, id,
+    root, others) of the ids that are in such a pair, each pair among the others of one of its ids: as many rows as came at
+    most, whatever the number of pairs.
 
     ``before`` holds the last BEFORE shingles under w, in the order of hashes, at which the set has rows too. A pair that shares
     one of them meets there as well, under the same conditions, so it is left out here: most pairs are passed on once, at the
@@ -341,7 +345,7 @@ def _pairs(similarity: float, roots: bool = False):
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(w) else np.zeros(0, bool)
         group = np.cumsum(new)
         words, levels = fold_levels(bits)
-        at = np.arange(len(w))
+        at, found = np.arange(len(w)), []
         for shift in range(1, len(w)):
             at = at[at + shift < len(w)]
             at = at[group[at] == group[at + shift]]
@@ -359,9 +363,17 @@ def _pairs(similarity: float, roots: bool = False):
             ok = apart <= (1 - similarity) / (1 + similarity) * (n[left] + n[right]) + 1e-6
             left, right = left[ok], right[ok]
             new = ~_met(before[left], held[left], before[right], held[right])
-            if new.any():
-                ends = [f(x[left[new]], x[right[new]]) for x in ((ids, root) if roots else (ids,)) for f in (np.minimum, np.maximum)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["u", "v", "a", "b"][: len(ends)])
+            if new.any() and cells:
+                found.append((left[new], right[new]))
+            elif new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(f(ids[left[new]], ids[right[new]])) for f in (np.minimum, np.maximum)], names=["u", "v"])
+        if found:
+            left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            o = np.argsort(left, kind="stable")
+            member = np.union1d(left, right)
+            ends = np.searchsorted(left[o], member, "right")
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids[right[o]]))
+            yield pa.RecordBatch.from_arrays([pa.array(w[member]), pa.array(i[member], pa.int32()), pa.array(j[member], pa.int32()), pa.array(ids[member]), pa.array(root[member]), others], names=["w", "i", "j", "id", "root", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 7 + [[], np.zeros((0, BEFORE), np.int64), np.zeros(0, np.int64)]
@@ -433,6 +445,53 @@ def _possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: f
     return map_batches(pairs, run, "u bigint, v bigint")
 
 
+def _cell_links(similarity: float):
+    """Rows (w, i, j, id, root, others, text) sorted by w, i, j -> links (u, v) between different roots that connect what all similar
+    pairs of an id and its others connect. A pair whose ends are connected by then is not compared; all others are."""
+
+    def links(cell: list[tuple]) -> Iterator[tuple]:
+        root, sets, up = {k: r for k, r, *_ in cell}, {k: h for k, *_, h in cell}, {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for k, r, others, h in cell:
+            for o in others:
+                a, b = top(r), top(root[o])
+                if a != b and similar(h, sets[o], similarity):
+                    up[b] = a
+                    yield min(k, o), max(k, o)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell, found = None, [], []
+        for batch, texts in slices(batches):
+            for *at, k, r, others, t in zip(*[c.to_pylist() for c in batch.columns[:6]], texts, strict=True):
+                if at != key:
+                    found += links(cell)
+                    key, cell = at, []
+                cell.append((k, r, others, shingle_set(t)))
+            yield link_batch(found)
+            found = []
+        yield link_batch([*links(cell)])
+
+    def link_batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[e] for x in found], pa.int64()) for e in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def _links_in_cells(rows: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Rows for ``_pairs`` -> links that connect what all similar pairs connect. A pair never is a row: the ids of a cell (w, i, j)
+    that are in candidate pairs meet again with their texts, once each, and the pairs are compared there."""
+    rows = rows.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
+    members = stored(map_batches(rows, _pairs(similarity, True), "w bigint, i int, j int, id bigint, root bigint, others array<bigint>"))
+    cells = _beside(members, "id", "w", texts, block).select("w", "i", "j", "id", "root", "others", "text")
+    return map_batches(cells.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j"), _cell_links(similarity), "u bigint, v bigint")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("id"), "root")
 
@@ -448,7 +507,8 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
 
 
 def _links_between(pairs: DataFrame, sets: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> list[DataFrame]:
-    """Stored pairs (u, v, a, b) of sets in the components a < b -> links that connect what all similar pairs connect.
+    """Stored pairs (u, v, a, b) of sets in the components a < b -> links that connect what all similar pairs connect; for pairs that
+    are a table already (``similar_components`` makes none, see ``_links_in_cells``).
 
     One pair of each two components is compared at first, then up to TRIED times as many a round. Between rounds components
     grow together by the links found, and pairs inside one need no comparison any more; all others are compared."""
@@ -475,8 +535,8 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
 
     Fingerprints within DISTANCE bits are candidates at first, found by pigeonhole blocks. Sets of the similarity also share
     a shingle of their prefixes, so next every set is compared with the one of the smallest id at each of these, which
-    connects most of a large group by few comparisons; then pairs at a shingle are compared until all of them are connected or
-    known not to be similar. Only exact similarities make links, so this gives the components of all pairs.
+    connects most of a large group by few comparisons; then the sets at a shingle meet with their texts and are compared there
+    until all of them are connected or known not to be similar. Only exact similarities make links, so this gives the components of all pairs.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,18 +554,15 @@ def similar_components(sets: DataFrame, texts: DataFrame, similarity: float, blo
     star = stored(_possible(star, sets, roots, similarity, block))
     links = stored(close.union(_verified(star, texts, similarity, block)))
     roots = _components(links)
-    rest = stored(posts.select("w", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
-    rest = rest.join(mixed.select("w", "c"), "w")
+    rest = posts.select("w", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = stored(rest.join(sets.select("id", "n"), "id"))
+    mixed = rest.groupBy("w").agg(F.count("*").alias("c"), F.sum("n").alias("held"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
+    rest = rest.join(mixed.select("w", F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("held") / HELD)).cast("int").alias("_of")), "w")
     rest = rest.withColumn("before", F.collect_list("w").over(W.partitionBy("id").orderBy("w").rowsBetween(-BEFORE, -1)))  # an id's rows are its own shingles
-    rest = rest.join(sets.select("id", "n", "bits"), "id").withColumn("_of", F.ceil(F.col("c") / block).cast("int"))
+    rest = rest.join(sets.select("id", "bits"), "id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.col("_of")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
     rest = rest.select("w", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root", "n", "bits", "before")
-    rest = rest.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
-    more = map_batches(rest, _pairs(similarity, True), "u bigint, v bigint, a bigint, b bigint").distinct().join(star, ["u", "v"], "left_anti")
-    for found in _links_between(stored(more), sets, texts, roots, similarity, block):
-        links = links.union(found)
-    return _components(links)
+    return _components(links.union(_links_in_cells(rest, texts, similarity, block)))
 
 
 def _set_rows(similarity: float, common):

@@ -63,3 +63,23 @@ def test_pairs_of_connected_components_are_not_compared(spark, monkeypatch):
     links = {tuple(r) for d in got for r in d.collect()}
     assert links and all(u < 30 <= v < 60 for u, v in links)
     assert asked[0] == 3 and sum(asked) == 3 + 180 - 2  # all pairs of those that are not similar, one of the others
+
+
+def test_pairs_of_a_large_group_are_not_rows(spark):
+    """Sixty near copies and three strangers at one shingle, in two blocks, none connected yet: no more rows than came are passed
+    on, though all pairs of the copies are candidates, and the links found there connect the copies and nothing else."""
+    base = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join([*base[:-1], f"x{i}"]) if i < 60 else " ".join([*base[:20], *[f"y{i}v{k}" for k in range(20)]]) for i in range(63)}
+    h = {i: simhash.shingle_set(t) for i, t in texts.items()}
+    rows = [(7, *sorted((i % 2, o)), i % 2, i, i, len(x), bytearray(simhash.folded(simhash.parity(x), 8).tobytes()), []) for i, x in h.items() for o in (0, 1)]
+    d = stored(spark.createDataFrame(rows, "w long, i int, j int, block int, id long, root long, n int, bits binary, before array<long>"))
+    batch = d.orderBy("w", "i", "j").toArrow().combine_chunks().to_batches()
+    got = [r for b in simhash._pairs(0.8, True)(iter(batch)) for r in b.to_pylist()]
+    assert len(got) <= len(rows)
+    assert {tuple(sorted((r["id"], o))) for r in got for o in r["others"]} >= set(combinations(range(60), 2))
+    docs = bucketed(spark.createDataFrame(list(texts.items()), "id long, text string"), "id")
+    for block in (simhash.BLOCK, 1):
+        links = simhash._links_in_cells(d, docs, 0.8, block)
+        assert links.count() <= len(rows)
+        nodes = [r["node"] for r in simhash.connected_components(links).collect()]
+        assert sorted(nodes) == list(range(60)) and len({r["root"] for r in simhash.connected_components(links).collect()}) == 1
