@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..store import bucketed
 from .common import map_batches, map_slices, slices, stored, whole_row
 from .components import connected_components
+from .components import smallest_roots as _roots
 
 SHINGLE = 3
 DISTANCE = 3
@@ -78,26 +79,6 @@ def _fine_masks(distance: int) -> np.ndarray:
     return np.array(_masks(16, 16 - distance), np.uint64)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index in the component of each of ``n`` indices."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        while True:
-            up = new[new]
-            if (up == new).all():
-                break
-            new = up
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _close_pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of equal group (sorted) within the distance, as a spanning forest; ``fps`` has a row or a number each."""
     left, right = [], []

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from allelo.llm import simhash
+from allelo.llm import components, simhash
 from allelo.store import bucketed, stored
 
 
@@ -83,3 +83,24 @@ def test_pairs_of_a_large_group_are_not_rows(spark):
         assert links.count() <= len(rows)
         nodes = [r["node"] for r in simhash.connected_components(links).collect()]
         assert sorted(nodes) == list(range(60)) and len({r["root"] for r in simhash.connected_components(links).collect()}) == 1
+
+
+def test_components_take_few_tables(spark, monkeypatch):
+    """A long path: rounds over ever fewer edges made dozens of tables, each with its jobs, which the driver remembers."""
+    path = spark.createDataFrame([(i * 7919 % 3001, (i + 1) * 7919 % 3001) for i in range(3000)] + [(9001, 9002)], "u long, v long")
+    made = []
+    monkeypatch.setattr(components, "stored", lambda df: made.append(1) or stored(df))
+    groups: dict = {}
+    for r in components.connected_components(path).collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(len, groups.values())) == [2, 3001] and all(root in g for root, g in groups.items())
+    assert len(made) <= 6
+
+
+def test_components_of_names_and_without_a_last_task(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(50)] + [("x", "y"), ("y", "z")], "u string, v string")
+    for last in (0, 5, components.LAST):
+        groups: dict = {}
+        for r in components.connected_components(chain, last).collect():
+            groups.setdefault(r["root"], set()).add(r["node"])
+        assert sorted(map(len, groups.values())) == [3, 51]
